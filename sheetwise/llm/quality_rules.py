@@ -18,7 +18,7 @@ THRESHOLDS = (
     ("word_chars", 200, 2_000, "n_words"),
     ("n_symbols", None, 10, "n_words"),
     ("n_stop_words", 2, None, "n_words"),
-    ("n_dup_lines", None, 30, "n_lines"),
+    ("n_dup_lines", None, 50, "n_lines"),
     ("n_upper_words", None, 50, "n_words"),
 )
 
@@ -79,26 +79,27 @@ def verdict(thresholds=THRESHOLDS) -> Column:
     return kept
 
 
+def _judged(docs: DataFrame, keep: list[str], thresholds) -> DataFrame:
+    out = docs.select(F.struct(*[docs[k] for k in keep]).alias("_kept"), docs["text"].alias("_text"))
+    for name, column in measures(F.col("_text")).items():
+        out = out.withColumn(name, column)
+    failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
+    return out.select("_kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(thresholds)).alias("kept"))
+
+
 def apply_rules(docs: DataFrame, keep: list[str], thresholds=THRESHOLDS) -> DataFrame:
     """The columns keep of docs, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     No user functions and no shuffle: one row in, one row out, whole texts. Null and empty texts have no words and fail; repeated rows are
     judged alike; other columns, whatever their names, are packed away first. An empty table gives no rows.
     """
-    out = docs.select(F.struct(*[docs[k] for k in keep]).alias("_kept"), docs["text"].alias("_text"))
-    for name, column in measures(F.col("_text")).items():
-        out = out.withColumn(name, column)
-    failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
-    return out.select("_kept.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(thresholds)).alias("kept"))
+    return _judged(docs, keep, thresholds).select("_kept.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_by_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """docs without those that the rules drop, in their own columns."""
-    out = docs.select(F.struct(*[docs[k] for k in docs.columns]).alias("_kept"), docs["text"].alias("_text"))
-    for name, column in measures(F.col("_text")).items():
-        out = out.withColumn(name, column)
-    failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
-    return out.where(~failed & verdict(thresholds)).select("_kept.*")
+    # explode instead of where: a filter would be pushed below the projections and repeat all their work in its condition
+    return _judged(docs, docs.columns, thresholds).select(F.explode(F.when(F.col("kept"), F.array("_kept"))).alias("_kept")).select("_kept.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
