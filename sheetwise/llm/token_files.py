@@ -21,10 +21,10 @@ from .common import fresh_path, materialize, read_table, ship
 END_ID = 2
 MAGIC = b"SWTOK1\0\0"
 #: Tokens after which a file is closed, and tokens coded at a time.
-FILE_TOKENS, BLOCK = 8_000_000, 1 << 20
+FILE_TOKENS, BLOCK = 2_000_000, 1 << 20
 #: Documents that one range of ids should hold.
 RANGE_DOCS = 8192
-CACHE = 400_000
+CACHE = 900_000
 
 #: For each control byte the lengths of its four numbers, and the places of their bytes.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -102,9 +102,9 @@ def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc_ids, valid.astype(bool), lengths, ids
 
 
-#: The tokenizer never joins text across ASCII white space, nor an ASCII letter and a mark beside it other than the apostrophe.
-_before = re.compile(rb"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]").sub
-_after = re.compile(rb"[!-&(-/:-@\[-`{-~](?=[A-Za-z])").sub
+#: The tokenizer lower-cases, and never joins text across ASCII white space, nor an ASCII letter and a mark beside it other than the apostrophe.
+_before = re.compile(rb"(?<=[a-z])[!-&(-/:-@\[-`{-~]").sub
+_after = re.compile(rb"[!-&(-/:-@\[-`{-~](?=[a-z])").sub
 
 
 class _Words(dict):
@@ -116,6 +116,9 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -129,18 +132,30 @@ class _Words(dict):
         return place
 
     def learn(self) -> None:
-        """Encodes the words met since the last call."""
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))])
+        """Encodes the words met since the last call. Words of letters only are one unit of the tokenizer each, whose last id ends a
+        word; they go in joined, and the ends tell them apart. If the ends of some don't count up, these go one by one."""
+        words = [w.decode() for w in self.new]
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        groups = [plain[k : k + 512] for k in range(0, len(plain), 512)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)]
+        parts: list = [None] * len(words)
+        for group, ids in zip(groups, found, strict=True):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                for i, start, end in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    parts[i] = ids[start:end]
+        rest = [i for i, x in enumerate(parts) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            parts[i] = np.array(e.ids, np.uint32)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        self.ids = np.concatenate([self.ids, *parts])
         self.new = []
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with the end id; length of each)."""
         if len(self) > CACHE:
             self.reset()
-        split = [_after(rb"\g<0> ", _before(rb" \g<0>", t)).split() for t in texts]
+        split = [_after(rb"\g<0> ", _before(rb" \g<0>", t.lower())).split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         place = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.new:
