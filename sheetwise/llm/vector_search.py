@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 from math import fsum
 
 import numpy as np
@@ -15,9 +16,13 @@ from .common import materialize, read_table, ship
 
 TOP = 20
 #: Rows that the tree is fitted on, vectors that a leaf should hold, children of a node, queries that calibrate, and the recall they need.
-FIT, LEAF, BRANCH, CALIBRATE, RECALL = 20_000, 256, 8, 128, 0.97
-#: Leaves beyond which visits stop paying: all are visited then. Rows of a leaf that one task scores at a time.
-BLOCK = 4096
+FIT, LEAF, BRANCH, CALIBRATE, RECALL = 20_000, 1024, 8, 128, 0.97
+#: Rows of a leaf that are scored at a time, and the leaves that a search visits first to learn what a row must reach.
+BLOCK, PROBE = 4096, 3
+
+
+#: The floor of a query that has none; minus infinity stands for its own row.
+LOWEST = float(np.finfo(np.float64).min)
 
 
 class Tree:
@@ -96,21 +101,22 @@ def exact(rows: np.ndarray, query: np.ndarray) -> list[float]:
     return [fsum(r) for r in (rows * query).tolist()]
 
 
-def best_of(ids: np.ndarray, data: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, list[float]]]:
-    """For each query its best rows of a block, with exact scores; ties to smaller ids. A query never finds its own id."""
+def best_of(ids: np.ndarray, data: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, top: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, list[float]]]:
+    """For each query its best rows of a block that reach its floor, with exact scores; ties to smaller ids. A query never finds its own id."""
     rough = queries @ data.T
-    for q, near, own in zip(queries, rough, query_ids, strict=True):
-        near = np.where(ids == own, -np.inf, near)
-        if len(near) > top:
-            cut = np.partition(near, len(near) - top)[len(near) - top]
-            some = np.flatnonzero(near >= cut - 1e-9 * (1 + abs(cut))) if np.isfinite(cut) else np.flatnonzero(np.isfinite(near))
-        else:
-            some = np.flatnonzero(np.isfinite(near))
+    rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    reach = np.full(len(queries), LOWEST) if floors is None else np.where(floors > LOWEST, floors - 1e-9 * (1 + np.abs(floors)), LOWEST)
+    for k in np.flatnonzero((rough >= reach[:, None]).any(axis=1)):
+        near, q = rough[k], queries[k]
+        some = np.flatnonzero(near >= reach[k])
+        if len(some) > top:
+            cut = np.partition(near[some], len(some) - top)[len(some) - top]
+            some = some[near[some] >= cut - 1e-9 * (1 + abs(cut))]
         if len(some) > 4 * top:  # many equal rows: of one rough score only the smallest ids can be in the result
             some = some[np.lexsort((ids[some], -near[some].round(12)))][: 4 * top]
         scores = exact(data[some], q)
         order = sorted(range(len(some)), key=lambda i: (-scores[i], ids[some[i]]))[:top]
-        yield int(own), ids[some[order]], [scores[i] for i in order]
+        yield int(query_ids[k]), ids[some[order]], [scores[i] for i in order]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -162,8 +168,9 @@ def search(vectors: DataFrame, is_query, top: int = TOP, fit: int = FIT, leaf: i
     """For each query its top nearest other rows by inner product: query_id, rank, vec_id, score.
 
     The tree is fitted on the first `fit` rows by hash of the id; all rows are indexed under its leaves. CALIBRATE queries, searched
-    against all rows by brute force, fix how many leaves a search visits. Queries go to the leaves that they visit; leaves are dealt out
-    in blocks of rows, so a leaf with a third of all rows is scored by many tasks, and a task keeps `top` rows of a block for each query.
+    against all rows by brute force, fix how many leaves a search visits. Queries go to the leaves that they visit: PROBE leaves first,
+    then the others with the score that a row must reach by then, so that few rows come back. Leaves are dealt out in blocks of rows, so
+    a leaf with a third of all rows is scored by many tasks, and at most `top` rows of a block come back for each query.
     Vectors that are null, empty, zero, or hold null or non-finite components, and null ids, take no part; vectors of another length than
     the most common one neither. Ties go to the smaller vec_id; repeated ids count as rows of their own but never match their own query;
     fewer candidates than top are all returned; an empty table gives no rows; other columns are ignored.
@@ -191,24 +198,41 @@ def search(vectors: DataFrame, is_query, top: int = TOP, fit: int = FIT, leaf: i
     sizes = materialize(indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "ann-leaves")
     rows = indexed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block"), "id", "v", F.lit(False).alias("query"))
 
-    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, data = b.column("id"), _matrix(b.column("v"))
-            leaves = [[leaf for leaf, _ in zip(tree.visit(q), range(visits), strict=False)] for q in data]
-            take = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([x for y in leaves for x in y], np.int64)), ids.take(pa.array(take)), b.column("v").take(pa.array(take))], ["leaf", "id", "v"])
+    def found_in(first: int, last: int, asking: DataFrame) -> DataFrame:
+        """PAIRS from the leaves at these places of each query's order of visits. asking: id, v and floor."""
+
+        def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                leaves = [list(islice(tree.visit(q), first, last)) for q in _matrix(b.column("v"))]
+                take = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([x for y in leaves for x in y], np.int64)), *(b.column(c).take(take) for c in ("id", "v", "floor"))], ["leaf", "id", "v", "floor"])
+
+        sent = asking.select("id", "v", "floor").mapInArrow(visited, "leaf long, id long, v array<double>, floor double")
+        sent = sent.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", F.lit(True).alias("query"), "floor")
+        both = rows.withColumn("floor", F.lit(0.0)).unionByName(sent)
+        return both.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "query").mapInArrow(_scored(top), PAIRS)
 
-    sent = indexed.where("query").select("id", "v").mapInArrow(visited, "leaf long, id long, v array<double>")
-    sent = sent.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", F.lit(True).alias("query"))
+    def best(near: DataFrame) -> DataFrame:
+        # at most top rows of each block that a query visits come together
+        return near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id")))), 1, top).alias("best"))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by leaf, block and kind: a block's rows, at most some BLOCK, are held while its queries stream by."""
+    asking = indexed.where("query").select("id", "v")
+    near = materialize(found_in(0, min(PROBE, visits), asking.withColumn("floor", F.lit(LOWEST))), "ann-probed")
+    if visits > PROBE:
+        floors = best(near).select(F.col("query_id").alias("id"), F.when(F.size("best") == top, -F.element_at("best", top)["s"]).otherwise(F.lit(LOWEST)).alias("floor"))
+        near = near.unionByName(found_in(PROBE, visits, asking.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))))
+    return best(near).select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+
+
+def _scored(top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by leaf, block and kind: a block's rows, some BLOCK of them, are held while its queries stream by."""
         at, ids, data, done = None, [], [], None
         for b in batches:
             keys = np.stack([b.column("leaf").to_numpy(), b.column("block").to_numpy()], axis=1)
             kind = b.column("query").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (kind[1:] != kind[:-1]), True])
-            all_ids, all_data = b.column("id").to_numpy(), _matrix(b.column("v"))
+            all_ids, all_data, floors = b.column("id").to_numpy(), _matrix(b.column("v")), b.column("floor").to_numpy()
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 key = tuple(keys[s])
                 if key != at:
@@ -222,14 +246,11 @@ def search(vectors: DataFrame, is_query, top: int = TOP, fit: int = FIT, leaf: i
                 done = done or (np.concatenate(ids), np.concatenate(data))
                 for q in range(s, e, 256):
                     part = slice(q, min(q + 256, e))
-                    found = [(o, i, x) for o, near, scores in best_of(*done, all_data[part], all_ids[part], top) for i, x in zip(near.tolist(), scores, strict=True)]
+                    found = [(o, i, x) for o, near, scores in best_of(*done, all_data[part], all_ids[part], top, floors[part]) for i, x in zip(near.tolist(), scores, strict=True)]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    near = rows.unionByName(sent).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "query").mapInArrow(scored, PAIRS)
-    # a query's blocks are bounded by its visits: at most top rows of each come together
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id")))), 1, top).alias("best"))
-    return best.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
