@@ -83,46 +83,50 @@ class Batch:
         self.tokens.append(np.append(places, np.int32(0)))
         self.size += len(text) + 64
 
-    def model_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(word keys, training counts, pair keys, training counts, per document the place of each token's pair): keys sorted."""
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(word hashes, sorted; every token as the place of its hash; tokens of each document; the place of the start's hash)."""
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        flat = np.concatenate(self.tokens)
-        lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-        before = np.empty_like(flat)
-        before[1:] = flat[:-1]
-        before[np.cumsum(lengths) - lengths] = 1
-        trained = np.repeat(np.array([not is_held_out(d) for d in self.doc_ids]), lengths)
-        pair = before.astype(np.int64) << 32 | flat
-        order = np.argsort(pair, kind="stable")
-        ordered = pair[order]
-        first = np.r_[True, ordered[1:] != ordered[:-1]]
-        number = np.empty(len(flat), np.int32)
-        number[order] = (np.cumsum(first) - 1).astype(np.int32)
-        distinct = ordered[first]
-        counts = np.bincount(number, weights=trained, minlength=len(distinct)).astype(np.int64)
-        keys = mix(hashes[distinct >> 32], hashes[distinct & 0xFFFFFFFF])
-        rank = np.argsort(keys)
-        place = np.empty(len(rank), np.int32)
-        place[rank] = np.arange(len(rank), dtype=np.int32)
-        word_counts = np.bincount(flat, weights=trained, minlength=len(hashes)).astype(np.int64)
-        # the start of a text is the history of one pair for each training document, but never a token
-        by_hash = np.argsort(hashes)
-        self.word_place = np.empty(len(hashes), np.int32)
-        self.word_place[by_hash] = np.arange(len(hashes), dtype=np.int32)
-        return hashes[by_hash], word_counts[by_hash], keys[rank], counts[rank], np.split(place[number], np.cumsum(lengths)[:-1])
-
-
-REQUESTS = "kind string, batch long, shard int, words binary, word_counts binary, pairs binary, pair_counts binary, doc_ids array<long>, lengths binary, tokens binary, places binary"
+        order = np.argsort(hashes)
+        place = np.empty(len(hashes), np.int32)
+        place[order] = np.arange(len(hashes), dtype=np.int32)
+        return hashes[order], place[np.concatenate(self.tokens)], np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)), int(place[1])
+
+
+def pair_keys(hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the distinct pairs of a token and the one before it, sorted; for each token the place of its pair)."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(lengths) - lengths] = start
+    pair = before.astype(np.int64) << 32 | tokens
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.r_[True, pair[1:] != pair[:-1]]
+    number = np.empty(len(tokens), np.int32)
+    number[order] = (np.cumsum(first) - 1).astype(np.int32)
+    distinct = pair[first]
+    del pair, order
+    keys = mix(hashes[distinct >> 32], hashes[distinct & 0xFFFFFFFF])
+    rank = np.argsort(keys)
+    place = np.empty(len(rank), np.int32)
+    place[rank] = np.arange(len(rank), dtype=np.int32)
+    return keys[rank], place[number]
+
+
+REQUESTS = "kind string, batch long, shard int, words binary, word_counts binary, pairs binary, pair_counts binary, doc_ids array<long>, lengths binary, tokens binary, start long"
 
 
 def _gather(shards: int):
     """Batches of documents: for each a row with their tokens, and one for each shard with the keys and training counts that fall to it."""
 
     def rows(batch: Batch, name: int) -> Iterator[pa.RecordBatch]:
-        words, word_counts, pairs, pair_counts, places = batch.model_keys()
-        schema = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts")), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("lengths", "tokens", "places"))])
-        lengths = np.fromiter(map(len, batch.tokens), np.int64, len(batch.tokens))
-        docs = {"kind": "docs", "batch": name, "doc_ids": batch.doc_ids, "lengths": squeeze(lengths), "tokens": squeeze(batch.word_place[np.concatenate(batch.tokens)]), "places": squeeze(np.concatenate(places)), "word_counts": squeeze(np.array([batch.word_place[1], batch.word_place[0]]))}
+        words, tokens, lengths, start = batch.numbered()
+        pairs, places = pair_keys(words, tokens, lengths, start)
+        trained = np.repeat(np.array([not is_held_out(d) for d in batch.doc_ids]), lengths)
+        word_counts = np.bincount(tokens[trained], minlength=len(words))
+        pair_counts = np.bincount(places[trained], minlength=len(pairs))
+        schema = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "pairs", "pair_counts")), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("start", pa.int64())])
+        # pairs are not kept with the tokens: they follow from them
+        docs = {"kind": "docs", "batch": name, "doc_ids": batch.doc_ids, "lengths": squeeze(lengths), "tokens": squeeze(tokens), "words": squeeze_keys(words), "start": start}
         yield pa.RecordBatch.from_pylist([docs], schema)
         cuts = shard_bounds(shards)
         w, p = np.searchsorted(words, cuts), np.searchsorted(pairs, cuts)
@@ -235,10 +239,9 @@ def _score(stats: dict):
         base = np.log10((word_counts + 1) / (n + v + 1))
         out: dict[str, list] = {k.split()[0]: [] for k in SCORES.split(", ")}
         for r in left.to_pylist():
-            start, _ = (int(x) for x in expand(r["word_counts"]))
+            start, lengths, tokens = r["start"], expand(r["lengths"]), expand(r["tokens"]).astype(np.int32)
             model = Automaton(word_counts, pair_counts, stats, start)
-            ends = np.cumsum(expand(r["lengths"]))
-            tokens, places = expand(r["tokens"]), expand(r["places"])
+            ends, (_, places) = np.cumsum(lengths), pair_keys(expand_keys(r["words"]), tokens, lengths, start)
             for doc_id, a, z in zip(r["doc_ids"], np.r_[0, ends[:-1]], ends, strict=True):
                 t = tokens[a:z]
                 row = doc_id, is_held_out(doc_id), len(t), int((word_counts[t] > 0).sum()), n, float(base[t].sum()), model.traverse(t, places[a:z], start)
@@ -255,7 +258,7 @@ def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     1. Batches of documents count their words and pairs of words where they are read, and ask the shard of each key's hash range for it.
     2. Each shard sums all batches' training counts (nothing is pruned or capped) and answers each batch with the totals of its keys.
-    3. Each batch builds the states and arcs it needs and scores its documents in one traversal each.
+    3. Each batch, kept as token numbers meanwhile, builds the states and arcs it needs and scores its documents in one traversal each.
     A hot word or pair costs one row for each batch and shard. A batch and a shard bound the memory of a task; words are known by 64-bit
     hashes. Null and empty texts are the end token alone; a null doc_id counts as an empty text for its checksum; repeated rows count
     and score each; without training tokens all words share the one unknown arc; an empty table gives no rows; other columns are ignored.
@@ -269,7 +272,7 @@ def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
     answers = materialize(keys.groupBy("shard").applyInArrow(_count, ANSWERS), "lm-answers")
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "once", "twice")]).first().asDict()
     trained = docs.where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2").select("doc_id").count()
-    left = gathered.where("kind = 'docs'").select("batch", "doc_ids", "lengths", "tokens", "places", "word_counts")
+    left = gathered.where("kind = 'docs'").select("batch", "doc_ids", "lengths", "tokens", "words", "start")
     right = answers.select("batch", "shard", "word_counts", "pair_counts")
     return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(_score(sums | {"documents": trained}), SCORES)
 
