@@ -1,5 +1,327 @@
 """Named queries of the library's own operators, with the SQL that gives the same rows where SQL can."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .functions import text as T
+from .operators import checks, lines, spatial, store
+from .plans.inputs import load, with_inputs
+from .streaming import live
+
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "spatial_best_match"
+
+
+def query(name: str, *inputs: str, sql: str | None = None):
+    """Registers f(*inputs as DataFrames) and, if given, SQL in which {input} stands for an input."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(*[load(spark, sf_dir, i) for i in inputs])
+        if sql:
+            ORACLES[name] = with_inputs(sql)
+        return f
+
+    return add
+
+
+def _pairs(tokens):
+    """Text tokens beside OCR tokens of the same page."""
+    return tokens.where("origin = 'ocr'"), tokens.where("origin = 'text'")
+
+
+PAIR = "FROM {tokens} a JOIN {tokens} b ON a.page = b.page AND a.origin = 'ocr' AND b.origin = 'text'"
+INTER = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+AREAS = "greatest(0, (a.x1 - a.x0) * (a.y1 - a.y0)) + greatest(0, (b.x1 - b.x0) * (b.y1 - b.y0))"
+#: Pairs that share a cell of 50 points.
+SHARED = "floor(a.x0 / 50) <= floor(b.x1 / 50) AND floor(b.x0 / 50) <= floor(a.x1 / 50) AND floor(a.y0 / 50) <= floor(b.y1 / 50) AND floor(b.y0 / 50) <= floor(a.y1 / 50)"
+
+
+@query("geometry_overlap", "tokens", sql=f"SELECT a.page, a.token_ix, b.token_ix AS other_ix, round({INTER}, 6) AS shared, round({INTER} / ({AREAS} - {INTER}), 6) AS iou {PAIR} AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+def _(tokens):
+    met = spatial.candidates(*_pairs(tokens), G.overlaps)
+    a, b = G.box(), G.box(suffix="_r")
+    return met.select("page", "token_ix", F.col("token_ix_r").alias("other_ix"), F.round(G.intersection(a, b), 6).alias("shared"), F.round(G.iou(a, b), 6).alias("iou"))
+
+
+@query("geometry_expressions", "tokens", sql="SELECT token_ix, round(greatest(0, x0 - 4), 6) AS px0, round(least(612, x1 + 4), 6) AS px1, round(degrees(atan2(y1 - y0, x1 - x0)), 6) AS angle, CASE WHEN (x0 / 612 < .15 OR x0 / 612 > .85) AND (y0 / 792 < .15 OR y0 / 792 > .85) THEN 'corner' WHEN x0 / 612 < .15 OR x0 / 612 > .85 OR y0 / 792 < .15 OR y0 / 792 > .85 THEN 'margin' WHEN x0 / 612 BETWEEN .35 AND .65 AND y0 / 792 BETWEEN .35 AND .65 THEN 'center' ELSE 'field' END AS zone FROM {tokens}")
+def _(tokens):
+    p = G.pad(G.box(), 4.0, 612.0, 792.0)
+    return tokens.select("token_ix", F.round(p.x0, 6).alias("px0"), F.round(p.x1, 6).alias("px1"), F.round(G.line_angle(G.box()), 6).alias("angle"), G.zone_of(F.col("x0") / 612, F.col("y0") / 792).alias("zone"))
+
+
+@query("geometry_rotate", "tokens", sql="SELECT token_ix, round(least(ax, bx, cx, dx), 4) AS x0, round(greatest(ax, bx, cx, dx), 4) AS x1 FROM (SELECT token_ix, (x0 - 306) * c - (y0 - 396) * s + 306 AS ax, (x0 - 306) * c - (y1 - 396) * s + 306 AS bx, (x1 - 306) * c - (y0 - 396) * s + 306 AS cx, (x1 - 306) * c - (y1 - 396) * s + 306 AS dx FROM {tokens}, (SELECT sin(radians(2)) AS s, cos(radians(2)) AS c))")
+def _(tokens):
+    r = G.rotate(G.box(), 2.0, 612.0, 792.0)
+    return tokens.select("token_ix", F.round(r.x0, 4).alias("x0"), F.round(r.x1, 4).alias("x1"))
+
+
+@query("geometry_polygon", "tokens", sql="SELECT token_ix FROM {tokens} WHERE (x0 + x1) / 2 + (y0 + y1) / 2 < 400 AND (x0 + x1) / 2 > 0 AND (y0 + y1) / 2 > 0")
+def _(tokens):
+    x, y = G.center(G.box())
+    corner = lambda a, b: F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"))
+    return tokens.where(G.in_polygon(x, y, F.array(corner(0.0, 0.0), corner(400.0, 0.0), corner(0.0, 400.0)))).select("token_ix")
+
+
+@query("spatial_best_match", "tokens", sql=f"""
+WITH s AS (SELECT a.page, a.token_ix, b.token_ix AS ix, {INTER} / ({AREAS} - {INTER}) AS iou, abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) AS dx, abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) AS dy {PAIR} AND {SHARED}),
+i AS (SELECT page, token_ix, ix FROM s WHERE iou >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, token_ix ORDER BY iou DESC, ix) = 1),
+c AS (SELECT page, token_ix, ix FROM s WHERE dx <= 12 AND dy <= 12 QUALIFY row_number() OVER (PARTITION BY page, token_ix ORDER BY dx + dy, ix) = 1)
+SELECT t.page, t.token_ix, coalesce(i.ix, c.ix, -1) AS match_ix, CASE WHEN i.ix IS NOT NULL THEN 'iou' WHEN c.ix IS NOT NULL THEN 'center' ELSE 'unmatched' END AS match_type
+FROM {{tokens}} t LEFT JOIN i ON t.token_ix = i.token_ix LEFT JOIN c ON t.token_ix = c.token_ix WHERE t.origin = 'ocr'""")
+def _(tokens):
+    return spatial.best_match(*_pairs(tokens)).fillna(-1, "match_ix")
+
+
+for _anti in (False, True):
+
+    @query(f"spatial_{'uncovered' if _anti else 'covered'}", "tokens", sql=f"SELECT a.token_ix FROM {{tokens}} a WHERE a.origin = 'ocr' AND {'NOT' if _anti else ''} EXISTS (SELECT 1 FROM {{tokens}} b WHERE a.page = b.page AND b.origin = 'text' AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
+    def _(tokens, anti=_anti):
+        return spatial.covered(*_pairs(tokens), anti=anti).select("token_ix")
+
+
+@query("spatial_best_zone", "tokens", "zones", sql=f"SELECT a.page, a.token_ix, b.zone_ix FROM {{tokens}} a JOIN {{zones}} b ON a.page = b.page WHERE {INTER} / ((a.x1 - a.x0) * (a.y1 - a.y0)) > 0.3 QUALIFY row_number() OVER (PARTITION BY a.token_ix ORDER BY {INTER} DESC, b.zone_ix) = 1")
+def _(tokens, zones):
+    return spatial.best_zone(tokens, zones)
+
+
+@query("spatial_nearest_digits", "tokens", sql="""
+WITH d AS (SELECT a.token_ix, b.token_ix AS ix, a.x0 - b.x1 AS l, b.x0 - a.x1 AS r FROM {tokens} a JOIN {tokens} b ON a.page = b.page AND regexp_matches(b.text, '^[0-9]') AND a.token_ix <> b.token_ix AND least(a.y1, b.y1) > greatest(a.y0, b.y0)),
+l AS (SELECT token_ix, ix FROM d WHERE l BETWEEN 0 AND 40 QUALIFY row_number() OVER (PARTITION BY token_ix ORDER BY l, ix) = 1),
+r AS (SELECT token_ix, ix FROM d WHERE r BETWEEN 0 AND 40 QUALIFY row_number() OVER (PARTITION BY token_ix ORDER BY r, ix) = 1)
+SELECT t.page, t.token_ix, coalesce(l.ix, -1) AS left_ix, coalesce(r.ix, -1) AS right_ix FROM {tokens} t LEFT JOIN l USING (token_ix) LEFT JOIN r USING (token_ix)""")
+def _(tokens):
+    return spatial.nearest_digits(tokens, tokens).fillna(-1)
+
+
+@query("spatial_nms", "tokens")
+def _(tokens):
+    return spatial.nms(tokens, 0.3).select("page", "token_ix")
+
+
+@query("spatial_clusters", "tokens", sql="""
+WITH RECURSIVE e AS (SELECT a.token_ix AS a, b.token_ix AS b FROM {tokens} a JOIN {tokens} b ON a.page = b.page AND a.token_ix <> b.token_ix AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+r(a, b) AS (SELECT token_ix, token_ix FROM {tokens} UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT t.page, t.token_ix, min(r.b) AS cluster FROM {tokens} t JOIN r ON t.token_ix = r.a GROUP BY t.page, t.token_ix""")
+def _(tokens):
+    return spatial.overlap_clusters(tokens)
+
+
+ROWS = "(SELECT *, CAST(floor((y0 + y1) / 2 / 18) AS INT) AS row_ix FROM {tokens})"
+NEXT = f"(SELECT *, lead(x0) OVER (PARTITION BY page, row_ix ORDER BY x0, token_ix) - x1 AS gap, x0 - lag(x1) OVER (PARTITION BY page, row_ix ORDER BY x0, token_ix) AS back FROM {ROWS})"
+MEDIAN = f"(SELECT page, quantile_cont(gap, 0.5) AS m FROM (SELECT page, gap FROM {NEXT} WHERE gap > 0 QUALIFY row_number() OVER (PARTITION BY page ORDER BY gap, token_ix) <= greatest(1, floor(count(*) OVER (PARTITION BY page) * 0.9))) GROUP BY page)"
+
+
+@query("lines_build", "tokens")
+def _(tokens):
+    return lines.build_lines(tokens)
+
+
+@query("lines_spans", "tokens", sql=f"SELECT token_ix, row_ix, CAST(coalesce(sum(CASE WHEN back > 2 * coalesce(m, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY n.page, row_ix ORDER BY x0, token_ix ROWS UNBOUNDED PRECEDING), 0) AS INT) AS span_ix FROM {NEXT} n LEFT JOIN {MEDIAN} m ON n.page = m.page")
+def _(tokens):
+    return lines.spans(lines.rows_of(tokens), 2.0).select("token_ix", "row_ix", "span_ix")
+
+
+@query("lines_median_space", "tokens", sql=f"SELECT t.page, coalesce(m, 5) AS median_gap FROM (SELECT DISTINCT page FROM {{tokens}}) t LEFT JOIN {MEDIAN} m ON t.page = m.page")
+def _(tokens):
+    return lines.median_space(lines.rows_of(tokens))
+
+
+@query("lines_intraline_gaps", "tokens", sql=f"SELECT n.page, n.row_ix, token_ix, gap FROM {NEXT} n JOIN (SELECT page, row_ix, quantile_cont(gap, 0.5) AS m FROM {NEXT} WHERE gap > 0 GROUP BY page, row_ix) g ON n.page = g.page AND n.row_ix = g.row_ix WHERE gap > 1.5 * m AND gap > 1")
+def _(tokens):
+    return lines.intraline_gaps(lines.rows_of(tokens), 1.5)
+
+
+@query("lines_skew", "tokens", sql=f"WITH s AS (SELECT page, row_ix, count(*) AS weight, regr_slope(y0, (x0 + x1) / 2) AS slope FROM {ROWS} GROUP BY page, row_ix HAVING count(*) >= 2), r AS (SELECT *, sum(weight) OVER (PARTITION BY page ORDER BY slope, row_ix ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY page) AS every FROM s WHERE slope IS NOT NULL) SELECT page, round(degrees(atan(min(slope))), 6) AS degrees FROM r WHERE run * 2 >= every GROUP BY page")
+def _(tokens):
+    return lines.skew(lines.line_slopes(lines.rows_of(tokens), 2)).select("page", F.round("degrees", 6).alias("degrees"))
+
+
+@query("lines_symbol_fingerprints", "tokens", sql="SELECT regexp_replace(regexp_replace(text, '[0-9]+\\.?[0-9]*', 'N', 'g'), '[%°]', '', 'g') AS fingerprint, count(*) AS n, count(*) FILTER (regexp_matches(text, '[%°]')) AS with_symbol FROM {tokens} GROUP BY 1 HAVING with_symbol > 0 AND with_symbol < n")
+def _(tokens):
+    return lines.symbol_fingerprints(tokens)
+
+
+def finding(check: str, severity: str, page: str, subject: str) -> str:
+    return f"SELECT '{check}' AS check_id, '{severity}' AS severity, CAST({page} AS BIGINT) AS page, coalesce(CAST({subject} AS VARCHAR), '') AS subject"
+
+
+@query("check_numbering", "notes", sql=f"""
+WITH ends AS (SELECT page, column_ix, min(number) AS low, max(number) AS high FROM {{notes}} GROUP BY 1, 2),
+w AS (SELECT page, column_ix, unnest(range(low, high + 1)) AS number FROM ends),
+f AS (SELECT *, lag(number) OVER (PARTITION BY page, column_ix ORDER BY ord) AS before FROM {{notes}})
+{finding('NOTES_DUP', 'warning', 'page', 'number')} FROM {{notes}} GROUP BY page, column_ix, number HAVING count(*) > 1
+UNION ALL {finding('NOTES_GAP', 'warning', 'page', 'number')} FROM w ANTI JOIN {{notes}} n USING (page, column_ix, number)
+UNION ALL {finding('NOTES_ORDER', 'info', 'page', 'arg_min(number, ord)')} FROM f WHERE number < before GROUP BY page, column_ix""")
+def _(notes):
+    return checks.numbering(notes)
+
+
+@query("check_note_references", "tokens", "notes", sql=f"WITH r AS (SELECT DISTINCT page, CAST(unnest(regexp_extract_all(text, 'NOTE\\s*([0-9]+)', 1)) AS INT) AS number FROM {{tokens}}) {finding('NOTES_XREF', 'warning', 'page', 'number')} FROM r WHERE number NOT IN (SELECT number FROM {{notes}} WHERE number > 3)")
+def _(tokens, notes):
+    return checks.undefined_references(tokens, notes.where("number > 3"))
+
+
+@query("check_abbreviations", "entries", sql=f"{finding('ABBREV_DUP', 'warning', 'page', 'code')} FROM {{entries}} GROUP BY page, code HAVING count(DISTINCT upper(meaning)) > 1")
+def _(entries):
+    return checks.abbreviations(entries)
+
+
+@query("check_undefined_abbreviations", "tokens", "entries", sql=f"{finding('ABBREV_UNDEF', 'info', 'min(page)', 'text')} FROM {{tokens}} WHERE regexp_matches(text, '^[A-Z]{{{{2,6}}}}$') AND text NOT IN (SELECT code FROM {{entries}}) GROUP BY text".replace("{{2,6}}", "{2,6}"))
+def _(tokens, entries):
+    return checks.undefined_abbreviations(tokens, entries)
+
+
+@query("check_empty_regions", "regions", "entries", sql="SELECT CASE region_type WHEN 'legend' THEN 'LEGEND_EMPTY' WHEN 'abbreviation' THEN 'ABBREV_EMPTY' ELSE 'REV_EMPTY' END AS check_id, 'info' AS severity, page, CAST(region_ix AS VARCHAR) AS subject FROM {regions} r ANTI JOIN {entries} e USING (page, region_ix)")
+def _(regions, entries):
+    return checks.empty_regions(regions, entries)
+
+
+@query("check_revision_dates", "revisions", sql=f"WITH s AS (SELECT page, ord, date, sign(date_diff('day', lag(date) OVER (PARTITION BY page ORDER BY ord), date)) AS step FROM {{revisions}} WHERE date IS NOT NULL), f AS (SELECT *, first_value(step) OVER (PARTITION BY page ORDER BY ord) AS first FROM s WHERE step <> 0) {finding('REV_DATE_ORDER', 'warning', 'page', 'arg_min(date, ord)')} FROM f WHERE step <> first GROUP BY page")
+def _(revisions):
+    return checks.revision_dates(revisions)
+
+
+@query("check_revision_gaps", "revisions", sql=f"WITH w AS (SELECT doc_id, unnest(range(1, max(number) + 1)) AS number FROM {{revisions}} WHERE page % 9 = 0 GROUP BY doc_id) {finding('DOC_REVISION_GAP', 'warning', 'doc_id', 'number')} FROM w ANTI JOIN (SELECT doc_id, number FROM {{revisions}} WHERE page % 9 = 0) r USING (doc_id, number)")
+def _(revisions):
+    return checks.revision_gaps(revisions.where("page % 9 = 0"))
+
+
+@query("check_title_fields", "pages_q", "fields", sql=f"""
+WITH t AS (SELECT DISTINCT page, unnest(['sheet_number', 'date']) AS label FROM {{fields}})
+{finding('TITLE_MISSING', 'error', 'page', "''")} FROM {{pages_q}} p WHERE page NOT IN (SELECT page FROM {{fields}})
+UNION ALL SELECT concat('TITLE_NO_', upper(label)), 'warning', page, label FROM t ANTI JOIN (SELECT * FROM {{fields}} WHERE value <> '') f USING (page, label)""")
+def _(pages, fields):
+    return checks.title_fields(pages, fields)
+
+
+@query("check_documents", "pages_q", "entries", sql=f"""
+{finding('DOC_DUP_SHEET', 'error', 'min(page)', 'sheet')} FROM {{pages_q}} WHERE sheet IS NOT NULL GROUP BY sheet HAVING count(*) > 1
+UNION ALL {finding('DOC_ABBREV_CONFLICT', 'warning', 'min(page)', 'code')} FROM {{entries}} GROUP BY code HAVING count(DISTINCT upper(meaning)) > 1
+UNION ALL {finding('DOC_LOW_QUALITY', 'info', 'page', "''")} FROM {{pages_q}} p, (SELECT avg(quality) AS mean, count(*) AS n FROM {{pages_q}} WHERE quality > 0) m WHERE n >= 3 AND quality > 0 AND quality < 0.6 * mean""")
+def _(pages, entries):
+    return checks.document_checks(pages, entries)
+
+
+LAST = "(SELECT * FROM {corrections} WHERE detection_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY detection_id ORDER BY corrected_at DESC, seq DESC) = 1)"
+
+
+@query("store_latest_corrections", "corrections", sql="SELECT detection_id, seq, correction_type, corrected_element_type FROM {corrections} WHERE detection_id IS NOT NULL AND correction_type <> 'delete' QUALIFY row_number() OVER (PARTITION BY detection_id ORDER BY corrected_at DESC, seq DESC) = 1")
+def _(corrections):
+    return store.latest(corrections).select("detection_id", "seq", "correction_type", "corrected_element_type")
+
+
+@query("store_corrected", "detections", "corrections", sql=f"SELECT d.detection_id, CASE WHEN c.correction_type = 'relabel' THEN c.corrected_element_type ELSE d.element_type END AS element_type FROM {{detections}} d LEFT JOIN {LAST} c USING (detection_id) WHERE c.correction_type IS NULL OR c.correction_type <> 'delete'")
+def _(detections, corrections):
+    return store.corrected(detections, corrections)
+
+
+@query("store_uncorrected", "detections", "corrections", sql="SELECT detection_id FROM {detections} WHERE detection_id NOT IN (SELECT detection_id FROM {corrections} WHERE detection_id IS NOT NULL)")
+def _(detections, corrections):
+    return store.uncorrected(detections, corrections).select("detection_id")
+
+
+@query("store_split", "detections", sql="SELECT example_id, label, CASE WHEN s < 0.7 THEN 'train' WHEN s < 0.7::DOUBLE + 0.2::DOUBLE THEN 'val' ELSE 'test' END AS split FROM (SELECT detection_id AS example_id, element_type AS label, (row_number() OVER (PARTITION BY element_type ORDER BY md5(CAST(detection_id AS VARCHAR)), detection_id) - 1) / count(*) OVER (PARTITION BY element_type) AS s FROM {detections})")
+def _(detections):
+    return store.split(detections.selectExpr("detection_id example_id", "element_type label"))
+
+
+PREDICTED = "(SELECT element_type AS actual, CASE WHEN detection_id % 5 = 0 THEN 'legend' WHEN detection_id % 11 = 0 THEN 'other' ELSE element_type END AS predicted FROM {detections})"
+METRICS = f"(WITH p AS {PREDICTED}, l AS (SELECT actual AS label FROM p UNION SELECT predicted FROM p), c AS (SELECT label, count(*) FILTER (actual = label) AS support, count(*) FILTER (predicted = label) AS said, count(*) FILTER (actual = label AND predicted = label) AS hit FROM l, p GROUP BY label), r AS (SELECT label, support, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM c) SELECT label, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, support FROM r)"
+
+
+def _predicted(detections):
+    return detections.selectExpr("element_type actual", "case when detection_id % 5 = 0 then 'legend' when detection_id % 11 = 0 then 'other' else element_type end predicted")
+
+
+@query("metrics_by_class", "detections", sql=f"SELECT * FROM {METRICS}")
+def _(detections):
+    return store.class_metrics(_predicted(detections))
+
+
+@query("metrics_compare_runs", "detections", sql=f"SELECT label, round(1 - f1, 4) * (label <> 'other')::INT + CASE WHEN label = 'other' THEN round(-f1, 4) ELSE 0 END AS delta, CASE WHEN label <> 'other' AND round(1 - f1, 4) > 0.005 THEN 'better' ELSE 'same' END AS verdict FROM {METRICS}")
+def _(detections):
+    return store.compare_runs(store.class_metrics(_predicted(detections)), store.class_metrics(detections.selectExpr("element_type actual", "element_type predicted")))
+
+
+@query("stats_methods", "outcomes", sql="SELECT method, count(*) AS flagged, count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome = 'miss') AS misses, round(count(*) FILTER (outcome = 'hit') / count(*), 4) AS hit_rate FROM (SELECT unnest([m1, m2]) AS method, outcome FROM {outcomes}) GROUP BY method")
+def _(outcomes):
+    return store.method_stats(outcomes.selectExpr("array(m1, m2) trigger_methods", "outcome"))
+
+
+@query("stats_adaptive_confidence", "outcomes", sql="WITH s AS (SELECT method, count(*) AS flagged, count(*) FILTER (outcome = 'hit') AS hits FROM (SELECT unnest([m1, m2]) AS method, outcome FROM {outcomes}) GROUP BY method) SELECT method, CASE WHEN flagged < 5 THEN 0.5 ELSE greatest(0.1, least(0.95, round((hits + 1) / (flagged + 2), 4))) END::DOUBLE AS confidence FROM s")
+def _(outcomes):
+    return store.method_stats(outcomes.selectExpr("array(m1, m2) trigger_methods", "outcome")).select("method", store.adaptive_confidence(F.lit(0.5), F.col("flagged"), F.col("hits")).alias("confidence"))
+
+
+@query("stats_merge_counters", "outcomes", sql="SELECT m1 AS method, count(*) AS flagged, count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome = 'miss') AS misses FROM {outcomes} GROUP BY m1")
+def _(outcomes):
+    run = lambda r: store.method_stats(outcomes.where(f"event_id % 2 = {r}").selectExpr("array(m1) trigger_methods", "outcome")).drop("hit_rate")
+    return store.merge_counters(run(0), run(1))
+
+
+@query("stats_page_uncertainty", "detections", sql="SELECT doc_id, page, round(avg(1 - confidence), 9) AS uncertainty, count(*) AS n FROM {detections} GROUP BY doc_id, page")
+def _(detections):
+    return store.page_uncertainty(detections).withColumn("uncertainty", F.round("uncertainty", 9))
+
+
+@query("stats_calibration", "detections", sql="WITH b AS (SELECT CAST(least(floor(confidence * 10), 9) AS INT) AS bin, count(*) AS n, avg(confidence) AS c, avg(CASE WHEN detection_id % 3 = 0 THEN 1.0 ELSE 0.0 END) AS a FROM {detections} GROUP BY 1) SELECT bin, n, round(c, 9) AS confidence, round(a, 9) AS accuracy, round(n / sum(n) OVER () * abs(c - a), 9) AS error FROM b")
+def _(detections):
+    out = store.calibration(detections.selectExpr("confidence", "cast(detection_id % 3 = 0 as int) correct"))
+    return out.select("bin", "n", *[F.round(c, 9).alias(c) for c in ("confidence", "accuracy", "error")])
+
+
+@query("drift_fit", "embeddings", sql="SELECT feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.01), 6) AS p1, round(quantile_cont(v, 0.99), 6) AS p99 FROM (SELECT unnest(range(len(embedding)))::INT AS feature, CAST(unnest(embedding) AS DOUBLE) AS v FROM {embeddings}) GROUP BY feature")
+def _(embeddings):
+    return store.drift_fit(embeddings.selectExpr("transform(embedding, x -> cast(x as double)) features")).select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p1", "p99")])
+
+
+@query("drift_check", "embeddings", sql="WITH l AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS feature, CAST(unnest(embedding) AS DOUBLE) AS v FROM {embeddings}), f AS (SELECT feature, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99 FROM l GROUP BY feature) SELECT id, round(avg(CASE WHEN v < p1 OR v > p99 THEN 1.0 ELSE 0.0 END), 9) AS fraction, avg(CASE WHEN v < p1 OR v > p99 THEN 1.0 ELSE 0.0 END) >= 0.05 AS drifted FROM l JOIN f USING (feature) GROUP BY id")
+def _(embeddings):
+    samples = embeddings.selectExpr("vec_id id", "transform(embedding, x -> cast(x as double)) features")
+    return store.drift_check(samples, store.drift_fit(samples), 0.05).withColumn("fraction", F.round("fraction", 9))
+
+
+@query("search_cosine", "embeddings", sql="WITH q AS (SELECT [CAST(0.25 AS DOUBLE) * (i % 3 + 1) FOR i IN range(64)] AS q), s AS (SELECT vec_id AS id, round(greatest(0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q)), 4) AS score FROM {embeddings}, q WHERE label < 5) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM s ORDER BY score DESC, id LIMIT 10")
+def _(embeddings):
+    return store.cosine_search(embeddings.selectExpr("vec_id id", "embedding", "label"), [0.25 * (i % 3 + 1) for i in range(64)], 10, F.col("label") < 5)
+
+
+@query("store_latest_run", "detections", sql="WITH r AS (SELECT doc_id, run_id FROM {detections} WHERE run_id NOT LIKE 'manual%' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC, run_id DESC) = 1) SELECT d.detection_id, d.run_id FROM {detections} d LEFT JOIN r ON d.doc_id = r.doc_id WHERE d.run_id LIKE 'manual%' OR d.run_id = r.run_id")
+def _(detections):
+    return store.latest_run(detections).select("detection_id", "run_id")
+
+
+@query("store_next_page", "detections", "corrections", sql="WITH o AS (SELECT DISTINCT doc_id, page FROM {detections} WHERE detection_id NOT IN (SELECT detection_id FROM {corrections} WHERE detection_id IS NOT NULL)) SELECT doc_id, page, round(avg(1 - confidence), 9) AS uncertainty, count(*) AS n FROM {detections} JOIN o USING (doc_id, page) GROUP BY doc_id, page ORDER BY uncertainty DESC, doc_id, page LIMIT 1")
+def _(detections, corrections):
+    return store.next_page(detections, corrections).withColumn("uncertainty", F.round("uncertainty", 9))
+
+
+@query("store_page_type_counts", "detections", sql="SELECT page, element_type, count(*) AS n FROM {detections} GROUP BY page, element_type")
+def _(detections):
+    return detections.groupBy("page", "element_type").agg(F.count("*").alias("n"))
+
+
+@query("cost_of_calls", "calls", sql="SELECT model, round(sum(CASE model WHEN 'click' THEN (input_tokens * 2 + output_tokens * 8) / 1e6 WHEN 'view' THEN (input_tokens + output_tokens * 4) / 1e6 ELSE 0 END), 6) AS cost FROM {calls} GROUP BY model")
+def _(calls):
+    prices = calls.sparkSession.createDataFrame([("click", 2.0, 8.0), ("view", 1.0, 4.0)], "model string, price_in double, price_out double")
+    return store.estimate_cost(calls, prices).groupBy("model").agg(F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@query("text_expressions", "tokens", sql="SELECT token_ix, regexp_matches(text, '^[0-9][0-9.,]*$') AS digits, CAST(greatest(1, floor(length(text) / 4)) AS INT) AS tokens, substr(sha256(concat(CAST(page AS VARCHAR), ':', text)), 1, 16) AS hash, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, length(text) > 0 AND right(text, 1) NOT IN ('.', '!', '?', ':', ';') AS incomplete, CASE WHEN confidence < 0.6 THEN 'warning' ELSE 'error' END AS severity FROM {tokens}")
+def _(tokens):
+    t = F.col("text")
+    return tokens.select("token_ix", T.is_digits(t).alias("digits"), T.token_estimate(t).alias("tokens"), T.content_hash(F.col("page"), t).alias("hash"), T.slug(t).alias("slug"), T.ends_incomplete(t).alias("incomplete"), T.severity(F.lit("error"), F.col("confidence")).alias("severity"))
+
+
+@query("text_dates", "orders", sql="SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS parsed FROM {orders}")
+def _(orders):
+    shown = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.concat(F.lit("REV "), F.date_format("o_orderdate", "MM-dd-yyyy")))
+    return orders.select("o_orderkey", T.parse_date(shown).cast("string").alias("parsed"))
+
+
+@query("stream_windowed_counts", "events", sql="SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY 1, 2")
+def _(events):
+    return live.windowed_counts(events).withColumn("total", F.round("total", 4))
