@@ -93,7 +93,10 @@ def apply_rules(docs: DataFrame, keep: list[str], thresholds=THRESHOLDS) -> Data
     No user functions and no shuffle: one row in, one row out, whole texts. Null and empty texts have no words and fail; repeated rows are
     judged alike; other columns, whatever their names, are packed away first. An empty table gives no rows.
     """
-    return _judged(docs, keep, thresholds).select("_kept.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = _judged(docs, keep, thresholds)
+    # through a generator, so that a later filter on these columns can't be pushed below and repeat their work
+    row = F.struct("_kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(F.inline(F.array(row))).select("_kept.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_by_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
