@@ -99,16 +99,24 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = M
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as often as plan_mix says, in the columns of docs. Equal rows share one plan row's copies."""
-    copies = plan_mix(docs, **options).groupBy("doc_id", "source", "_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_kept"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.xxhash64("text").alias("_text_hash"))
-    joined = kept.join(copies, kept["_id"].eqNullSafe(copies["doc_id"]) & kept["_source"].eqNullSafe(copies["source"]) & (kept["_text_hash"] == copies["_hash"]))
+    """docs with each row repeated as often as plan_mix says, in the columns of docs. Equal rows share one plan row's copies.
+
+    Texts are shuffled once at most: the window that tells equal rows apart takes over the partitioning of the join.
+    """
+    plan = plan_mix(docs, **options).groupBy(*_identity("_hash")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_kept"), "doc_id", "source", F.xxhash64("text").alias("_hash")).select("_kept", *_identity("_hash"))
+    joined = kept.join(plan, ["_id", "_row"])
     # each of k equal rows takes an equal part of their copies, and the first ones the remainder
-    place = F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("_id", "_source", "_text_hash").orderBy("_id")))
+    place = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_rows"))
     own = F.floor(F.col("_copies") / F.col("_rows")) + (place <= F.col("_copies") % F.col("_rows")).cast("long")
     return joined.withColumn("_own", own).where("_own > 0").select("_kept", F.explode(F.sequence(F.lit(1).cast("long"), "_own")).alias("_copy")).select("_kept.*")
 
 
+def _identity(text_hash: str) -> list:
+    """Two columns without nulls that equal rows share: the doc_id, and a hash of doc_id, source and text."""
+    return [F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.xxhash64(F.col("doc_id"), source_key(F.col("source")), F.col(text_hash)).alias("_row")]
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
