@@ -221,11 +221,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one of the smallest doc_id; of equal doc_ids the first by text."""
-    chosen = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_chosen")
+    """docs with one document of each component: the one of the smallest doc_id; of equal doc_ids the first by text.
+
+    Rows without a doc_id can't be named by another row's decision and stay. What is joined to the texts are the ids that go, the fewer.
+    """
+    members = near_duplicates(docs)
+    gone = materialize(members.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
     kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_kept"), F.col("doc_id").cast("long").alias("_id"))
-    rows = kept.join(materialize(chosen, "simhash-chosen"), F.col("_id") == F.col("_chosen")).select("_id", "_kept")
-    repeated = materialize(rows.groupBy("_id").count().where("count > 1").select("_id"), "simhash-repeated")
+    rows = kept.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    repeated = materialize(docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").groupBy("_id").count().where("count > 1").select("_id"), "simhash-repeated")
     if repeated.isEmpty():
         return rows.select("_kept.*")
     folded = rows.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min_by("_kept", F.struct("_kept.text")).alias("_kept"))
