@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: One white-space character of the word definition, and a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,8 +49,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers once per application, so that they need no shared installation."""
+    """Gives this package to the Python workers once per application, so that they need no shared installation.
+
+    Unless the session says otherwise, Arrow batches get BATCH_ROWS rows: whole texts can be long, and a worker holds a batch at a time.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]

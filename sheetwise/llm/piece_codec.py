@@ -16,7 +16,7 @@ END_ID = 2
 BAR = "▁"
 LATIN = "A-Za-zÀ-ɏ"
 #: Units kept per worker; the cache is emptied when full.
-CACHE = 400_000
+CACHE = 150_000
 
 
 class PieceCodec:
