@@ -38,10 +38,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, **options) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors. options go to the writer."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

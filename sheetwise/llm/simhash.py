@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import connected_components, materialize, read_table, ship
 
 SHINGLE, SEED = 3, 42
@@ -203,8 +204,8 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
         rows = large.mapInArrow(finer, "key long, fp long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id: the smallest doc_id that links of at most 3 differing bits reach.
+def digest_components(docs: DataFrame) -> DataFrame:
+    """Operator 8. One row per document: doc_id, fp (long), component_id: the smallest doc_id that links of at most 3 differing bits reach.
 
     Equal fingerprints are folded to their smallest doc_id before any comparison, so exact copies cost one row. Null and empty texts have
     fingerprint 0 and link like any other; repeated rows keep their rows; a null doc_id is never the smallest unless alone; an empty table
@@ -220,21 +221,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """_id, _hash (of the text), rows (how many) and component of near copies, for each distinct pair of the first two."""
+    sets = materialize(near_copies.shingle_sets(docs), "copies-rows", **near_copies.SMALL)
+    own = sets.groupBy("node", "_id", "_hash").agg(F.count("*").alias("rows"))
+    placed = own.join(near_copies.link_sets(sets), "node", "left")
+    return materialize(placed.select("_id", "_hash", "rows", F.coalesce("component", "node").alias("component")), "copies-placed")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rule of the near-duplicates stage, not operator 8's. One row per document: doc_id and component_id, the smallest doc_id that
+    links of five-word Jaccard 0.8 or more reach (near_copies); null if there is none."""
+    placed = _placed(docs)
+    least = placed.groupBy("component").agg(F.min("_id").alias("component_id"))
+    return placed.join(least, "component").select(F.col("_id").alias("doc_id"), "component_id", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row")).drop("_row")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one of the smallest doc_id; of equal doc_ids the first by text.
+    """docs with one row of each component of near copies, as near_duplicates gives them.
 
-    Rows without a doc_id can't be named by another row's decision and stay. What is joined to the texts are the ids that go, the fewer.
+    The row of the smallest doc_id stays (null last), of equal doc_ids the first by the text's hash. Rows are known by doc_id and text, so
+    a doc_id with several texts is decided text by text, and rows without one fold like others. What is joined to the texts are the rows
+    that go, the fewer.
     """
-    members = near_duplicates(docs)
-    gone = materialize(members.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_kept"), F.col("doc_id").cast("long").alias("_id"))
-    rows = kept.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    repeated = materialize(docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").groupBy("_id").count().where("count > 1").select("_id"), "simhash-repeated")
+    placed, place = _placed(docs), F.struct(F.col("_id").isNull(), "_id", "_hash")
+    best = placed.groupBy("component").agg(F.min(place).alias("best"))
+    judged = materialize(placed.join(best, "component").select("_id", "_hash", "rows", (place == F.col("best")).alias("stays")).where("not stays or rows > 1"), "copies-gone")
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_kept"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_text"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    rows = kept.join(judged.where("not stays"), same, "left_anti")
+    repeated = judged.where("stays").select("_id", "_hash")
     if repeated.isEmpty():
         return rows.select("_kept.*")
-    folded = rows.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min_by("_kept", F.struct("_kept.text")).alias("_kept"))
-    return rows.join(repeated, "_id", "left_anti").unionByName(folded).select("_kept.*")
+    folded = rows.join(repeated, same, "left_semi").groupBy("_own", "_text").agg(F.first("_kept").alias("_kept"))
+    return rows.join(repeated, same, "left_anti").select("_kept").unionByName(folded.select("_kept")).select("_kept.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return digest_components(read_table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

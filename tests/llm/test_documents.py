@@ -260,6 +260,30 @@ def test_one_of_each_component_stays(spark):
     assert sorted(kept) == [1, 7]
 
 
+def test_near_copies_by_shingles_are_folded(spark, docs, rows):
+    """The stage leaves one of each component of five-word Jaccard 0.8 or more, as all pairs give them."""
+
+    def shingles(text):
+        words = WORD.findall(lower(text))
+        return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {" ".join(words)}
+
+    sets, own = [(d, shingles(t)) for d, t in sorted(rows)], {d: d for d, _ in rows}
+
+    def top(d):
+        while own[d] != d:
+            d = own[d]
+        return d
+
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((top(d), top(e)))
+                own[high] = low
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted({top(d) for d in own})
+    # fewer than all pairs by three bits of op8's digests join
+    assert len({top(d) for d in own}) < simhash.query(spark, DATA).select("component_id").distinct().count()
+
+
 def test_mix_repeats_rows_as_planned(spark, docs):
     plan = {(r["doc_id"]): r["copies"] for r in mixing.plan_mix(docs).collect()}
     got = collections.Counter(r["doc_id"] for r in mixing.mix(docs).select("doc_id").collect())
