@@ -50,28 +50,57 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root without . and .. segments."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part))),
+    )
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(closed, "/"))
+
+
+def resolve_link(url: Column, to: Column) -> Column:
+    """The URL that a target names on a page: whole, by scheme, from the root, from the page's folder or by query alone.
+
+    Null for an empty target, a fragment of the page itself, a scheme without //, and a relative target on a page without ://.
+    """
+    root = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"), url_host(url))
+    path, tail = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(url_path(url), r"(?s)^/(.*/)?", 1))
+    relative = (
+        F.when(to.startswith("?"), F.concat(root, url_path(url), to))
+        .when(to.startswith("/"), F.concat(root, _without_dots(path), tail))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), tail))
+    )
+    return (
+        F.when((to == "") | to.startswith("#"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(to.contains("://"), to))
+        .when(F.instr(url, "://") > 0, relative)
+    )
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """(a, b): nodes joined by <link rel=canonical> or <meta http-equiv=refresh> in html.
 
-    Absolute targets, //host targets and /path targets count; other relative ones don't. &amp; is unescaped.
+    Attributes may be on several lines, and canonical any of the tokens of rel. All targets count, relative ones as resolve_link reads
+    them; <base> is not read. &amp; is unescaped.
     """
-    quoted = r"""\s*=\s*["']?\s*"""
+    quoted, named = r"""\s*=\s*["']?\s*""", r"""(?is)^<{}\b.*[\s"'/]{}"""
+    token = r"""\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tag = F.col("tag")
     target = (
-        F.when(tag.rlike(rf"(?i)<link\b.*\brel{quoted}canonical\b"), F.regexp_extract(tag, rf"""(?i)\bhref{quoted}([^"'\s>]+)""", 1))
-        .when(tag.rlike(rf"(?i)<meta\b.*\bhttp-equiv{quoted}refresh\b"), F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
+        F.when(tag.rlike(named.format("link", "rel") + token), F.regexp_extract(tag, rf"""(?i)[\s"'/]href{quoted}([^"'\s>]+)""", 1))
+        .when(tag.rlike(named.format("meta", "http-equiv") + rf"{quoted}refresh\b"), F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
     )
     # the pages' text is read once; what is left are a few short tags
     tagged = pages.where("url is not null and html is not null").select("url", F.explode(tags).alias("tag")).where(F.col("tag").rlike("(?i)canonical|refresh"))
     found = materialize(tagged, "url-tags").select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("to"))
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-    whole = (
-        F.when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), url_host(F.col("url")), F.col("to")))
-        .when(F.col("to").contains("://"), F.col("to"))
-    )
-    linked = materialize(found.select("url", whole.alias("to")).where("to is not null"), "url-targets")
+    linked = materialize(found.select("url", resolve_link(F.col("url"), F.col("to")).alias("to")).where("to is not null"), "url-targets")
     return linked.select(url_node(F.col("url")).alias("a"), url_node(F.col("to")).alias("b"))
 
 

@@ -45,6 +45,33 @@ def test_decisions_reach_aliases(spark, duck):
     assert sorted(map(str, theirs)) == sorted(map(str, got))
 
 
+LINKS = [
+    ('<link\n rel="canonical"\n href="http://free.example.com/en/1">', "http://free.example.com/en/1"),
+    ('<meta\n http-equiv="refresh"\n content="0; url=new.html">', "http://h.test/a/b/new.html"),
+    ("<link rel='nofollow canonical' href=../x?y#z>", "http://h.test/a/x?y"),
+    ('<link href="?id=3&amp;k=4" rel="canonical alternate">', "http://h.test/a/b/c.html?id=3&k=4"),
+    ('<link rel=canonical href="./../../../q/./r/..">', "http://h.test/q/"),
+    ('<link rel="canonical" href="other.html?to=http://u.test/">', "http://h.test/a/b/other.html?to=http://u.test/"),
+    ('<link rel="canonical" href="/z">', "http://h.test/z"),
+    ('<link rel="canonical" href="//U.test/z">', "http://u.test/z"),
+    ('<link rel="canonical-x" href="http://u.test/">', None),
+    ('<link rel="stylesheet" title="canonical" href="http://u.test/">', None),
+    ('<link rel="canonical" href="mailto:a@u.test">', None),
+    ('<link rel="canonical" href="#part">', None),
+]
+
+
+@pytest.mark.parametrize("html, target", LINKS)
+def test_links_are_found_and_resolved(spark, html, target):
+    page = spark.createDataFrame([("http://h.test/a/b/c.html?q=1", html)], "url string, html string")
+    assert [r["b"] for r in url_filter.html_links(page).collect()] == [target] * (target is not None)
+
+
+def test_links_relative_to_a_host(spark):
+    page = spark.createDataFrame([("http://h.test", '<link rel="canonical" href="x.html">'), ("no scheme", '<link rel="canonical" href="x.html">')], "url string, html string")
+    assert [r["b"] for r in url_filter.html_links(page).collect()] == ["http://h.test/x.html"]
+
+
 def test_given_redirects(spark):
     pages = spark.createDataFrame([(1, "http://a.test/", None), (2, "http://b.com/en/", None)], "page_id long, url string, html string")
     redirects = spark.createDataFrame([("http://a.test/", "http://b.com/en/"), (None, "http://b.com/en/"), ("x", None)], "src string, dst string")
