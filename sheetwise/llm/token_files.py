@@ -115,7 +115,15 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        # texts are cut at added tokens before words are met; what is left, such as one in upper case, is plain text
         self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens must be matched as they are")
+        #: A word for each added token, which no text holds: words have no white space.
+        self.added = {b" " + t.content.encode(): i for i, t in added.items()}
+        names = sorted((w[1:] for w in self.added), key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, names)) + b")").split if names else lambda t: [t]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -144,6 +152,9 @@ class _Words(dict):
             if len(ends) == len(group) and ends[-1] == len(ids):
                 for i, start, end in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     parts[i] = ids[start:end]
+        for i, w in enumerate(self.new):
+            if w in self.added:
+                parts[i] = np.array([self.added[w]], np.uint32)
         rest = [i for i, x in enumerate(parts) if x is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
             parts[i] = np.array(e.ids, np.uint32)
@@ -151,11 +162,18 @@ class _Words(dict):
         self.ids = np.concatenate([self.ids, *parts])
         self.new = []
 
+    def split(self, text: bytes) -> list[bytes]:
+        """The words of a text, and the added tokens between them."""
+        words: list[bytes] = []
+        for i, part in enumerate(self.cut(text)):
+            words += [b" " + part] if i % 2 else _after(rb"\g<0> ", _before(rb" \g<0>", part.lower())).split()
+        return words
+
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with the end id; length of each)."""
         if len(self) > CACHE:
             self.reset()
-        split = [_after(rb"\g<0> ", _before(rb" \g<0>", t.lower())).split() for t in texts]
+        split = [self.split(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         place = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.new:

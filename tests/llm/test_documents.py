@@ -146,6 +146,19 @@ def test_token_files_are_the_library_s(docs, odd):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_token_files_hold_added_tokens(spark):
+    """Added tokens in a text get the ids that the library gives by default."""
+    library = Tokenizer.from_file(WORDS)
+    texts = ["First text.<|endoftext|>Second text.", "<|startoftext|>don<|endoftext|>'t <|ENDOFTEXT|> a<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext|>\u0338\u0301 x", "a <|endoftext| > <endoftext|>", "plain"]
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = token_files.store_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_packing_round_trip():
     r = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
