@@ -48,7 +48,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = M
     A source wants target / source_size copies of each document: the whole part is certain, the fraction is the inclusion probability p of
     one more. Documents rank by their random odds u / (1 - u) over their inclusion odds p / (1 - p), ties by doc_id, size and text hash, and
     the first are taken up to the sum of sizes next to the source's remaining words (the size of the sample is fixed in words, and is the
-    same in every run); then one document per source, the best fitting by size, changes sides if that leaves a smaller gap. The ranking's running sums come from two histogram levels of BINS cells and a window over the one cell that the cut
+    same in every run); then one row per source, the best fitting by size, changes sides if that leaves a smaller gap. The ranking's running sums come from two histogram levels of BINS cells and a window over the one cell that the cut
     falls into, so a hot source is never in one task. Null or empty texts have size 0 and take 0 words; a null source is a source of its
     own; repeated rows count as documents of their own; an empty table gives no rows; other columns are ignored.
     """
@@ -86,14 +86,13 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = M
     cut = ranked.where("_in is null").withColumn("_sum", F.sum("size").over(in_order))
     # taken if the sum with it is nearer to what is left than the sum without it
     cut = cut.withColumn("_in", (F.col("_sum") - F.col("size") / 2.0 <= F.col("_fine_left")).cast("int")).drop("_sum")
-    decided = materialize(ranked.where("_in is not null").unionByName(cut).select("doc_id", "source", "_key", "size", "_hash", "source_size", "target", "_whole", "_p", "_rest", "_odds", "_in"), "mix-decided")
+    decided = materialize(ranked.where("_in is not null").unionByName(cut).select("doc_id", "source", "_key", "size", "_hash", "source_size", "target", "_whole", "_p", "_rest", "_odds", "_in", F.monotonically_increasing_id().alias("_row")), "mix-decided")
     # one document per source is put in or left out if that brings the words nearer to the target: the one whose size fits best
     gap = decided.where("_p > 0").groupBy("_key").agg((F.first("_rest") - F.sum(F.col("size") * F.col("_in"))).alias("_gap"))
-    identity = [F.col(c) for c in ("doc_id", "size", "_hash")]
     fit = F.abs(F.col("size") - F.abs("_gap"))
     movable = decided.where("_p > 0").join(gap, "_key").where((F.col("_in") == (F.col("_gap") < 0).cast("int")) & (fit < F.abs("_gap")))
-    moved = movable.groupBy("_key").agg(F.min(F.struct(fit.alias("fit"), F.col("_odds"), *identity)).alias("_m")).select("_key", F.struct(*[F.col(f"_m.{c}") for c in ("doc_id", "size", "_hash")]).alias("_moved"))
-    final = decided.join(moved, "_key", "left").withColumn("_in", F.when((F.col("_p") > 0) & F.coalesce(F.struct(*identity).eqNullSafe(F.col("_moved")), F.lit(False)), 1 - F.col("_in")).otherwise(F.col("_in")))
+    moved = movable.groupBy("_key").agg(F.min(F.struct(fit.alias("fit"), "_odds", "doc_id", "size", "_hash", "_row")).alias("_m")).select("_key", F.col("_m._row").alias("_moved"))
+    final = decided.join(moved, "_key", "left").withColumn("_in", F.when(F.col("_row") == F.col("_moved"), 1 - F.col("_in")).otherwise(F.col("_in")))
     copies = F.col("_whole") + F.col("_in")
     return final.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "_hash")
 

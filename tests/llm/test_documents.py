@@ -303,6 +303,21 @@ def test_mix_repeats_rows_as_planned(spark, docs):
     assert got == collections.Counter({d: c for d, c in plan.items() if c})
 
 
+def test_one_of_repeated_rows_changes_sides(spark, duck):
+    """Repeated rows and rows without an id are taken as the SQL takes them, which moves a single row of a source."""
+    r = random.Random(4)
+    made = [(i if i % 5 else None, "w " * r.randint(1, 60), s) for s in "abc" for i in range(1, 30)]
+    made += [row for row in made for _ in range(2)]
+    cursor = duck.cursor()
+    cursor.execute("create temp table repeated(doc_id bigint, text varchar, source varchar)")
+    cursor.executemany("insert into repeated values (?, ?, ?)", made)
+    theirs = cursor.execute("select source_size, sum(taken), any_value(target) from (" + mixing.SQL.replace("FROM documents", "FROM repeated") + ") group by source_size order by source_size").fetchall()
+    plan = mixing.plan_mix(spark.createDataFrame(made, "doc_id long, text string, source string"))
+    ours = plan.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).orderBy("source_size").collect()
+    assert [(a[0], a[1]) for a in ours] == [(b[0], b[1]) for b in theirs]
+    assert all(abs(a["taken"] - a["target"]) <= 30 for a in ours)
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("sa", "a", 10), ("sb", "b", 1000), ("n", None, 500), ("sz", "z", 0)], "_key string, source string, size long")
     got = {r["_key"]: r["target"] for r in mixing.source_targets(sizes).collect()}
