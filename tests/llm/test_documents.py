@@ -297,6 +297,12 @@ def test_near_copies_by_shingles_are_folded(spark, docs, rows):
     assert len({top(d) for d in own}) < simhash.query(spark, DATA).select("component_id").distinct().count()
 
 
+def test_rows_are_folded_by_id_and_text(spark):
+    a, b = "the first text of two that share no words at all " * 2, "quite other prose which stands alone here without company " * 2
+    made = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, b), (None, "null ids fold as well"), (None, "null ids fold as well")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(made).collect()) == sorted([(1, a), (5, b), (0, "null ids fold as well")])
+
+
 def test_mix_repeats_rows_as_planned(spark, docs):
     plan = {(r["doc_id"]): r["copies"] for r in mixing.plan_mix(docs).collect()}
     got = collections.Counter(r["doc_id"] for r in mixing.mix(docs).select("doc_id").collect())
