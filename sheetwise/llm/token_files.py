@@ -123,7 +123,7 @@ class _Words(dict):
         #: A word for each added token, which no text holds: words have no white space.
         self.added = {b" " + t.content.encode(): i for i, t in added.items()}
         names = sorted((w[1:] for w in self.added), key=len, reverse=True)
-        self.cut = re.compile(b"(" + b"|".join(map(re.escape, names)) + b")").split if names else lambda t: [t]
+        self.names, self.cut = names, re.compile(b"(" + b"|".join(map(re.escape, names)) + b")").split
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -165,7 +165,7 @@ class _Words(dict):
     def split(self, text: bytes) -> list[bytes]:
         """The words of a text, and the added tokens between them."""
         words: list[bytes] = []
-        for i, part in enumerate(self.cut(text)):
+        for i, part in enumerate(self.cut(text) if any(n in text for n in self.names) else [text]):
             words += [b" " + part] if i % 2 else _after(rb"\g<0> ", _before(rb" \g<0>", part.lower())).split()
         return words
 
