@@ -6,20 +6,24 @@ import heapq
 from collections.abc import Iterator
 from itertools import islice
 from math import fsum
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table, ship
 
 TOP = 20
-#: Rows that the tree is fitted on, vectors that a leaf should hold, children of a node, queries that calibrate, and the recall they need.
-FIT, LEAF, BRANCH, CALIBRATE, RECALL = 20_000, 1024, 8, 128, 0.97
-#: Rows of a leaf that are scored at a time, and the leaves that a search visits first to learn what a row must reach.
-BLOCK, PROBE = 4096, 3
-
+#: Rows that the tree is fitted on, children of a node, queries that calibrate, and the recall they need.
+FIT, BRANCH, CALIBRATE, RECALL = 20_000, 8, 128, 0.97
+#: Rows of a leaf that are scored at a time, the leaves that a search visits first to learn what a row must reach, and results that one
+#: aggregation merges for a query.
+BLOCK, PROBE, FAN = 4096, 3, 64
+#: Lengths that the vectors of one table may have; each is searched by itself.
+LENGTHS = 16
 
 #: The floor of a query that has none; minus infinity stands for its own row.
 LOWEST = float(np.finfo(np.float64).min)
@@ -101,22 +105,41 @@ def exact(rows: np.ndarray, query: np.ndarray) -> list[float]:
     return [fsum(r) for r in (rows * query).tolist()]
 
 
-def best_of(ids: np.ndarray, data: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, top: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, list[float]]]:
-    """For each query its best rows of a block that reach its floor, with exact scores; ties to smaller ids. A query never finds its own id."""
+def exact_of_many(rows: np.ndarray, query: np.ndarray) -> list[float]:
+    """The same, with equal vectors computed once."""
+    if len(rows) <= 64:
+        return exact(rows, query)
+    distinct, place = np.unique(rows, axis=0, return_inverse=True)
+    return np.array(exact(distinct, query))[place.ravel()].tolist()
+
+
+def reach_of(floors: np.ndarray | None, queries: int) -> np.ndarray:
+    """What a rough score must reach: a little under the floor, for the error of a product."""
+    out = np.full(queries, LOWEST)
+    if floors is not None:
+        given = floors > LOWEST
+        out[given] = floors[given] - 1e-9 * (1 + np.abs(floors[given]))
+    return out
+
+
+def best_of(rows: np.ndarray, ids: np.ndarray, data: np.ndarray, queries: np.ndarray, asking: np.ndarray, top: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, list[float]]]:
+    """(number of the query, places of its best rows in the block, exact scores) for each query with rows that reach its floor.
+
+    rows are the rows' own numbers and asking those of the queries: a query never finds itself. Ties go to smaller ids, then rows. All
+    rows whose rough score may tie with the last one that counts are scored exactly, however many they are.
+    """
     rough = queries @ data.T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    reach = np.full(len(queries), LOWEST) if floors is None else np.where(floors > LOWEST, floors - 1e-9 * (1 + np.abs(floors)), LOWEST)
+    rough[asking[:, None] == rows[None, :]] = -np.inf
+    reach = reach_of(floors, len(queries))
     for k in np.flatnonzero((rough >= reach[:, None]).any(axis=1)):
         near, q = rough[k], queries[k]
         some = np.flatnonzero(near >= reach[k])
         if len(some) > top:
             cut = np.partition(near[some], len(some) - top)[len(some) - top]
             some = some[near[some] >= cut - 1e-9 * (1 + abs(cut))]
-        if len(some) > 4 * top:  # many equal rows: of one rough score only the smallest ids can be in the result
-            some = some[np.lexsort((ids[some], -near[some].round(12)))][: 4 * top]
-        scores = exact(data[some], q)
-        order = sorted(range(len(some)), key=lambda i: (-scores[i], ids[some[i]]))[:top]
-        yield int(query_ids[k]), ids[some[order]], [scores[i] for i in order]
+        scores = np.array(exact_of_many(data[some], q))
+        order = np.lexsort((rows[some], ids[some], -scores))[:top]
+        yield k, some[order], scores[order].tolist()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -131,124 +154,181 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0").where(~bad).where(F.exists("v", lambda x: x != 0))
 
 
-PAIRS = "query_id long, vec_id long, score double"
+FOUND = {"asking": pa.int64(), "part": pa.int64(), "row": pa.int64(), "vec_id": pa.int64(), "leaf": pa.int64(), "score": pa.float64()}
+FOUND_SCHEMA = "asking long, part long, row long, vec_id long, leaf long, score double"
+
+
+def _found(part: int, asking: np.ndarray, rows: np.ndarray, ids: np.ndarray, leaves: np.ndarray, best: Iterator) -> Iterator[pa.RecordBatch]:
+    """best_of as rows of FOUND."""
+    columns: list[list] = [[] for _ in range(5)]
+    for k, places, scores in best:
+        for column, values in zip(columns, (np.full(len(places), asking[k]), rows[places], ids[places], leaves[places], scores), strict=True):
+            column.extend(values)
+    if columns[0]:
+        columns.insert(1, [part] * len(columns[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND.values(), strict=True)], list(FOUND))
 
 
-def _brute(queries: np.ndarray, query_ids: np.ndarray, top: int):
+def merge_top(found: DataFrame, top: int, parts: int) -> DataFrame:
+    """asking and best: the first `top` of each query's rows as an array, by falling score, vec_id and row.
+
+    Partial results are merged in levels, of which each brings some FAN of a query's parts together, so that no group grows with the table.
+    """
+    item = F.struct((F.lit(0.0) - F.col("score")).alias("s"), "vec_id", "row", "leaf")
+    while True:
+        parts = -(-parts // FAN)
+        best = found.groupBy("asking", F.pmod(F.xxhash64("part"), F.lit(parts)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(item)), 1, top).alias("best"))
+        if parts == 1:
+            return best.drop("part")
+        found = best.select("asking", "part", F.explode("best").alias("b")).select("asking", "part", "b.row", "b.vec_id", "b.leaf", (F.lit(0.0) - F.col("b.s")).alias("score"))
+
+
+def _brute(queries: np.ndarray, asking: np.ndarray, top: int):
     """The best rows of each Arrow batch for a bounded number of queries, by all inner products."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
         for b in batches:
-            ids, leaves, data = b.column("id").to_numpy(), b.column("leaf").to_numpy(), _matrix(b.column("v"))
+            rows, ids, leaves, data = *(b.column(c).to_numpy() for c in ("row", "id", "leaf")), _matrix(b.column("v"))
             for at in range(0, len(ids), BLOCK):
-                part = slice(at, at + BLOCK)
-                where = dict(zip(ids[part].tolist(), leaves[part].tolist(), strict=True))
-                found = [(q, i, where[i], s) for q, near, scores in best_of(ids[part], data[part], queries, query_ids, top) for i, s in zip(near.tolist(), scores, strict=True)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "leaf", "score"])
+                cut = slice(at, at + BLOCK)
+                yield from _found(part, asking, rows[cut], ids[cut], leaves[cut], best_of(rows[cut], ids[cut], data[cut], queries, asking, top))
+                part += 1
 
     return run
 
 
-def calibrate(tree: Tree, indexed: DataFrame, queries: list, top: int, recall: float) -> int:
-    """Leaf visits at which the given queries, a bounded number, find that share of their true neighbours among all rows."""
-    if not queries or tree.leaves < 2:
+def brute_force(indexed: DataFrame, asking: list, top: int) -> DataFrame:
+    """merge_top of all rows for a bounded list of query rows (row and v)."""
+    vectors, rows = np.array([q["v"] for q in asking], np.float64), np.array([q["row"] for q in asking], np.int64)
+    return merge_top(indexed.select("row", "id", "leaf", "v").mapInArrow(_brute(vectors, rows, top), FOUND_SCHEMA), top, indexed.count() // 1000 + 1)
+
+
+def calibrate(tree: Tree, indexed: DataFrame, asking: list, top: int, recall: float) -> int:
+    """Leaf visits at which the given query rows, a bounded number, find that share of their true neighbours among all rows."""
+    if not asking or tree.leaves < 2:
         return tree.leaves
-    vectors, ids = np.array([q["v"] for q in queries], np.float64), np.array([q["id"] for q in queries], np.int64)
-    near = indexed.select("id", "leaf", "v").mapInArrow(_brute(vectors, ids, top), "query_id long, vec_id long, leaf long, score double")
-    truth = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id"), F.col("leaf")))), 1, top).alias("best")).collect()
-    ranks = []
-    for row in truth:
-        place = {leaf: i for i, leaf in enumerate(tree.visit(vectors[np.flatnonzero(ids == row["query_id"])[0]]))}
-        ranks += [place[x["leaf"]] for x in row["best"]]
+    vectors, ranks = {q["row"]: np.array(q["v"], np.float64) for q in asking}, []
+    for found in brute_force(indexed, asking, top).collect():
+        place = {leaf: i for i, leaf in enumerate(tree.visit(vectors[found["asking"]]))}
+        ranks += [place[x["leaf"]] for x in found["best"]]
     return int(np.quantile(ranks, recall, method="higher")) + 1 if ranks else tree.leaves
 
 
-def search(vectors: DataFrame, is_query, top: int = TOP, fit: int = FIT, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
-    """For each query its top nearest other rows by inner product: query_id, rank, vec_id, score.
+class Index(NamedTuple):
+    """tree; indexed: row, id, v, query and leaf of every row; visits: the leaves that a search opens; total rows."""
 
-    The tree is fitted on the first `fit` rows by hash of the id; all rows are indexed under its leaves. CALIBRATE queries, searched
-    against all rows by brute force, fix how many leaves a search visits. Queries go to the leaves that they visit: PROBE leaves first,
-    then the others with the score that a row must reach by then, so that few rows come back. Leaves are dealt out in blocks of rows, so
-    a leaf with a third of all rows is scored by many tasks, and at most `top` rows of a block come back for each query.
-    Vectors that are null, empty, zero, or hold null or non-finite components, and null ids, take no part; vectors of another length than
-    the most common one neither. Ties go to the smaller vec_id; repeated ids count as rows of their own but never match their own query;
-    fewer candidates than top are all returned; an empty table gives no rows; other columns are ignored.
-    """
-    spark = vectors.sparkSession
-    ship(spark)
-    base = usable(vectors)
-    common = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base, total = base.where(F.size("v") == common["n"]), common["count"]
-    sample = base.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(fit).collect()
-    # as the sample stands for all rows, its share of a leaf is smaller where the table is larger
-    tree = Tree(np.array([r["v"] for r in sample], np.float64), max(8, int(leaf * len(sample) / total)))
-    asks = is_query(F.col("id"))
+    tree: Tree
+    indexed: DataFrame
+    visits: int
+    total: int
+
+
+def build_index(vectors: DataFrame, is_query, top: int = TOP, fit: int = FIT, leaf: int | None = None, recall: float = RECALL) -> Index:
+    """vectors: id and v of one length. The tree is fitted on the first `fit` rows by hash of id; leaves should hold `leaf` rows, or the
+    square root of all, and at least eight rows of the sample. Every row is indexed. CALIBRATE query rows fix the number of visits."""
+    total = vectors.count()
+    sample = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id", F.xxhash64("v")).limit(fit).collect()
+    tree = Tree(np.array([r["v"] for r in sample], np.float64), max(8, int((leaf or total**0.5) * len(sample) / total)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("query"), pa.array(tree.assign(_matrix(b.column("v"))) if len(b) else np.zeros(0, np.int64))], ["id", "v", "query", "leaf"])
+            leaves = tree.assign(_matrix(b.column("v"))) if len(b) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "id", "v", "query")), pa.array(leaves)], ["row", "id", "v", "query", "leaf"])
 
-    indexed = materialize(base.select("id", "v", F.coalesce(asks, F.lit(False)).alias("query")).mapInArrow(index, "id long, v array<double>, query boolean, leaf long"), "ann-index")
-    some = indexed.where("query").select("id", "v").orderBy(F.xxhash64("id", F.lit(4)), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit(4)), "id").limit(CALIBRATE).collect()
-    visits = calibrate(tree, indexed, some, top, recall)
-    # every leaf in blocks of rows: a hot leaf is many blocks
+    asks = F.coalesce(is_query(F.col("id")), F.lit(False)).alias("query")
+    # the row numbers are written with the rows, so that they never change
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "id", "v", asks)
+    indexed = materialize(numbered.mapInArrow(index, "row long, id long, v array<double>, query boolean, leaf long"), "ann-index")
+    some = indexed.where("query").select("row", "v").orderBy(F.xxhash64("row", F.lit(4)), "row").limit(CALIBRATE).collect()
+    return Index(tree, indexed, calibrate(tree, indexed, some, top, recall), total)
+
+
+def search_index(index: Index, top: int = TOP) -> DataFrame:
+    """asking (a query's row) and best (merge_top) of every query row of an index."""
+    tree, indexed, visits, _ = index
+    # every leaf in blocks of rows: a hot leaf is many blocks. A row per leaf, and the sample bounds the leaves: small enough to broadcast
     sizes = materialize(indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "ann-leaves")
-    rows = indexed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block"), "id", "v", F.lit(False).alias("query"))
+    blocks = sizes.agg(F.sum("blocks")).first()[0]
+    block = F.pmod(F.xxhash64("row", F.lit(9)), F.col("blocks")).cast("int").alias("block")
+    rows = indexed.join(F.broadcast(sizes), "leaf").select("leaf", block, "row", "id", "v", F.lit(False).alias("query"), F.lit(0.0).alias("floor"))
 
     def found_in(first: int, last: int, asking: DataFrame) -> DataFrame:
-        """PAIRS from the leaves at these places of each query's order of visits. asking: id, v and floor."""
+        """FOUND from the leaves at these places of each query's order of visits. asking: row, v and floor."""
 
         def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 leaves = [list(islice(tree.visit(q), first, last)) for q in _matrix(b.column("v"))]
                 take = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([x for y in leaves for x in y], np.int64)), *(b.column(c).take(take) for c in ("id", "v", "floor"))], ["leaf", "id", "v", "floor"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([x for y in leaves for x in y], np.int64)), *(b.column(c).take(take) for c in ("row", "v", "floor"))], ["leaf", "row", "v", "floor"])
 
-        sent = asking.select("id", "v", "floor").mapInArrow(visited, "leaf long, id long, v array<double>, floor double")
-        sent = sent.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", F.lit(True).alias("query"), "floor")
-        both = rows.withColumn("floor", F.lit(0.0)).unionByName(sent)
-        return both.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "query").mapInArrow(_scored(top), PAIRS)
+        sent = asking.select("row", "v", "floor").mapInArrow(visited, "leaf long, row long, v array<double>, floor double")
+        sent = sent.join(F.broadcast(sizes), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "row", F.lit(0).cast("long").alias("id"), "v", F.lit(True).alias("query"), "floor")
+        return rows.unionByName(sent).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "query").mapInArrow(_scored(top), FOUND_SCHEMA)
 
-    def best(near: DataFrame) -> DataFrame:
-        # at most top rows of each block that a query visits come together
-        return near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id")))), 1, top).alias("best"))
-
-    asking = indexed.where("query").select("id", "v")
+    asking = indexed.where("query").select("row", "v")
     near = materialize(found_in(0, min(PROBE, visits), asking.withColumn("floor", F.lit(LOWEST))), "ann-probed")
     if visits > PROBE:
-        floors = best(near).select(F.col("query_id").alias("id"), F.when(F.size("best") == top, -F.element_at("best", top)["s"]).otherwise(F.lit(LOWEST)).alias("floor"))
-        near = near.unionByName(found_in(PROBE, visits, asking.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))))
-    return best(near).select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+        floors = merge_top(near, top, blocks).select(F.col("asking").alias("row"), F.when(F.size("best") == top, F.lit(0.0) - F.element_at("best", top)["s"]).otherwise(F.lit(LOWEST)).alias("floor"))
+        near = near.unionByName(found_in(PROBE, visits, asking.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))))
+    return merge_top(near, top, 2 * blocks)
+
+
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def search(vectors: DataFrame, is_query, top: int = TOP, fit: int = FIT, leaf: int | None = None, recall: float = RECALL) -> DataFrame:
+    """For each query row its top nearest other rows by inner product: query_id, rank, vec_id, score.
+
+    The tree is fitted on a bounded sample; all rows are indexed under its leaves. CALIBRATE queries, searched against all rows by brute
+    force, fix how many leaves a search visits. Queries go to the leaves that they visit: PROBE leaves first, then the others with the
+    score that a row must reach by then, so that few rows come back. Leaves are dealt out in blocks of rows, so a leaf with a third of all
+    rows is scored by many tasks, and at most `top` rows of a block come back for each query, merged in levels.
+    Vectors that are null, empty, zero, or hold null or non-finite components, and null ids, take no part. Vectors of different lengths
+    have no product: each length is searched by itself; more than LENGTHS of them are an error. Ties go to the smaller vec_id. Rows with
+    one id are rows of their own: each of them asks, with its own vector and results, and may find the other; a row never finds itself.
+    Fewer candidates than top are all returned; an empty table gives no rows; other columns are ignored.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    base = usable(vectors)
+    lengths = [r[0] for r in base.select(F.size("v").alias("n")).distinct().orderBy("n").limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"the vectors have more than {LENGTHS} lengths")
+    out = spark.createDataFrame([], RESULT)
+    for n in lengths:
+        index = build_index(base.where(F.size("v") == n), is_query, top, fit, leaf, recall)
+        ids = index.indexed.where("query").select(F.col("row").alias("asking"), F.col("id").alias("query_id"))
+        best = search_index(index, top).join(ids, "asking").select("query_id", F.posexplode("best"))
+        found = best.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (F.lit(0.0) - F.col("col.s")).alias("score"))
+        out = found if n == lengths[0] else out.unionByName(found)
+    return out
 
 
 def _scored(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by leaf, block and kind: a block's rows, some BLOCK of them, are held while its queries stream by."""
-        at, ids, data, done = None, [], [], None
+        at, held, done = None, [], None
         for b in batches:
             keys = np.stack([b.column("leaf").to_numpy(), b.column("block").to_numpy()], axis=1)
             kind = b.column("query").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (kind[1:] != kind[:-1]), True])
-            all_ids, all_data, floors = b.column("id").to_numpy(), _matrix(b.column("v")), b.column("floor").to_numpy()
+            rows, ids, floors = (b.column(c).to_numpy() for c in ("row", "id", "floor"))
+            data = _matrix(b.column("v"))
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 key = tuple(keys[s])
                 if key != at:
-                    at, ids, data, done = key, [], [], None
+                    at, held, done = key, [], None
                 if not kind[s]:
-                    ids.append(all_ids[s:e])
-                    data.append(all_data[s:e])
+                    held.append((rows[s:e], ids[s:e], data[s:e]))
                     continue
-                if not ids:
+                if not held:
                     continue
-                done = done or (np.concatenate(ids), np.concatenate(data))
+                done = done or tuple(np.concatenate(c) for c in zip(*held, strict=True))
                 for q in range(s, e, 256):
-                    part = slice(q, min(q + 256, e))
-                    found = [(o, i, x) for o, near, scores in best_of(*done, all_data[part], all_ids[part], top, floors[part]) for i, x in zip(near.tolist(), scores, strict=True)]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+                    cut = slice(q, min(q + 256, e))
+                    best = best_of(*done, data[cut], rows[cut], top, floors[cut])
+                    yield from _found(int(key[0]) << 32 | int(key[1]), rows[cut], done[0], done[1], np.full(len(done[0]), key[0]), best)
 
     return run
 

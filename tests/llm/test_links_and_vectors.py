@@ -144,9 +144,58 @@ def test_search_in_a_deeper_tree(spark):
     assert first.vec_id.tolist() == brute(ids, exact, 0)[0].tolist()
 
 
+def test_pruned_search_reaches_its_recall(spark):
+    """On whole tables: the tree has many leaves, a search visits few of them, and recall against brute force is 0.9 or more."""
+    data = "/root/testdata/sf0.1"
+    base = vector_search.usable(spark.read.parquet(f"{data}/embeddings.parquet"))
+    index = vector_search.build_index(base, lambda i: i % 20 == 0)
+    assert index.tree.leaves >= 30 and index.visits < index.tree.leaves
+    found = {r["asking"]: {x["row"] for x in r["best"]} for r in vector_search.search_index(index).collect()}
+    asking = index.indexed.where("query").select("row", "v").collect()
+    truth = {r["asking"]: {x["row"] for x in r["best"]} for r in vector_search.brute_force(index.indexed, asking, vector_search.TOP).collect()}
+    recall = sum(len(found[q] & t) for q, t in truth.items()) / sum(map(len, truth.values()))
+    print("leaves", index.tree.leaves, "visits", index.visits, "recall", recall)
+    assert set(found) == set(truth) and recall >= 0.9
+
+
+def test_rows_with_one_id_ask_for_themselves(spark):
+    """Repeated rows and an id with two vectors: 20 neighbours for each asking row, of all rows but itself."""
+    r = np.random.default_rng(9)
+    vectors = r.normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(20, vectors[20].tolist()), (40, (-vectors[40]).tolist())]
+    out = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, leaf=8, recall=1.0).toPandas()
+    assert out.groupby("query_id").size().to_dict() == {0: 20, 20: 40, 40: 40}
+
+    def expected(place):
+        scores = sorted((-float(np.dot(rows[place][1], v)), i) for k, (i, v) in enumerate(rows) if k != place)[:20]
+        return [i for _, i in scores]
+
+    twice = out[out.query_id == 20].sort_values(["rank"], kind="stable").vec_id.tolist()
+    assert sorted(twice) == sorted(expected(20) + expected(60)) and 20 in twice
+    assert sorted(out[out.query_id == 40].vec_id) == sorted(expected(40) + expected(61))
+
+
+def test_many_ties_of_large_vectors_go_to_smaller_ids(spark):
+    """Equal rows of large components: all are scored, and the smallest ids win."""
+    big = [1e6 + 0.1, -1e6 - 0.3, 1e6 / 3]
+    rows = [(i, big) for i in range(300, 0, -1)] + [(0, [1e6, -1e6, 1e6]), (500, [1.0, 2.0, 3.0])]
+    out = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == list(range(1, 21)) and len({r["score"] for r in out}) == 1
+
+
+def test_results_merge_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "FAN", 2)
+    rows = [(q, p, 10 * p + k, 10 * p + k, 0, float((7 * p + k) % 11)) for q in (1, 2) for p in range(9) for k in range(3)]
+    found = spark.createDataFrame(rows, vector_search.FOUND_SCHEMA)
+    for r in vector_search.merge_top(found, 5, 9).collect():
+        want = sorted((-s, i) for q, _, _, i, _, s in rows if q == r["asking"])[:5]
+        assert [(x["s"], x["vec_id"]) for x in r["best"]] == want
+
+
 def test_search_leaves_out_unusable_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (40, None)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (60, [2.0, 2.0, 2.0]), (None, [1.0, 1.0]), (40, None)]
+    frame = spark.createDataFrame([(*r, 7, "x", 1, 2, True, 0.5, 1, "p") for r in rows], "vec_id long, embedding array<float>, id int, v string, leaf int, block int, query boolean, floor double, row int, part string")
     got = [tuple(r) for r in vector_search.search(frame, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 0, 0.0)]
+    # vectors of length three are searched among themselves
+    assert got == [(0, 1, 1, 1.0), (0, 2, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 0, 0.0), (60, 1, 8, 12.0)]
     assert vector_search.search(frame.where("false"), lambda i: F.lit(True)).count() == 0
