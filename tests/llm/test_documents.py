@@ -132,7 +132,6 @@ def test_counts(docs, rows):
 
 def test_token_files_are_the_library_s(docs, odd):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     for table, ranges in ((docs, 16), (odd, 2)):
         made = []
         for r in table.collect():
@@ -169,26 +168,63 @@ def test_packing_round_trip():
     assert (ids.tolist(), valid.tolist(), lengths.tolist(), tokens.tolist()) == ([5, 0], [True, False], [3, 2], [9, 9, 70000, 1, 9])
 
 
-def test_scores_by_counting(docs, rows):
-    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
-    tokens = {d: [*WORD.findall(lower(t)), " "] for d, t in rows}
-    words, pairs = collections.Counter(), collections.Counter()
-    for d, ws in tokens.items():
-        if not held[d]:
+class BackoffAutomaton:
+    """Plain states, arcs and failure arcs of dictionaries, walked a token at a time."""
+
+    def __init__(self, texts):
+        words, pairs = collections.Counter(), collections.Counter()
+        for ws in texts:
             words.update(ws)
             pairs.update(zip(["\n", *ws[:-1]], ws, strict=True))
-    n, v, once, twice = sum(words.values()), len(words), sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values())
-    discount = once / (once + 2 * twice)
-    history = words | {"\n": sum(not x for x in held.values())}
-    single = lambda w: (words[w] - discount) / n if words[w] else discount * v / n
-    assert math.isclose(sum(map(single, words)) + single("unseen "), 1)
+        self.words, self.n, self.v = words, sum(words.values()), len(words)
+        discount = lambda c: (lambda one, two: one / (one + 2 * two) if one and two else 0.5)(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+        d1, d2 = discount(words), discount(pairs)
+        self.empty = {w: (c - d1) / self.n for w, c in words.items()}
+        self.unknown = d1 * self.v / self.n
+        self.arcs, self.failure = collections.defaultdict(dict), {}
+        total, kinds = collections.Counter(), collections.Counter()
+        for (h, _), c in pairs.items():
+            total[h] += c
+            kinds[h] += 1
+        for h in total:
+            self.failure[h] = d2 * kinds[h] / total[h]
+        for (h, w), c in pairs.items():
+            self.arcs[h][w] = (c - d2) / total[h] + self.failure[h] * self.empty[w]
+
+    def score(self, ws):
+        state, out = "\n" if "\n" in self.failure else None, 0.0
+        for w in ws:
+            if state is not None and w not in self.arcs[state]:
+                out += math.log10(self.failure[state])
+                state = None
+            out += math.log10(self.empty.get(w, self.unknown) if state is None else self.arcs[state][w])
+            state = w if w in self.failure else None
+        return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_scores_by_a_plain_automaton(docs, rows, hot, monkeypatch):
+    """Also with words that are hot: their continuations are dealt over all shards."""
+    if hot:
+        monkeypatch.setattr(lm_score, "HOT_COUNT", 3)
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+    tokens = {d: [*WORD.findall(lower(t)), " "] for d, t in rows}
+    model = BackoffAutomaton([ws for d, ws in tokens.items() if not held[d]])
+    assert math.isclose(sum(model.empty.values()) + model.unknown, 1)
+    for h in list(model.failure)[:50]:
+        seen = model.arcs[h]
+        assert math.isclose(sum(seen.values()) + model.failure[h] * (1 - sum(model.empty[w] for w in seen)), 1)
     for shards in (1, 5):
         for r in lm_score.score_documents(docs, shards).collect():
             ws = tokens[r["doc_id"]]
-            base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in ws)
-            score = sum(math.log10((pairs[h, w] + lm_score.PRIOR * single(w)) / (history.get(h, 0) + lm_score.PRIOR)) for h, w in zip(["\n", *ws[:-1]], ws, strict=True))
-            assert tuple(r)[1:5] == (held[r["doc_id"]], len(ws), sum(words[w] > 0 for w in ws), n)
-            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
+            base = sum(math.log10((model.words[w] + 1) / (model.n + model.v + 1)) for w in ws)
+            assert tuple(r)[1:5] == (held[r["doc_id"]], len(ws), sum(model.words[w] > 0 for w in ws), model.n)
+            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], model.score(ws), rel_tol=1e-9)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    got = lm_score.query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got["s"] > got["b"]
 
 
 def test_scoring_without_training_rows(spark):
