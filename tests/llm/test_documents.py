@@ -345,19 +345,40 @@ def test_mix_repeats_rows_as_planned(spark, docs):
     assert got == collections.Counter({d: c for d, c in plan.items() if c})
 
 
-def test_one_of_repeated_rows_changes_sides(spark, duck):
-    """Repeated rows and rows without an id are taken as the SQL takes them, which moves a single row of a source."""
+def test_repeated_rows_are_taken_as_the_sql_takes_them(spark, duck):
+    """Repeated rows, rows without an id and sources of any size; sums end within half a document of the target."""
     r = random.Random(4)
-    made = [(i if i % 5 else None, "w " * r.randint(1, 60), s) for s in "abc" for i in range(1, 30)]
-    made += [row for row in made for _ in range(2)]
+    made = [(i if i % 5 else None, "w " * r.choice([r.randint(1, 60), r.randint(1, 60), r.randint(1, 900)]), s) for s, n in (("a", 30), ("b", 200), (None, 90), ("d", 3)) for i in range(1, n)]
+    made += [row for row in made for _ in range(2)] + [(7, "w " * 40, "b")] * 500 + [(8, "", "b"), (9, None, "a")]
     cursor = duck.cursor()
     cursor.execute("create temp table repeated(doc_id bigint, text varchar, source varchar)")
     cursor.executemany("insert into repeated values (?, ?, ?)", made)
-    theirs = cursor.execute("select source_size, sum(taken), any_value(target) from (" + mixing.SQL.replace("FROM documents", "FROM repeated") + ") group by source_size order by source_size").fetchall()
+    theirs = cursor.execute("select doc_id, size, source_size, taken from (" + mixing.SQL.replace("FROM documents", "FROM repeated") + ")").fetchall()
     plan = mixing.plan_mix(spark.createDataFrame(made, "doc_id long, text string, source string"))
-    ours = plan.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).orderBy("source_size").collect()
-    assert [(a[0], a[1]) for a in ours] == [(b[0], b[1]) for b in theirs]
-    assert all(abs(a["taken"] - a["target"]) <= 30 for a in ours)
+    assert sorted(map(str, theirs)) == sorted(str(tuple(x)) for x in plan.select("doc_id", "size", "source_size", "taken").collect())
+    for x in plan.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("copies")).collect():
+        assert abs(x["taken"] - x["target"]) <= 32 and x["copies"] <= mixing.MOST
+
+
+def test_documents_are_taken_as_often_as_their_inclusion_probability_says(spark):
+    """Over several salts: probabilities differ between the documents of a source, and copies are whole parts plus a draw."""
+    r, runs = random.Random(6), 8
+    made = [(i, "w " * r.choice([3, 20, 150, 700]), "ab"[i % 2]) for i in range(600)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, source string").coalesce(1)
+    seen = collections.defaultdict(list)
+    for k in range(runs):
+        for x in mixing.plan_mix(frame, salt=f"salt{k}").collect():
+            seen[x["source"], x["size"], x["inclusion"]].append(x["copies"])
+    assert len(seen) == 8 and len({p for _, _, p in seen}) >= 6
+    for (_, _, p), copies in seen.items():
+        mean = sum(copies) / len(copies)
+        assert set(copies) <= {min(copies), min(copies) + 1} and abs(mean - p - round(mean - p)) < 0.06
+
+
+def test_many_sources_are_joined_by_salt(spark, docs, monkeypatch):
+    want = sorted(map(str, mixing.plan_mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST", 3)
+    assert sorted(map(str, mixing.plan_mix(docs).collect())) == want
 
 
 def test_targets(spark):
