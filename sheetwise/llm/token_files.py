@@ -9,7 +9,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +101,32 @@ def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc_ids, valid.astype(bool), lengths, ids
 
 
-#: The tokenizer lower-cases, and never joins text across ASCII white space, nor an ASCII letter and a mark beside it other than the apostrophe.
-_before = re.compile(rb"(?<=[a-z])[!-&(-/:-@\[-`{-~]").sub
-_after = re.compile(rb"[!-&(-/:-@\[-`{-~](?=[a-z])").sub
+#: Kinds of bytes: 0 ASCII white space, 1 an ASCII letter, 2 an ASCII mark other than the apostrophe, 3 any other. The tokenizer
+#: lower-cases, and never joins text across white space, nor an ASCII letter and a mark beside it.
+KIND = np.full(256, 3, np.uint8)
+KIND[[32, *range(9, 14)]] = 0
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 2
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in lower case, number of words of each text): runs without white space, cut between letters and marks."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    kind = KIND[raw]
+    inside = kind > 0
+    cut = np.ones(len(raw), bool)
+    # letter beside mark: the kinds' bits differ in both places
+    cut[1:] = ~inside[:-1] | ((kind[1:] ^ kind[:-1]) == 3) & inside[1:]
+    starts = np.flatnonzero(inside & cut)
+    compact = LOWER[raw[inside]]
+    offsets = np.empty(len(starts) + 1, np.int64)
+    offsets[:-1] = np.cumsum(inside, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)[starts] - 1
+    offsets[-1] = len(compact)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(compact)])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return words, np.diff(np.r_[0, np.searchsorted(starts, ends)])
 
 
 class _Words(dict):
@@ -120,10 +142,12 @@ class _Words(dict):
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens must be matched as they are")
-        #: A word for each added token, which no text holds: words have no white space.
-        self.added = {b" " + t.content.encode(): i for i, t in added.items()}
-        names = sorted((w[1:] for w in self.added), key=len, reverse=True)
-        self.names, self.cut = names, re.compile(b"(" + b"|".join(map(re.escape, names)) + b")").split
+        #: A word for each added token, which no text holds: the byte 255 isn't part of UTF-8.
+        self.added = {b"\xff%d" % i: i for i in added}
+        marks = {t.content.encode(): b" \xff%d " % i for i, t in added.items()}
+        self.names = sorted(marks, key=len, reverse=True)
+        self.mark_added = lambda text: any_added(lambda m: marks[m[0]], text)
+        any_added = re.compile(b"|".join(map(re.escape, self.names))).sub
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -134,15 +158,23 @@ class _Words(dict):
         self.new: list[bytes] = []
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        place = self[word] = len(self)
-        return place
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Places of distinct words; those not met before are encoded."""
+        out = np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            place = self.get(w)
+            if place is None:
+                self.new.append(w)
+                place = self[w] = len(self)
+            out[i] = place
+        if self.new:
+            self.learn()
+        return out
 
     def learn(self) -> None:
         """Encodes the words met since the last call. Words of letters only are one unit of the tokenizer each, whose last id ends a
         word; they go in joined, and the ends tell them apart. If the ends of some don't count up, these go one by one."""
-        words = [w.decode() for w in self.new]
+        words = ["" if w in self.added else w.decode() for w in self.new]
         plain = [i for i, w in enumerate(words) if w.isalpha()]
         groups = [plain[k : k + 512] for k in range(0, len(plain), 512)]
         found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)]
@@ -162,22 +194,13 @@ class _Words(dict):
         self.ids = np.concatenate([self.ids, *parts])
         self.new = []
 
-    def split(self, text: bytes) -> list[bytes]:
-        """The words of a text, and the added tokens between them."""
-        words: list[bytes] = []
-        for i, part in enumerate(self.cut(text) if any(n in text for n in self.names) else [text]):
-            words += [b" " + part] if i % 2 else _after(rb"\g<0> ", _before(rb" \g<0>", part.lower())).split()
-        return words
-
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with the end id; length of each)."""
         if len(self) > CACHE:
             self.reset()
-        split = [self.split(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        place = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        if self.new:
-            self.learn()
+        words, counts = split_words([self.mark_added(t) if any(n in t for n in self.names) else t for t in texts])
+        coded = words.dictionary_encode()
+        place = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         size = (self.starts[1:] - self.starts[:-1])[place] if len(place) else np.zeros(0, np.int64)
         flat = np.arange(int(size.sum())) + np.repeat(self.starts[place] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(place) else np.zeros(0, np.int64)
         ends = np.cumsum(np.concatenate([[0], size]))[np.cumsum(counts)] if len(texts) else np.zeros(0, np.int64)
@@ -192,7 +215,7 @@ class _Words(dict):
 _words: dict[str, _Words] = {}
 
 
-def _slices(texts: list[bytes], most: int = 4_000_000) -> Iterator[slice]:
+def _slices(texts: list[bytes], most: int = 8_000_000) -> Iterator[slice]:
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
