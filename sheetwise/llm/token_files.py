@@ -21,9 +21,11 @@ END_ID = 2
 MAGIC = b"SWTOK1\0\0"
 #: Tokens after which a file is closed, and tokens coded at a time.
 FILE_TOKENS, BLOCK = 2_000_000, 1 << 20
-#: Documents that one range of ids should hold.
-RANGE_DOCS = 8192
+#: Documents, and bytes of text, that one range of ids should hold, and the quantiles of ids that ranges are made from.
+RANGE_DOCS, RANGE_BYTES, QUANTILES = 8192, 64_000_000, 4096
 CACHE = 900_000
+#: Ranges whose files one window orders.
+GROUP = 1024
 
 #: For each control byte the lengths of its four numbers, and the places of their bytes.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -226,7 +228,52 @@ def _slices(texts: list[bytes], most: int = 8_000_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+class Ranges:
+    """Ranges of documents in ascending order of (doc_id, tie), null ids first. cuts: the least (valid, doc_id, tie) of all but the first."""
+
+    def __init__(self, cuts: list[tuple[bool, int, int]]):
+        cuts = sorted(set(cuts))
+        self.count = len(cuts) + 1
+        self.ids = np.unique(np.array([i for valid, i, _ in cuts if valid], np.int64))
+        place = np.searchsorted(self.ids, [i if valid else 0 for valid, i, _ in cuts])
+        self.keys = np.array([(2 * (k + 1) + 1 if valid else 1) << 32 | tie for (valid, _, tie), k in zip(cuts, place.tolist(), strict=True)], np.int64)
+
+    def of(self, doc_ids: np.ndarray, valid: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """The range of each document. An id among the cuts is 2k + 1 of its place k, one between two of them even, null ids are 1."""
+        place = np.searchsorted(self.ids, doc_ids)
+        known = place < len(self.ids)
+        known[known] = self.ids[place[known]] == doc_ids[known]
+        rank = np.where(valid, 2 * (place + 1) + known, 1)
+        return np.searchsorted(self.keys, rank.astype(np.int64) << 32 | ties, "right").astype(np.int32)
+
+
+def id_ranges(rows: DataFrame, range_docs: int, range_bytes: int) -> Ranges:
+    """Ranges that should hold range_docs documents or range_bytes of text, whichever is less. rows: doc_id and text.
+
+    Up to QUANTILES quantiles of the ids, approximate ones, are divided evenly; an id that takes up several quantiles, and null ids, are
+    divided by tie, a checksum. The cuts decide the size of files only, and are some bytes for each file.
+    """
+    size = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("valid"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    wanted = max(size["n"] // range_docs, size["bytes"] // range_bytes, 1)
+
+    def divided(i: int | None, parts: int) -> list[tuple[bool, int, int]]:
+        return [(i is not None, i or 0, (k << 32) // parts) for k in range(parts)]
+
+    cuts = divided(None, max(1, wanted * (size["n"] - size["valid"]) // max(size["n"], 1)))[1:]
+    if wanted > 1 and size["valid"]:
+        n = min(wanted, QUANTILES)
+        each = wanted / n
+        found = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(n + 1)], 10 * n).alias("q")).first()["q"]
+        for low, high in zip(found[:-1], found[1:], strict=True):
+            parts = max(1, min(round(each), high - low))
+            cuts += [(True, low + (high - low) * k // parts, 0) for k in range(parts)] if high > low else divided(low, 1)
+        for i in {i for i in found if found.count(i) > 2} if len(set(found)) < len(found) else ():
+            cuts += divided(i, round((found.count(i) - 1) * each))
+        cuts.append((True, found[0], 0))
+    return Ranges(cuts)
+
+
+def token_rows(docs: DataFrame, path: str, end_id: int, ranges: Ranges) -> DataFrame:
     """bucket, doc_id, tie and payload (compressed little-endian ids with the end id) of every whole text."""
     import_path = path
 
@@ -245,7 +292,9 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 narrow = ids.astype("<u2") if int(ids.max(initial=0)) < 1 << 16 else ids
                 payloads = [squeeze.compress((b"\2" if narrow.itemsize == 2 else b"\4") + narrow[e - n : e].tobytes()) for e, n in zip(ends, lengths, strict=True)]
                 ties = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("bucket")[part], b.column("doc_id")[part], pa.array(ties, pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "doc_id", "tie", "payload"])
+                own = b.column("doc_id")[part]
+                bucket = ranges.of(own.fill_null(0).to_numpy(), own.is_valid().to_numpy(zero_copy_only=False), np.array(ties, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), own, pa.array(ties, pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "doc_id", "tie", "payload"])
 
     return docs.mapInArrow(run, "bucket int, doc_id long, tie long, payload binary")
 
@@ -299,50 +348,35 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * len(ends), pa.string()), pa.array(doc_ids, mask=~valid), pa.array(starts, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())], ["name", "doc_id", "within", "n_tokens", "ids_crc32"])
 
 
-def id_ranges(docs: DataFrame, ranges: int):
-    """A column that puts doc_ids into about equal ranges in ascending order, null first. Its bounds are approximate quantiles of all ids: they decide the size of files only."""
-    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] if ranges > 1 else None
-    cuts = sorted(set(bounds or []))
-    if not cuts:
-        return F.lit(0)
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if len(cuts) <= 16 else None
-    if place is None:  # a tree of comparisons: depth log2, no array per row
-
-        def tree(low: int, high: int):
-            if low == high:
-                return F.lit(low)
-            mid = (low + high) // 2
-            return F.when(F.col("doc_id") <= cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-        place = tree(0, len(cuts))
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place)
-
-
-def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, range_docs: int = RANGE_DOCS) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, range_docs: int = RANGE_DOCS, range_bytes: int = RANGE_BYTES) -> tuple[str, DataFrame]:
     """Writes all texts' ids as files in ascending doc_id order; returns their folder and the manifest, a row for each file that counts.
 
-    Texts are encoded where they are read; only compressed ids are shuffled, once, into ranges of doc_id, sorted within tasks. Documents
-    of one doc_id are ordered by a checksum of their ids.
+    Texts are encoded where they are read; only compressed ids are shuffled, once, each range of doc_id to a task of its own, and sorted
+    within tasks. Documents of one doc_id are ordered by a checksum of their ids, which also divides a frequent doc_id into ranges.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = max(1, min(4096, rows.select("doc_id").count() // range_docs))
+    ranges = id_ranges(rows, range_docs, range_bytes)
     folder = fresh_path(spark, "token-files")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    coded = token_rows(rows.withColumn("bucket", id_ranges(rows, ranges).cast("int")), path, end_id)
+    coded = token_rows(rows, path, end_id, ranges)
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
-    written = coded.repartition(ranges, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(_writer(uri), "bucket int, number int, name string, docs long, tokens long")
+    written = coded.repartitionById(ranges.count, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(_writer(uri), "bucket int, number int, name string, docs long, tokens long")
     return folder, materialize(written, "token-manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files that the manifest names."""
     ship(spark)
-    before = Window.orderBy("bucket", "number").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))  # a row per file, not per document
+    # running sums of files within groups of ranges, then of the groups: no window holds more than a group's files or all groups
+    grouped = manifest.withColumn("group", F.floor(F.col("bucket") / GROUP))
+    sums = grouped.groupBy("group").agg(F.sum("tokens").alias("all"))
+    earlier = sums.select("group", F.coalesce(F.sum("all").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    before = Window.partitionBy("group").orderBy("bucket", "number").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = grouped.withColumn("inside", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(earlier, "group").select("name", (F.col("inside") + F.col("earlier")).alias("offset"))
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     found = files.mapInArrow(_decode, "name string, doc_id long, within long, n_tokens long, ids_crc32 long")
     return found.join(offsets, "name").select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

@@ -145,6 +145,27 @@ def test_token_files_are_the_library_s(docs, odd):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_frequent_and_null_ids_are_divided_into_ranges(spark, monkeypatch):
+    """Half the rows have one id, some none: no range holds much more than its share, and the order is kept across ranges and groups."""
+    monkeypatch.setattr(token_files, "GROUP", 3)
+    r = random.Random(8)
+    made = [(r.choice([7, 7, 7, None, i]), " ".join(r.choices(["ab", "cd", "efg"], k=r.randint(0, 9))), "x", 3, 4) for i in range(600)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, name string, bucket int, tie int")
+    ranges = token_files.id_ranges(frame, 20, 1 << 30)
+    held = token_files.token_rows(frame.select("doc_id", "text"), WORDS, 2, ranges).groupBy("bucket").count().collect()
+    assert len(held) >= 20 and max(x["count"] for x in held) <= 80
+    got = sorted(map(tuple, token_files.store_and_read(frame, WORDS, range_docs=20).fillna(-1, "doc_id").collect()), key=lambda x: x[1])
+    assert [(x[0], x[3]) for x in got] != [] and [x[0] for x in got] == sorted(-1 if d is None else d for d, *_ in made)
+    assert [x[1] for x in got] == [0, *np.cumsum([x[2] for x in got])[:-1]]
+
+
+def test_ranges_are_ordered():
+    ranges = token_files.Ranges([(False, 0, 500), (True, 10, 0), (True, 10, 700), (True, -5, 0)])
+    rows = [(None, 3), (None, 500), (-9, 0), (-5, 1), (9, 9), (10, 699), (10, 700), (11, 0)]
+    got = ranges.of(np.array([d or 0 for d, _ in rows]), np.array([d is not None for d, _ in rows]), np.array([t for _, t in rows]))
+    assert got.tolist() == [0, 1, 1, 2, 2, 3, 4, 4] and ranges.count == 5
+
+
 def test_token_files_hold_added_tokens(spark):
     """Added tokens in a text get the ids that the library gives by default."""
     library = Tokenizer.from_file(WORDS)
