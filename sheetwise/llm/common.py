@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 #: One white-space character of the word definition, and a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch: whole texts can be long, and a worker holds a batch at a time.
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,19 +24,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local master may go without it; it then gets a temporary one."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it, or else the session's checkpoint folder.
+
+    Without either, a session on one machine gets a folder of its own under the warehouse; any other must name one.
+    """
     sc = spark.sparkContext
     if shared := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return shared.rstrip("/")
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-work-"))
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work")
     return sc.getCheckpointDir().rstrip("/")
 
 
+_paths: list[tuple[str, str]] = []
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Deletes what operators of this application wrote for themselves, once their results have been read."""
+    own = [p for app, p in _paths if app == spark.sparkContext.applicationId]
+    for path in own:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _paths[:] = [x for x in _paths if x[1] not in own]
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _paths.append((spark.sparkContext.applicationId, path))
+    return path
 
 
 def materialize(df: DataFrame, label: str, **options) -> DataFrame:
@@ -51,11 +69,11 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python workers once per application, so that they need no shared installation.
 
-    Unless the session says otherwise, Arrow batches get BATCH_ROWS rows: whole texts can be long, and a worker holds a batch at a time.
+    Unless the session sets another bound, Arrow batches get BATCH_BYTES bytes.
     """
-    sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    sc, bound = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -82,12 +100,31 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
+#: A key is hot with more rows than this and than this share of all, so there are few; its rows are dealt over so many tasks.
+HOT_ROWS, HOT_SHARE, SALTS = 1000, 1e-4, 64
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row for each key and in `rows` the number of its rows; total is the number of all rows.
+
+    The rows of hot keys are dealt over SALTS tasks, and their row of the table is repeated for each. No more than 1 / HOT_SHARE keys can
+    be hot, so their list is broadcast.
+    """
+    often = max(HOT_ROWS, int(HOT_SHARE * total))
+    hot = F.broadcast(table.where(F.col("rows") > often).select(key, F.lit(SALTS).alias("_salts")))
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).join(hot, key, "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_row", "_salts")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("rows") > often, F.lit(SALTS - 1)).otherwise(F.lit(0))))
+    return dealt.join(table.withColumn("_salt", every).drop("rows"), [key, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable, for each node that has an edge.
 
     edges: columns a and b of one orderable type; nulls, self-loops, repeats and either direction are fine. Alternating large-star
     and small-star rounds on DataFrames; every round's edges are written to the shared folder. A hub costs rows in proportion to its
-    links: its minimum is pre-aggregated, and nothing gathers a node's links into one row. An empty input gives no rows.
+    links: its minimum is pre-aggregated, its links are dealt over several tasks, and nothing gathers them into one row. An empty input
+    gives no rows.
     """
     raw = materialize(edges.select("a", "b"), label)
     now, seen = raw.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
@@ -97,9 +134,9 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
             break
         seen = (count, total)
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows")).select("a", F.least("a", "m").alias("m"), "rows")
+        large = join_unique(both, least, "a", 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
+        small = join_unique(large, least, "a", 2 * count).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b")
         now = materialize(small.distinct(), label)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -40,28 +40,38 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at.astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for b in batches:
-        nodes, sets, sketches = [], [], []
+        nodes, sets, sketches, prints = [], [], [], []
         for t in b.column("text").cast(pa.large_binary()):
             shingles = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"")
             own = shingles.tobytes()
             node = xxhash.xxh64_intdigest(own)
             sets.append(None if node in seen else own)
             sketches.append(None if node in seen else sketch(shingles))
+            prints.append(None if node in seen else np.uint64(majority(shingles)).view(np.int64))
             nodes.append(node)
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(node)
-        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], ["_id", "_hash", "node", "shingles", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(prints, pa.int64())], ["_id", "_hash", "node", "shingles", "sketch", "fp"])
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """_id, _hash (of the text), node (of the set), shingles and sketch for each row; within a task a set is given once, and is null in its repeats."""
+    """_id, _hash (of the text), node (of the set), shingles, sketch and SimHash fingerprint (fp) for each row; within a task a set is given once, and the last three are null in its repeats."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    return rows.mapInArrow(_sets, "_id long, _hash long, node long, shingles binary, sketch binary")
+    return rows.mapInArrow(_sets, "_id long, _hash long, node long, shingles binary, sketch binary, fp long")
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +177,29 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(near)
 
 
-def link_sets(sets: DataFrame) -> DataFrame:
-    """(node, component) of the sets that have a similar one; sets: node and shingles, where repeats are fine.
+def beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with these columns of both nodes, each named by its first letter and the side."""
+    for side in "ab":
+        pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(c[0] + side) for c in columns]), side)
+    return pairs
+
+
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) whose whole sets are similar enough. Only the sets that pairs name are joined, one row for each."""
+    pairs = materialize(pairs, "copies-pairs")
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "copies-nodes")
+    needed = sets.where("shingles is not null").select("node", "shingles").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    joined = beside(pairs, materialize(needed, "copies-sets", **SMALL), "shingles")
+    return materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), "copies-links")
+
+
+def link_sets(sets: DataFrame, known_links: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the sets that have a similar one; sets: node, shingles and sketch, where repeats are fine.
 
     Two similar sets share a shingle of their prefixes, whatever order all sets are sorted in; common shingles come last, so that groups
-    stay small. In each group first one member meets all others, then eight, then all; pairs that earlier rounds joined are left out, so
-    that a large cluster costs few comparisons. Every other pair that sizes, places and sketches allow is compared by its whole sets.
+    stay small. In each group first one member meets all others, then eight, then all; pairs that earlier rounds or known_links (a, b)
+    joined are left out, so that a large cluster costs few comparisons. Every other pair that sizes, places and sketches allow is compared
+    by its whole sets.
     """
     spark = sets.sparkSession
     given = sets.where("shingles is not null").select("node", "shingles")
@@ -199,22 +226,13 @@ def link_sets(sets: DataFrame) -> DataFrame:
     met = materialize(groups.select("node", "n").distinct(), "copies-nodes")
     sketches = materialize(sets.where("sketch is not null").select("node", "sketch").join(met, "node").dropDuplicates(["node"]), "copies-sketches")
 
-    def beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-        """pairs with these columns of both nodes, named a and b after them."""
-        for side in "ab":
-            pairs = pairs.join(table.select(F.col("node").alias(side), *[F.col(c).alias(c[0] + side) for c in columns]), side)
-        return pairs
-
-    links, members, start = None, None, 0
+    links, start = known_links, 0
+    members = None if links is None else connected_components(links, "copies-components")
     for stop in HUBS:
         known = groups.withColumn("component", F.col("node")) if members is None else groups.join(members, "node", "left").select(*groups.columns, F.coalesce("component", "node").alias("component"))
         pairs = known.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(start, stop), "a long, b long").distinct()
         left = beside(pairs, sketches.withColumnRenamed("sketch", "k"), "k", "n").select("a", "b", "ka", "kb", "na", "nb").mapInArrow(_not_excluded, "a long, b long")
-        left = materialize(left, "copies-pairs")
-        nodes = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "copies-nodes")
-        needed = materialize(given.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "copies-sets", **SMALL)
-        joined = beside(left, needed, "shingles")
-        found = materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), "copies-links")
+        found = confirm(sets, left)
         links = found if links is None else links.union(found)
         members = connected_components(links, "copies-components")
         start = stop

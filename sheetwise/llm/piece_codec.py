@@ -59,6 +59,7 @@ class PieceCodec:
         for p in reachable:
             self.longest.add_word(p, p)
         self.longest.make_automaton()
+        self.most = max(map(len, reachable)) + 1
         known = set(reachable)
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in known), None) for p in reachable}
         self.characters = {p for p in reachable if len(p) == 1}
@@ -86,21 +87,25 @@ class PieceCodec:
         return known
 
     def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text whose characters are all pieces."""
-        end, failed, parts, at, match, known = len(text), 0, [], 0, self.longest.iter_long, self.fits_memo.get
-        piece = next(match(text))[1]
+        """The pieces of a text whose characters are all pieces. Time and memory grow linearly with it.
+
+        The automaton reads on to the text's end, so in a long text it gets no more than the longest of all pieces.
+        """
+        end, parts, at, match, known, most = len(text), [], 0, self.longest.iter_long, self.fits_memo.get, self.most
+        failed, short = bytearray((end >> 3) + 1), end <= 4 * most
+        piece = next(match(text) if short else match(text[:most]))[1]
         while True:
             following = at + len(piece)
-            if not failed >> following & 1 and (not parts or (known((parts[-1], piece)) or self.fits(parts[-1], piece))):
+            if not failed[following >> 3] >> (following & 7) & 1 and (not parts or (known((parts[-1], piece)) or self.fits(parts[-1], piece))):
                 parts.append(piece)
                 at = following
                 if at == end:
                     return parts
-                piece = next(match(text, at))[1]
+                piece = next(match(text, at) if short else match(text[at : at + most]))[1]
             elif (shorter := self.shorter[piece]) is not None:
                 piece = shorter
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = parts.pop()
                 at -= len(piece)
 
@@ -208,20 +213,6 @@ def encode_text(codec: PieceCodec, units: _Units, text: str, end_id: int | None
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array of int, end id last) of every text; null texts count as empty and give the end id alone."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, units = codec_of(path)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            ids = [list(map(int, encode_text(codec, units, t or "")[0].split())) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
-
-
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, by encoding every whole text and decoding its ids again.
 

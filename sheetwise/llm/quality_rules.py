@@ -14,7 +14,7 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "it", "for", "with",
 #: (numerator, lower bound, upper bound, denominator): lower * denominator <= numerator <= upper * denominator must hold, all in
 #: hundredths of the denominator; None leaves a side open. A text that breaks one is dropped.
 THRESHOLDS = (
-    ("n_words", 2_000, 10_000_000_00, "one"),
+    ("n_words", 2_000, None, "one"),
     ("word_chars", 200, 2_000, "n_words"),
     ("n_symbols", None, 10, "n_words"),
     ("n_stop_words", 2, None, "n_words"),
@@ -100,7 +100,10 @@ def apply_rules(docs: DataFrame, keep: list[str], thresholds=THRESHOLDS) -> Data
 
 
 def keep_by_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """docs without those that the rules drop, in their own columns."""
+    """docs without those that the rules drop, in their own columns.
+
+    Null and empty texts go; repeated rows stay or go alike; an empty table gives no rows; columns of any name are packed away and return.
+    """
     # explode instead of where: a filter would be pushed below the projections and repeat all their work in its condition
     return _judged(docs, docs.columns, thresholds).select(F.explode(F.when(F.col("kept"), F.array("_kept"))).alias("_kept")).select("_kept.*")
 

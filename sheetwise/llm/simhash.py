@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import connected_components, materialize, read_table, ship
+from .common import connected_components, join_unique, materialize, read_table, ship
 
 SHINGLE, SEED = 3, 42
 #: Most differing bits of a link, and the segments in the ring.
@@ -29,12 +29,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     join = b" ".join
     shingles = map(join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) >= shingle else [join(words)]
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return near_copies.majority(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +108,7 @@ def _spanning(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = np.bitwise_count(prints[rest] ^ prints[at]) <= LIMIT
+            near = in_ring(np.full(len(rest), prints[at]), prints[rest])
             found = rest[near]
             left.append(np.full(len(found), prints[at]))
             right.append(prints[found])
@@ -212,20 +207,36 @@ def digest_components(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     prints = materialize(fingerprints(docs), "simhash-prints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    members = connected_components(link_fingerprints(prints.select("fp").distinct()), "simhash-components")
+    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-least")
+    members = connected_components(link_fingerprints(least.select("fp")), "simhash-components")
     lowest = members.withColumnRenamed("node", "fp").join(least, "fp")
     classes = lowest.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = materialize(lowest.select("fp", "component").join(classes, "component").select("fp", "component_id"), "simhash-classes")
-    known = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = least.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id"))
+    return join_unique(prints, known, "fp", prints.count()).select("doc_id", "fp", "component_id")
+
+
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): nodes of sets that fingerprints of at most LIMIT differing bits join, as a spanning set of pairs."""
+    prints = materialize(sets.where("fp is not null").select("fp", "node").distinct(), "copies-prints")
+    least = prints.groupBy("fp").agg(F.min("node").alias("least"))
+    same = prints.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = link_fingerprints(prints.select("fp").distinct())
+    for side in "ab":
+        links = links.join(least.select(F.col("fp").alias(side), F.col("least").alias(f"node_{side}")), side)
+    return same.unionByName(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """_id, _hash (of the text), rows (how many) and component of near copies, for each distinct pair of the first two."""
+    """_id, _hash (of the text), rows (how many) and component of near copies, for each distinct pair of the first two.
+
+    SimHash fingerprints of the five-word shingles find most near copies first, by the ring of segments; each such pair is confirmed by
+    its whole sets. Similar sets whose fingerprints differ in more bits are then found by prefixes, among the components left.
+    """
     sets = materialize(near_copies.shingle_sets(docs), "copies-rows", **near_copies.SMALL)
     own = sets.groupBy("node", "_id", "_hash").agg(F.count("*").alias("rows"))
-    placed = own.join(near_copies.link_sets(sets), "node", "left")
+    near = near_copies.confirm(sets, print_pairs(sets))
+    placed = own.join(near_copies.link_sets(sets, near), "node", "left")
     return materialize(placed.select("_id", "_hash", "rows", F.coalesce("component", "node").alias("component")), "copies-placed")
 
 
