@@ -17,6 +17,8 @@ BAR = "▁"
 LATIN = "A-Za-zÀ-ɏ"
 #: Units kept per worker; the cache is emptied when full.
 CACHE = 150_000
+#: Characters from which on a unit is encoded in linear time, a little slower for short ones.
+LONG = 128
 
 
 class PieceCodec:
@@ -87,21 +89,39 @@ class PieceCodec:
         return known
 
     def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text whose characters are all pieces. Time and memory grow linearly with it.
+        """The pieces of a text whose characters are all pieces."""
+        if len(text) > LONG:
+            return self.backtrack_long(text)
+        end, failed, parts, at, match, known = len(text), 0, [], 0, self.longest.iter_long, self.fits_memo.get
+        piece = next(match(text))[1]
+        while True:
+            following = at + len(piece)
+            if not failed >> following & 1 and (not parts or (known((parts[-1], piece)) or self.fits(parts[-1], piece))):
+                parts.append(piece)
+                at = following
+                if at == end:
+                    return parts
+                piece = next(match(text, at))[1]
+            elif (shorter := self.shorter[piece]) is not None:
+                piece = shorter
+            else:
+                failed |= 1 << at
+                piece = parts.pop()
+                at -= len(piece)
 
-        The automaton reads on to the text's end, so in a long text it gets no more than the longest of all pieces.
-        """
-        end, parts, at, match, known, most = len(text), [], 0, self.longest.iter_long, self.fits_memo.get, self.most
-        failed, short = bytearray((end >> 3) + 1), end <= 4 * most
-        piece = next(match(text) if short else match(text[:most]))[1]
+    def backtrack_long(self, text: str) -> list[str]:
+        """The same in time and memory linear in the text: the bits are bytes, and the automaton, which reads on to the end of what it is
+        given, gets no more than the longest of all pieces."""
+        end, failed, parts, at, match, most = len(text), bytearray((len(text) >> 3) + 1), [], 0, self.longest.iter_long, self.most
+        piece = next(match(text[:most]))[1]
         while True:
             following = at + len(piece)
-            if not failed[following >> 3] >> (following & 7) & 1 and (not parts or (known((parts[-1], piece)) or self.fits(parts[-1], piece))):
+            if not failed[following >> 3] >> (following & 7) & 1 and (not parts or self.fits(parts[-1], piece)):
                 parts.append(piece)
                 at = following
                 if at == end:
                     return parts
-                piece = next(match(text, at) if short else match(text[at : at + most]))[1]
+                piece = next(match(text[at : at + most]))[1]
             elif (shorter := self.shorter[piece]) is not None:
                 piece = shorter
             else:

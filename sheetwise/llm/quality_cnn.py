@@ -7,18 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, ship
 
 #: Bytes of a filter, step between its places, filters, bytes of a chunk and by how many the next one overlaps it.
 WIDTH, STRIDE, FILTERS, CHUNK, OVERLAP = 6, 2, 24, 512, 64
-#: Bound of the training sample (labelled rows, chosen by hash of doc_id), chunks of each that training sees, and passes.
-SAMPLE, TRAIN_CHUNKS, EPOCHS = 4000, 6, 24
+#: Bounds of the training sample (labelled rows, chosen by hash of doc_id, and bytes of their whole texts).
+SAMPLE, SAMPLE_BYTES = 4000, 24_000_000
+#: Steps that training should take, in no fewer and no more passes than these; texts of a step.
+STEPS, PASSES, TOGETHER = 1200, (18, 40), 64
 THRESHOLD = 0.7
-#: Bytes that a worker scores at a time.
-SLAB = 1 << 20
+#: Bytes that a worker scores at a time, and chunks that training holds at a time.
+SLAB, STEP = 1 << 20, 1024
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -31,18 +33,18 @@ def chunk_places(length: int) -> np.ndarray:
     return np.arange(max(1, -(-(length - OVERLAP) // step))) * step
 
 
-def chunked(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks as rows of bytes, filled with zeros; chunks of each text). most: that many, spread evenly, of each."""
-    counts, rows = [], []
-    for t in texts:
-        places = chunk_places(len(t))
-        if most is not None and len(places) > most:
-            places = places[np.linspace(0, len(places) - 1, most).astype(int)]
-        counts.append(len(places))
-        buffer = np.zeros(int(places[-1]) + CHUNK, np.uint8)
-        buffer[: min(len(t), len(buffer))] = np.frombuffer(t, np.uint8)[: len(buffer)]
-        rows.append(buffer[places[:, None] + np.arange(CHUNK)])
-    return np.concatenate(rows), np.array(counts)
+def chunks_of(text: bytes) -> np.ndarray:
+    """The chunks of a text as rows of bytes, filled with zeros: a view, so that a long text isn't copied for each chunk."""
+    n = len(chunk_places(len(text)))
+    buffer = np.zeros((n - 1) * (CHUNK - OVERLAP) + CHUNK, np.uint8)
+    buffer[: len(text)] = np.frombuffer(text, np.uint8)
+    return np.lib.stride_tricks.as_strided(buffer, (n, CHUNK), (CHUNK - OVERLAP, 1), writeable=False)
+
+
+def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks of all texts, chunks of each)."""
+    rows = [chunks_of(t) for t in texts]
+    return rows[0] if len(rows) == 1 else np.concatenate(rows), np.array([len(x) for x in rows])
 
 
 class Network:
@@ -91,31 +93,32 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: float = 0.02, seed: int = 7) -> Network:
-    """Adam on the log loss; a rarer good class would weigh down the others. Deterministic for the same rows in the same order."""
+def train(texts: list[bytes], labels: list[int], epochs: int | None = None, rate: float = 0.02, seed: int = 7) -> Network:
+    """Adam on the log loss over whole texts; a rarer good class would weigh down the others. Deterministic for the same rows in the same
+    order. Chunks go through the filters in slabs of STEP, so that memory doesn't grow with a text."""
     net = Network(seed)
     y = np.array(labels, np.float32)
+    epochs = epochs or int(np.clip(STEPS // (len(y) // TOGETHER + 1), *PASSES))
     if not len(y):
         return net
     share = float(np.clip(y.mean(), 0.02, 0.98))
     weight = np.where(y > 0, 1, min(1.0, share / (1 - share)) ** 0.5).astype(np.float32)
-    chunks, counts = chunked(texts, TRAIN_CHUNKS)
-    starts = np.cumsum(counts) - counts
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     r, step = np.random.default_rng(seed), 0
     places = (CHUNK - WIDTH) // STRIDE + 1
     for epoch in range(epochs):
         order = r.permutation(len(y))
-        for at in range(0, len(order), 64):
-            some = order[at : at + 64]
-            own = counts[some]
-            rows = np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in some])
-            x = chunks[rows]
-            total = net.filters[0][x[:, 0 : 2 * places : STRIDE]]
-            for k in range(1, WIDTH):
-                total += net.filters[k][x[:, k : k + 2 * places - 1 : STRIDE]]
-            best = total.argmax(axis=1)
-            raw = np.take_along_axis(total, best[:, None, :], axis=1)[:, 0] + net.bias
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            x, own = chunked([texts[i] for i in some])
+            raw, best = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int32)
+            for s in range(0, len(x), STEP):
+                part = x[s : s + STEP]
+                total = net.filters[0][part[:, 0 : 2 * places : STRIDE]]
+                for k in range(1, WIDTH):
+                    total += net.filters[k][part[:, k : k + 2 * places - 1 : STRIDE]]
+                best[s : s + STEP] = total.argmax(axis=1)
+                raw[s : s + STEP] = total.max(axis=1) + net.bias
             features = np.maximum(raw, 0)
             pooled = net.combine(features, own)
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.top + net.offset[0], -30, 30)))
@@ -126,9 +129,12 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
             d_high = np.where(features == high, np.repeat(d, own)[:, None] * net.top[FILTERS:], 0)
             d_raw = np.where(raw > 0, d_mean + d_high, 0).astype(np.float32)
             gradient = np.zeros_like(net.filters)
-            chunk, column = np.arange(len(x))[:, None], np.arange(FILTERS)[None, :]
-            for k in range(WIDTH):
-                np.add.at(gradient[k], (x[chunk, best * STRIDE + k], np.broadcast_to(column, best.shape)), d_raw)
+            column = np.arange(FILTERS)[None, :]
+            for s in range(0, len(x), STEP):
+                part = slice(s, s + STEP)
+                chunk = np.arange(len(x[part]))[:, None]
+                for k in range(WIDTH):
+                    np.add.at(gradient[k], (x[part][chunk, best[part] * STRIDE + k], np.broadcast_to(column, best[part].shape)), d_raw[part])
             step += 1
             speed = rate * (1 - epoch / epochs)
             for p_, g, (m, v) in zip(net.parameters(), (gradient, d_raw.sum(axis=0), gradient_top.astype(np.float32), np.array([d.sum()], np.float32)), moments, strict=True):
@@ -138,30 +144,24 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
     return net
 
 
-def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks of each text that training sees, one after another."""
-    for b in batches:
-        texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
-        cut = []
-        for t in texts:
-            places = chunk_places(len(t))
-            cut.append(t if len(places) <= TRAIN_CHUNKS else b"".join(t[places[i] : places[i] + CHUNK - OVERLAP] for i in np.linspace(0, len(places) - 1, TRAIN_CHUNKS).astype(int)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_order"), b.column("quality"), pa.array(cut, pa.binary())], ["doc_id", "rank", "quality", "excerpt"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Trains on at most sample labelled rows whose crc32(doc_id as text) mod 4 is not 2, the first by hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Network:
+    """Trains on at most sample labelled rows whose crc32(doc_id as text) mod 4 is not 2, the first by hash of doc_id, whole texts.
 
-    Only their ids, and then excerpts of bounded length, come to the driver. Without any such row the network gives 0.5 for every text.
+    Rows whose texts would bring the sum over `most` bytes are passed over, so that no more comes to the driver. Null labels and ids don't
+    count, null texts are empty. Without any row the network gives 0.5 for every text; with one class it learns that.
     """
     ship(docs.sparkSession)
     order = F.xxhash64("doc_id", F.lit(11))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
     chosen = usable.withColumn("_order", order).orderBy("_order", "doc_id", "quality").limit(sample)
     # at most `sample` rows of three numbers: a proven bound for the broadcast
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_order", "quality", "text")
-    rows = joined.mapInArrow(_excerpts, "doc_id long, rank long, quality int, excerpt binary").orderBy("rank", "doc_id", "quality", "excerpt").limit(sample).collect()
-    net = train([bytes(r["excerpt"]) for r in rows], [r["quality"] for r in rows])
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id")
+    # running sums over no more rows than the sample; larger texts stay in the executors
+    first = joined.select("_order", "doc_id", "quality", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("hash"), "text").where(F.col("size") <= most).orderBy("_order", "doc_id", "quality", "size", "hash").limit(sample)
+    before = F.sum("size").over(Window.orderBy("_order", "doc_id", "quality", "size", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = first.withColumn("sum", before).where(F.col("sum") <= most).orderBy("_order", "doc_id", "quality", "size", "hash").collect()
+    net = train([r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["quality"] for r in rows])
     if not rows:
         net.top[:] = 0
     return net
@@ -199,7 +199,10 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, net: Network) -> DataFrame:
-    """docs without those that score under THRESHOLD, in their own columns."""
+    """docs without those that score under THRESHOLD, in their own columns.
+
+    Null texts are judged as empty ones; repeated rows stay or go alike; an empty table gives no rows; other columns are kept as they are.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,6 +104,13 @@ def test_pieces_of_random_texts():
         assert codec.decode(ids) == library.decode(ids)
 
 
+def test_pieces_of_long_unbroken_texts():
+    library, codec, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(PIECES), random.Random(2)
+    for letters in ("的一是不了人我在有他", "abcdefing", "é漢a"):
+        text = "".join(r.choices(letters, k=3000))
+        assert codec.encode(text) == library.encode(text)
+
+
 def test_word_piece_lengths_are_greedy():
     starting, continuing = token_counts.word_pieces(PIECES)
     automaton, r = token_counts.LongestMatch(starting, continuing), random.Random(2)
@@ -423,6 +430,38 @@ def test_held_out_quality(spark):
     assert (scored.predicted == scored.quality).mean() > 0.93
 
 
+def test_network_by_brute_force():
+    """Scores by loops over chunks, places and filters; also of a text that goes through in several slabs."""
+    r, net = random.Random(4), quality_cnn.Network(3)
+    net.bias[:] = np.linspace(-1, 1, quality_cnn.FILTERS)
+    net.offset[:] = 0.3
+    texts = [b"", b"x", bytes(r.randrange(256) for _ in range(700)), b"some words " * 200]
+
+    def score(text):
+        features = []
+        for at in quality_cnn.chunk_places(len(text)).tolist():
+            chunk = text[at : at + quality_cnn.CHUNK].ljust(quality_cnn.CHUNK, b"\0")
+            best = [-math.inf] * quality_cnn.FILTERS
+            for start in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+                for f in range(quality_cnn.FILTERS):
+                    best[f] = max(best[f], sum(float(net.filters[k, chunk[start + k], f]) for k in range(quality_cnn.WIDTH)))
+            features.append([max(0.0, b + float(net.bias[f])) for f, b in enumerate(best)])
+        pooled = [sum(c) / len(features) for c in zip(*features, strict=True)] + [max(c) for c in zip(*features, strict=True)]
+        return 1 / (1 + math.exp(-sum(p * float(w) for p, w in zip(pooled, net.top, strict=True)) - 0.3))
+
+    assert np.allclose(net.scores(texts), [score(t) for t in texts], atol=1e-5)
+    long = b"a long text of many chunks " * 60_000
+    assert math.isclose(net.scores([long])[0], net.scores([long, b""])[0], rel_tol=1e-6)
+
+
+def test_fit_on_odd_labels(spark, docs, odd):
+    """No rows, null labels, one class, texts over the byte bound."""
+    labels = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, quality int")
+    assert quality_cnn.fit(odd, labels((None, 1), (0, None))).scores([b"x", b""]).tolist() == [0.5, 0.5]
+    assert quality_cnn.fit(odd.where("false"), labels((4, 1))).scores([b"x"]).tolist() == [0.5]
+    assert quality_cnn.fit(odd, labels(*[(i, 1) for i in range(9)]), most=1000).scores([b"The same words"])[0] > 0.5
+
+
 def test_chunks_cover_a_text():
     for n in (0, 1, 64, 512, 513, 960, 961, 5000):
         places = quality_cnn.chunk_places(n)
