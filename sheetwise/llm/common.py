@@ -41,13 +41,19 @@ def work_dir(spark: SparkSession) -> str:
 _paths: list[tuple[str, str]] = []
 
 
-def remove_work(spark: SparkSession) -> None:
-    """Deletes what operators of this application wrote for themselves, once their results have been read."""
-    own = [p for app, p in _paths if app == spark.sparkContext.applicationId]
-    for path in own:
+def remove_work(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes what operators of this application wrote for themselves since a work_mark, once it is of no more use; keep_last: but the last."""
+    app = spark.sparkContext.applicationId
+    some = _paths[since:-1] if keep_last else _paths[since:]
+    gone = {p for a, p in some if a == app}
+    for path in gone:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    _paths[:] = [x for x in _paths if x[1] not in own]
+    _paths[since:] = [x for x in _paths[since:] if x[1] not in gone]
+
+
+def work_mark() -> int:
+    return len(_paths)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -83,23 +83,35 @@ def resolve_link(url: Column, to: Column) -> Column:
     )
 
 
+#: What isn't markup (comments, scripts, styles), a link or meta tag with quoted values, and an attribute with its value.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+TAG = r"""(?is)<(?:link|meta)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, in any case; null without one. &amp; is unescaped."""
+    pattern = F.lit(ATTRIBUTE)
+    named = F.filter(F.regexp_extract_all(tag, pattern, F.lit(0)), lambda a: F.lower(F.regexp_extract(a, ATTRIBUTE, 1)) == name)
+    first = F.get(named, 0)
+    value = F.concat(*[F.regexp_extract(first, ATTRIBUTE, k) for k in (2, 3, 4)])
+    return F.regexp_replace(F.trim(value), "(?i)&(?:amp|#38|#x26);", "&")
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """(a, b): nodes joined by <link rel=canonical> or <meta http-equiv=refresh> in html.
 
-    Attributes may be on several lines, and canonical any of the tokens of rel. All targets count, relative ones as resolve_link reads
-    them; <base> is not read. &amp; is unescaped.
+    Attributes may be on several lines, quoted values may hold >, and canonical may be any of the tokens of rel. Comments, scripts and
+    styles hold no tags. All targets count, relative ones as resolve_link reads them; <base> is not read.
     """
-    quoted, named = r"""\s*=\s*["']?\s*""", r"""(?is)^<{}\b.*[\s"'/]{}"""
-    token = r"""\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
-    tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(TAG), F.lit(0))
     tag = F.col("tag")
-    target = (
-        F.when(tag.rlike(named.format("link", "rel") + token), F.regexp_extract(tag, rf"""(?i)[\s"'/]href{quoted}([^"'\s>]+)""", 1))
-        .when(tag.rlike(named.format("meta", "http-equiv") + rf"{quoted}refresh\b"), F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    )
+    canonical = F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh"
+    target = F.when(tag.rlike("(?i)^<link"), F.when(canonical, F.trim(attribute(tag, "href")))).when(refresh, F.regexp_extract(attribute(tag, "content"), r"""(?is)\burl\s*=\s*["']?\s*([^"'\s]+)""", 1))
     # the pages' text is read once; what is left are a few short tags
     tagged = pages.where("url is not null and html is not null").select("url", F.explode(tags).alias("tag")).where(F.col("tag").rlike("(?i)canonical|refresh"))
-    found = materialize(tagged, "url-tags").select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("to"))
+    found = materialize(tagged, "url-tags").select("url", target.alias("to"))
     linked = materialize(found.select("url", resolve_link(F.col("url"), F.col("to")).alias("to")).where("to is not null"), "url-targets")
     return linked.select(url_node(F.col("url")).alias("a"), url_node(F.col("to")).alias("b"))
 

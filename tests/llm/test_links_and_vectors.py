@@ -1,6 +1,10 @@
 """URL classes, connected components and vector search."""
 
+import collections
 import random
+import re
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -58,9 +62,67 @@ LINKS = [
     ('<link rel="stylesheet" title="canonical" href="http://u.test/">', None),
     ('<link rel="canonical" href="mailto:a@u.test">', None),
     ('<link rel="canonical" href="#part">', None),
+    ('<link title="a > b" rel="canonical" href="http://u.test/q?a>b">', "http://u.test/q?a>b"),
+    ("<LINK REL = 'Canonical'\r\n\tHREF = ' en/1 ' />", "http://h.test/a/b/en/1"),
+    ('<!-- <link rel="canonical" href="http://u.test/"> -->', None),
+    ('<script>var a = \'<link rel="canonical" href="http://u.test/">\';</script>', None),
+    ('<link data-x=" href=http://no.test/ " rel="x canonical" href="http://u.test/1" href="http://u.test/2">', "http://u.test/1"),
+    ('<linker rel="canonical" href="http://u.test/">', None),
+    ('<meta content="5; URL=\'/r\'" http-equiv=" Refresh ">', "http://h.test/r"),
+    ('<meta name="refresh" content="0; url=/r">', None),
+    ('<!-- open <link rel="canonical" href="http://u.test/">', None),
 ]
 
 
+class LinkParser(HTMLParser):
+    """The same targets by the standard library's parser of HTML and of URLs."""
+
+    def __init__(self, url):
+        super().__init__()
+        self.url, self.found = url, []
+
+    def handle_starttag(self, tag, attrs):
+        first = {}
+        for k, v in attrs:
+            first.setdefault(k, v or "")
+        to = None
+        if tag == "link" and "canonical" in first.get("rel", "").lower().split():
+            to = first.get("href", "").strip()
+        elif tag == "meta" and first.get("http-equiv", "").strip().lower() == "refresh":
+            m = re.search(r"""(?i)\burl\s*=\s*["']?\s*([^"'\s]+)""", first.get("content", ""))
+            to = m and m[1]
+        if to and not to.startswith("#") and (re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", to) is None or "://" in to):
+            whole = urljoin(self.url, to)
+            scheme, rest = whole.split("://", 1)
+            host = re.match(r"[^/?#]*", rest)[0]
+            self.found.append(f"{scheme.lower()}://{host.lower()}{rest[len(host):].partition('#')[0]}")
+
+
+def test_links_by_a_parser(spark):
+    """Random tags of all these forms in one page each, and very long ones."""
+    r = random.Random(12)
+    noise = ["<p>", "text ", "<!-- c -->", "<style>a{}</style>", '<a href="x">', "<br/>"]
+    pages = [("".join(r.choices([h for h, _ in LINKS[:-1]] + noise, k=6))) for _ in range(60)]
+    pages += ["<link " + 'a="b" ' * 50_000 + 'rel="canonical" href="/far">', "<div>" * 200_000 + LINKS[0][0], "<!--" * 50_000 + "--><link rel=canonical href=/y>"]
+    url = "http://h.test/a/b/c.html?q=1"
+    frame = spark.createDataFrame([(url + f"&{i}", h) for i, h in enumerate(pages)], "url string, html string")
+    got = collections.defaultdict(list)
+    for x in url_filter.html_links(frame).collect():
+        got[x["a"]].append(x["b"])
+    for i, h in enumerate(pages):
+        parser = LinkParser(url + f"&{i}")
+        parser.feed(h)
+        parser.close()
+        assert sorted(got[url + f"&{i}"]) == sorted(parser.found), h[:500]
+
+
+def test_clashing_columns_and_long_pages(spark):
+    """Columns named like the operator's own, a page of some MB, repeated rows."""
+    rows = [(1, "http://a.test/x", "x" * 3_000_000 + '<link rel=canonical href="http://b.com/en/">')] * 2 + [(2, "http://b.com/en/", None)]
+    frame = spark.createDataFrame([(*x, 1, 2, 3, "r", "allow", "h") for x in rows], "page_id long, url string, html string, node int, own int, shared int, rule string, verdict string, tag string")
+    assert sorted((x["page_id"], x["verdict"]) for x in url_filter.filter_urls(frame).collect()) == [(1, "block"), (1, "block"), (2, "block")]
+
+
 @pytest.mark.parametrize("html, target", LINKS)
 def test_links_are_found_and_resolved(spark, html, target):
     page = spark.createDataFrame([("http://h.test/a/b/c.html?q=1", html)], "url string, html string")

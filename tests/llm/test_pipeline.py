@@ -1,6 +1,6 @@
 import corpus_pipeline
 import __spark_entry__
-from sheetwise.llm import mixing, piece_codec, quality_cnn, quality_rules, registry, simhash
+from sheetwise.llm import common, mixing, piece_codec, quality_cnn, quality_rules, registry, simhash
 from sheetwise.llm.common import read_table
 
 from ..conftest import DATA
@@ -35,3 +35,28 @@ def test_registered():
     assert {"pipeline", *registry.QUERIES} <= set(__spark_entry__.queries())
     assert set(registry.ORACLES) <= set(__spark_entry__.oracle_sql())
     assert piece_codec.END_ID == 2
+
+
+def test_run_is_its_stages(spark):
+    """run() gives what the stages give one after another, and leaves nothing but their outputs."""
+    docs = read_table(spark, DATA, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+    mark = common.work_mark()
+    got = sorted(map(str, corpus_pipeline.run(spark, DATA).collect()))
+    assert got == sorted(map(str, docs.collect())) and common.work_mark() == mark + len(corpus_pipeline.STAGES) - 1
+
+
+def test_stages_take_odd_and_empty_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, null ids and sources, clashing columns; and no rows at all."""
+    good = [r[:] for r in read_table(spark, DATA, "documents").join(read_table(spark, DATA, "labels").where("quality = 1"), "doc_id").select("doc_id", "text", "lang", "source", "n_chars").limit(12).collect()]
+    rows = [*good, *good[:3], (None, good[0][1], "en", None, 1), (None, None, None, None, None), (900, "", "en", "a", 0), (901, "x" * 200_000, "en", "a", 0)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _kept int, size int, rows int, fp int, node int, score double"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 0.5) for r in rows], columns)
+    spark.createDataFrame([(r[0], 1) for r in good], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            assert out.count() <= 3 * table.count(), name
+            if name != "encoding":
+                assert out.columns == table.columns
