@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, ship
+from .common import lean, materialize, read_table, ship
 
 #: Bytes of text that one batch of documents holds, and of all text for each shard of counts.
 BATCH_BYTES, SHARD_BYTES = 16_000_000, 24_000_000
@@ -363,14 +363,14 @@ def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    batches = materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_number, BATCHES), "lm-batches")
+    batches = materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(_number), BATCHES), "lm-batches")
     size = batches.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("trained"), F.lit(0)).alias("trained")).first()
     often = batches.select(F.explode("common").alias("c")).groupBy("c.word").agg(F.sum("c.n").alias("n")).where(F.col("n") >= max(HOT_COUNT, HOT_SHARE * size["trained"]))
     # no more than 1 / HOT_SHARE words, and the start, can have that share
     hot = np.sort(np.array([r["word"] for r in often.collect()], np.int64).view(np.uint64))
     if shards is None:
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // SHARD_BYTES))
-    asked = batches.mapInArrow(_ask(shards, hot), REQUESTS)
+    asked = batches.mapInArrow(lean(_ask(shards, hot)), REQUESTS)
     answers = materialize(asked.groupBy("shard").applyInArrow(_count(hot), ANSWERS), "lm-answers")
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "once", "twice", "pair_once", "pair_twice")]).first().asDict()
     sums["distinct"] += len(hot)

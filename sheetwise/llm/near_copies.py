@@ -10,34 +10,68 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, ship
+from .common import connected_components, lean, materialize, remove_work, ship, work_mark
 
 SHINGLE = 5
 #: The similarity of a link as a fraction, 4 / 5.
 PART, WHOLE = 4, 5
 #: Cells that count how common shingles are, and how far above a task's mean a cell is reported.
 CELL_BITS, COMMON = 20, 4
-#: Members of each group that are compared with all others, round by round; None stands for all.
+#: Members of each group that are compared with all others, round by round; None stands for all. Before the last round a set is compared
+#: with one other only.
 HUBS = (1, 8, None)
-SEEN = 500_000
+SEEN = 200_000
 #: Writers of whole sets hold no more than this; the hashes have nothing that a dictionary could save.
 SMALL = {"parquet.block.size": 8 << 20, "parquet.enable.dictionary": "false"}
-#: Bits of a sketch.
-SKETCH = 1024
+#: Bits of a shingle's hash: of two texts' shingles no two different ones have one hash but by a chance of some 1e-8.
+HASH_BITS = 48
+#: Least bits of a sketch, and pairs whose sets meet in one task.
+SKETCH, TOGETHER = 1024, 64
 
 
 def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of the lower-cased words (all words if fewer, also if none)."""
+    """Sorted distinct hashes of the shingles of the lower-cased words (all words if fewer, also if none)."""
     words = text.lower().split()
     join, digest = b" ".join, xxhash.xxh64_intdigest
     shingles = set(map(join, zip(*[words[i:] for i in range(SHINGLE)], strict=False))) if len(words) >= SHINGLE else {join(words)}
-    return np.unique(np.fromiter(map(digest, shingles), np.uint64, len(shingles)))
+    return np.unique(np.fromiter(map(digest, shingles), np.uint64, len(shingles)) >> np.uint64(64 - HASH_BITS))
+
+
+def squeeze_set(shingles: np.ndarray) -> bytes:
+    """Differences of sorted hashes, byte plane by byte plane."""
+    delta = np.diff(shingles, prepend=np.uint64(0))
+    return np.ascontiguousarray(delta.astype("<u8").view(np.uint8).reshape(-1, 8).T[: HASH_BITS // 8]).tobytes()
+
+
+def expand_set(blob) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(HASH_BITS // 8, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : HASH_BITS // 8] = planes.T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """The parity of how many shingles fall into each bit: two sets differ in at least as many shingles as their sketches do in bits."""
-    at = (shingles >> np.uint64(20)) & np.uint64(SKETCH - 1)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    """The parity of how many shingles fall into each bit: two sets differ in at least as many shingles as their sketches do in bits.
+
+    There are two bits for a shingle or more, a power of two, so that the sketches of unlike sets differ in more bits than similar ones may.
+    """
+    bits = max(SKETCH, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the other's length, which keeps parities."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def xxh_spread(shingles: np.ndarray) -> np.ndarray:
+    """64 mixed bits of each hash."""
+    x = shingles * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -55,11 +89,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sets, sketches, prints = [], [], [], []
         for t in b.column("text").cast(pa.large_binary()):
             shingles = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"")
-            own = shingles.tobytes()
+            own = squeeze_set(shingles)
             node = xxhash.xxh64_intdigest(own)
             sets.append(None if node in seen else own)
             sketches.append(None if node in seen else sketch(shingles))
-            prints.append(None if node in seen else np.uint64(majority(shingles)).view(np.int64))
+            prints.append(None if node in seen else np.uint64(majority(xxh_spread(shingles))).view(np.int64))
             nodes.append(node)
             if len(seen) >= SEEN:
                 seen.clear()
@@ -71,14 +105,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """_id, _hash (of the text), node (of the set), shingles, sketch and SimHash fingerprint (fp) for each row; within a task a set is given once, and the last three are null in its repeats."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
-    return rows.mapInArrow(_sets, "_id long, _hash long, node long, shingles binary, sketch binary, fp long")
+    return rows.mapInArrow(lean(_sets), "_id long, _hash long, node long, shingles binary, sketch binary, fp long")
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << CELL_BITS, np.int64)
     for b in batches:
         for s in b.column("shingles"):
-            cells = np.frombuffer(s.as_buffer(), np.uint64) >> np.uint64(64 - CELL_BITS)
+            cells = expand_set(s.as_buffer()) >> np.uint64(HASH_BITS - CELL_BITS)
             np.add.at(counts, cells.astype(np.int64), 1)
     cells = np.flatnonzero(counts > COMMON * (4 + counts.mean()))
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
@@ -87,7 +121,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the order of rising counts of their cells, then by hash: two sets that are similar enough share one of them."""
     n = len(shingles)
-    order = np.argsort(counts[(shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
+    order = np.argsort(counts[(shingles >> np.uint64(HASH_BITS - CELL_BITS)).astype(np.int64)], kind="stable")
     return shingles[order[: n - -(-PART * n // WHOLE) + 1]]
 
 
@@ -159,8 +193,7 @@ def _not_excluded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         if not b.num_rows:
             continue
-        bits = [np.frombuffer(b"".join(s.as_py() for s in b.column(c)), np.uint64).reshape(b.num_rows, -1) for c in ("ka", "kb")]
-        differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        differ = np.array([sketches_differ(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column("ka"), b.column("kb"), strict=True)], np.int64)
         size = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((WHOLE + PART) * differ <= (WHOLE - PART) * size))
 
@@ -171,10 +204,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by a, part and kind: the set of a (kind 0), and then the sets that it is compared with, one at a time."""
+    at, held = None, None
     for b in batches:
-        sets = [[np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(c)] for c in ("sa", "sb")]
-        near = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(near)
+        found = []
+        for a, part, kind, node, blob in zip(*(b.column(c).to_pylist() for c in ("a", "part", "kind", "node")), b.column("shingles"), strict=True):
+            if kind == 0:
+                at, held = (a, part), expand_set(blob.as_buffer())
+            elif at == (a, part) and similar(held, expand_set(blob.as_buffer())):
+                found.append((a, node))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -185,16 +224,23 @@ def beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
 
 
 def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of nodes (a, b) whose whole sets are similar enough. Only the sets that pairs name are joined, one row for each."""
+    """The pairs of nodes (a, b) whose whole sets are similar enough.
+
+    The set of a goes once to each part of some TOGETHER of its pairs, and the other sets come to it; of equal sets one row is read.
+    """
     pairs = materialize(pairs, "copies-pairs")
-    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "copies-nodes")
-    needed = sets.where("shingles is not null").select("node", "shingles").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    joined = beside(pairs, materialize(needed, "copies-sets", **SMALL), "shingles")
-    return materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_confirmed, "a long, b long"), "copies-links")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    both = dealt.select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("node")).distinct().unionByName(dealt.select("a", "part", F.lit(1).alias("kind"), F.col("b").alias("node")))
+    first = sets.where("shingles is not null").groupBy("node").agg(F.min("row").alias("row"))
+    wanted = materialize(both.join(first, "node"), "copies-wanted")
+    rows = sets.select("node", "row", "shingles").join(wanted, ["node", "row"]).select("a", "part", "kind", "node", "shingles")
+    met = rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(lean(_confirmed), "a long, b long")
+    return materialize(met, "copies-links")
 
 
 def link_sets(sets: DataFrame, known_links: DataFrame | None = None) -> DataFrame:
-    """(node, component) of the sets that have a similar one; sets: node, shingles and sketch, where repeats are fine.
+    """(node, component) of the sets that have a similar one; sets: row, node, shingles and sketch, where repeats are fine.
 
     Two similar sets share a shingle of their prefixes, whatever order all sets are sorted in; common shingles come last, so that groups
     stay small. In each group first one member meets all others, then eight, then all; pairs that earlier rounds or known_links (a, b)
@@ -204,13 +250,13 @@ def link_sets(sets: DataFrame, known_links: DataFrame | None = None) -> DataFram
     spark = sets.sparkSession
     given = sets.where("shingles is not null").select("node", "shingles")
     counts = np.zeros(1 << CELL_BITS, np.uint32)
-    common = given.mapInArrow(_common, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    common = given.mapInArrow(lean(_common), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts[common["cell"].to_numpy(np.int64)] = np.minimum(common["n"].to_numpy(np.int64), 0xFFFFFFFF)
     shared = spark.sparkContext.broadcast(counts)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.frombuffer(s.as_buffer(), np.uint64) for s in b.column("shingles")]
+            own = [expand_set(s.as_buffer()) for s in b.column("shingles")]
             first = [prefix(s, shared.value) for s in own]
             size = np.fromiter(map(len, first), np.int64, len(first))
             if not len(first):
@@ -220,7 +266,7 @@ def link_sets(sets: DataFrame, known_links: DataFrame | None = None) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "place"])
 
     shape = "key long, node long, n int, place int"
-    rows = given.mapInArrow(keys, shape).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, shape)
+    rows = given.mapInArrow(lean(keys), shape).repartition("key").sortWithinPartitions("key").mapInArrow(lean(_shared), shape)
     groups = materialize(rows, "copies-groups")
     # the nodes are written first: while they are small, Spark broadcasts them, and the sets aren't shuffled
     met = materialize(groups.select("node", "n").distinct(), "copies-nodes")
@@ -229,11 +275,15 @@ def link_sets(sets: DataFrame, known_links: DataFrame | None = None) -> DataFram
     links, start = known_links, 0
     members = None if links is None else connected_components(links, "copies-components")
     for stop in HUBS:
+        mark = work_mark()
         known = groups.withColumn("component", F.col("node")) if members is None else groups.join(members, "node", "left").select(*groups.columns, F.coalesce("component", "node").alias("component"))
-        pairs = known.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(start, stop), "a long, b long").distinct()
-        left = beside(pairs, sketches.withColumnRenamed("sketch", "k"), "k", "n").select("a", "b", "ka", "kb", "na", "nb").mapInArrow(_not_excluded, "a long, b long")
+        pairs = known.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_pairs(start, stop)), "a long, b long").distinct()
+        left = beside(pairs, sketches.withColumnRenamed("sketch", "k"), "k", "n").select("a", "b", "ka", "kb", "na", "nb").mapInArrow(lean(_not_excluded), "a long, b long")
+        if stop is not None:
+            left = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         found = confirm(sets, left)
+        remove_work(spark, mark, keep_last=True)
         links = found if links is None else links.union(found)
         members = connected_components(links, "copies-components")
-        start = stop
+        start = 0
     return members

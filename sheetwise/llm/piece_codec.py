@@ -10,7 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, ship
+from .common import lean, read_table, ship
 
 END_ID = 2
 BAR = "▁"
@@ -252,7 +252,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                 d.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, ship
+from .common import lean, read_table, ship
 
 #: Bytes of a filter, step between its places, filters, bytes of a chunk and by how many the next one overlaps it.
 WIDTH, STRIDE, FILTERS, CHUNK, OVERLAP = 6, 2, 24, 512, 64
@@ -195,7 +195,7 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
             held = pa.array([is_held_out(i) for i in ids.to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([ids, held, pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, net: Network) -> DataFrame:
@@ -209,7 +209,7 @@ def keep_good(docs: DataFrame, net: Network) -> DataFrame:
         for b, scores in _score_batches(net, batches):
             yield b.filter(pa.array(scores >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

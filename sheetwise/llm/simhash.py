@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import connected_components, join_unique, materialize, read_table, ship
+from .common import connected_components, join_unique, lean, materialize, read_table, ship
 
 SHINGLE, SEED = 3, 42
 #: Most differing bits of a link, and the segments in the ring.
@@ -41,7 +41,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every whole text; null counts as empty."""
     ship(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(_fingerprints), "doc_id long, fp long")
 
 
 def ring_rows(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +179,9 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     larger groups come back under finer keys, round after round, until every group fits (with all 64 bits in single pieces a key leaves
     at most 8 fingerprints). Within a group over 64 rows only a spanning forest is emitted, never all pairs.
     """
-    rows, links, level = distinct.mapInArrow(_ring_keys, "key long, fp long"), None, 0
+    rows, links, level = distinct.mapInArrow(lean(_ring_keys), "key long, fp long"), None, 0
     while True:
-        compared = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long, linked boolean")
+        compared = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compare), "a long, b long, linked boolean")
         compared = materialize(compared, "simhash-links")
         found = compared.where("linked").select("a", "b")
         links = found if links is None else links.union(found)
@@ -196,7 +196,7 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
                 for keys in refine_rows(b.column("a").to_numpy(), prints.view(np.uint64), min(level, 15)):
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints)], ["key", "fp"])
 
-        rows = large.mapInArrow(finer, "key long, fp long")
+        rows = large.mapInArrow(lean(finer), "key long, fp long")
 
 
 def digest_components(docs: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     SimHash fingerprints of the five-word shingles find most near copies first, by the ring of segments; each such pair is confirmed by
     its whole sets. Similar sets whose fingerprints differ in more bits are then found by prefixes, among the components left.
     """
-    sets = materialize(near_copies.shingle_sets(docs), "copies-rows", **near_copies.SMALL)
+    sets = materialize(near_copies.shingle_sets(docs).withColumn("row", F.monotonically_increasing_id()), "copies-rows", **near_copies.SMALL)
     own = sets.groupBy("node", "_id", "_hash").agg(F.count("*").alias("rows"))
     near = near_copies.confirm(sets, print_pairs(sets))
     placed = own.join(near_copies.link_sets(sets, near), "node", "left")

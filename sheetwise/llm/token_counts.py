@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, ship
+from .common import lean, read_table, ship
 
 #: Words kept per worker; the cache is emptied when full.
 CACHE = 400_000
@@ -124,7 +124,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 tokens.append(sum(counts) + unknown[-1])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (words, unknown, tokens))], ["doc_id", "n_words", "n_unknown", "n_tokens"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_unknown long, n_tokens long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), "doc_id long, n_words long, n_unknown long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, read_table, ship
+from .common import fresh_path, lean, materialize, read_table, ship
 
 END_ID = 2
 MAGIC = b"SWTOK1\0\0"
@@ -217,15 +217,17 @@ class _Words(dict):
 _words: dict[str, _Words] = {}
 
 
-def _slices(texts: list[bytes], most: int = 8_000_000) -> Iterator[slice]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+def _together(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.Table]:
+    """doc_id and text as bytes of several batches at a time, up to some MB: the more words, the more of them repeat."""
+    held, size = [], 0
+    for b in batches:
+        held.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text").cast(pa.large_binary())], ["doc_id", "text"]))
+        size += b.nbytes
         if size >= most:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 class Ranges:
@@ -284,19 +286,17 @@ def token_rows(docs: DataFrame, path: str, end_id: int, ranges: Ranges) -> DataF
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             _words[import_path] = _Words(import_path)
         words, squeeze = _words[import_path], zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
-            for part in _slices(texts):
-                ids, lengths = words.encode(texts[part], end_id)
-                ends = np.cumsum(lengths)
-                narrow = ids.astype("<u2") if int(ids.max(initial=0)) < 1 << 16 else ids
-                payloads = [squeeze.compress((b"\2" if narrow.itemsize == 2 else b"\4") + narrow[e - n : e].tobytes()) for e, n in zip(ends, lengths, strict=True)]
-                ties = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
-                own = b.column("doc_id")[part]
-                bucket = ranges.of(own.fill_null(0).to_numpy(), own.is_valid().to_numpy(zero_copy_only=False), np.array(ties, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), own, pa.array(ties, pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "doc_id", "tie", "payload"])
+        for b in _together(batches):
+            ids, lengths = words.encode([t or b"" for t in b.column("text").to_pylist()], end_id)
+            ends = np.cumsum(lengths)
+            narrow = ids.astype("<u2") if int(ids.max(initial=0)) < 1 << 16 else ids
+            payloads = [squeeze.compress((b"\2" if narrow.itemsize == 2 else b"\4") + narrow[e - n : e].tobytes()) for e, n in zip(ends, lengths, strict=True)]
+            ties = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
+            own = b.column("doc_id").combine_chunks()
+            bucket = ranges.of(own.fill_null(0).to_numpy(), own.is_valid().to_numpy(zero_copy_only=False), np.array(ties, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), own, pa.array(ties, pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "doc_id", "tie", "payload"])
 
-    return docs.mapInArrow(run, "bucket int, doc_id long, tie long, payload binary")
+    return docs.mapInArrow(lean(run), "bucket int, doc_id long, tie long, payload binary")
 
 
 def _writer(folder: str):
@@ -364,7 +364,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, range_docs: i
     coded = token_rows(rows, path, end_id, ranges)
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
-    written = coded.repartitionById(ranges.count, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(_writer(uri), "bucket int, number int, name string, docs long, tokens long")
+    written = coded.repartitionById(ranges.count, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie").mapInArrow(lean(_writer(uri)), "bucket int, number int, name string, docs long, tokens long")
     return folder, materialize(written, "token-manifest")
 
 
@@ -378,7 +378,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     before = Window.partitionBy("group").orderBy("bucket", "number").rowsBetween(Window.unboundedPreceding, -1)
     offsets = grouped.withColumn("inside", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(earlier, "group").select("name", (F.col("inside") + F.col("earlier")).alias("offset"))
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    found = files.mapInArrow(_decode, "name string, doc_id long, within long, n_tokens long, ids_crc32 long")
+    found = files.mapInArrow(lean(_decode), "name string, doc_id long, within long, n_tokens long, ids_crc32 long")
     return found.join(offsets, "name").select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, ship
+from .common import lean, materialize, read_table, ship
 
 TOP = 20
 #: Rows that the tree is fitted on, children of a node, queries that calibrate, and the recall they need.
@@ -201,7 +201,7 @@ def _brute(queries: np.ndarray, asking: np.ndarray, top: int):
 def brute_force(indexed: DataFrame, asking: list, top: int) -> DataFrame:
     """merge_top of all rows for a bounded list of query rows (row and v)."""
     vectors, rows = np.array([q["v"] for q in asking], np.float64), np.array([q["row"] for q in asking], np.int64)
-    return merge_top(indexed.select("row", "id", "leaf", "v").mapInArrow(_brute(vectors, rows, top), FOUND_SCHEMA), top, indexed.count() // 1000 + 1)
+    return merge_top(indexed.select("row", "id", "leaf", "v").mapInArrow(lean(_brute(vectors, rows, top)), FOUND_SCHEMA), top, indexed.count() // 1000 + 1)
 
 
 def calibrate(tree: Tree, indexed: DataFrame, asking: list, top: int, recall: float) -> int:
@@ -239,7 +239,7 @@ def build_index(vectors: DataFrame, is_query, top: int = TOP, fit: int = FIT, le
     asks = F.coalesce(is_query(F.col("id")), F.lit(False)).alias("query")
     # the row numbers are written with the rows, so that they never change
     numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "id", "v", asks)
-    indexed = materialize(numbered.mapInArrow(index, "row long, id long, v array<double>, query boolean, leaf long"), "ann-index")
+    indexed = materialize(numbered.mapInArrow(lean(index), "row long, id long, v array<double>, query boolean, leaf long"), "ann-index")
     some = indexed.where("query").select("row", "v").orderBy(F.xxhash64("row", F.lit(4)), "row").limit(CALIBRATE).collect()
     return Index(tree, indexed, calibrate(tree, indexed, some, top, recall), total)
 
@@ -262,9 +262,9 @@ def search_index(index: Index, top: int = TOP) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([x for y in leaves for x in y], np.int64)), *(b.column(c).take(take) for c in ("row", "v", "floor"))], ["leaf", "row", "v", "floor"])
 
-        sent = asking.select("row", "v", "floor").mapInArrow(visited, "leaf long, row long, v array<double>, floor double")
+        sent = asking.select("row", "v", "floor").mapInArrow(lean(visited), "leaf long, row long, v array<double>, floor double")
         sent = sent.join(F.broadcast(sizes), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "row", F.lit(0).cast("long").alias("id"), "v", F.lit(True).alias("query"), "floor")
-        return rows.unionByName(sent).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "query").mapInArrow(_scored(top), FOUND_SCHEMA)
+        return rows.unionByName(sent).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "query").mapInArrow(lean(_scored(top)), FOUND_SCHEMA)
 
     asking = indexed.where("query").select("row", "v")
     near = materialize(found_in(0, min(PROBE, visits), asking.withColumn("floor", F.lit(LOWEST))), "ann-probed")
