@@ -10,33 +10,57 @@ def is_digits(t: Column) -> Column:
     return t.rlike(r"^\d[\d.,]*$")
 
 
+#: What a header ends with if it continues another one, and what tells so anywhere in it.
+CONTINUED = r"\s*\((?:CONT['\u2019]?D|CONTINUED)\)\s*:?\s*$|\s*(?:CONT['\u2019]?D|CONTINUED)\s*:?\s*$"
+CONTINUES = r"\((?:CONT['\u2019]?D|CONTINUED)\)|(?:CONT['\u2019]?D|CONTINUED)\s*:"
+
+
 def base_header(t: Column) -> Column:
-    """A header without its colon and without a note that it continues."""
-    bare = F.trim(F.regexp_replace(F.upper(F.trim(t)), r"\(?\s*CONT(?:'D|INUED|\.)\s*\)?", ""))
-    return F.trim(F.regexp_replace(bare, r":+\s*$", ""))
+    """A header in capitals without its colon and without a note at its end that it continues another."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(t), CONTINUED, ""), r":+$", ""))
 
 
 def is_continuation(t: Column) -> Column:
-    return F.upper(t).rlike(r"CONT'D|CONTINUED|CONT\.")
+    return F.upper(t).rlike(CONTINUES)
 
 
 def ends_incomplete(t: Column) -> Column:
     return (F.length(F.trim(t)) > 0) & ~F.right(F.trim(t), F.lit(1)).isin(".", "!", "?", ":", ";")
 
 
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+MONTH_NAMES = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
+
+
 def parse_date(t: Column) -> Column:
-    """Month/day/year with / or -, two-digit years from 2000 on, then year-month-day; the first that is a real date, else null.
+    """Year-month-day, then month/day/year with / or -, then a month's name beside a day and a year; years under 100 are from 2000 on.
 
-    The patterns aren't anchored and go in this order: 2001-04-02 holds 01-04-02 and is 4 January 2002; 2001-31-12 has no other reading.
+    The first reading that is a real date counts, else null. With a month's name the first number is the day, and the year is the last
+    number if that is over 31, else the second.
     """
-    slash, dash, iso = (r"(\d{1,2})/(\d{1,2})/(\d{2,4})", r"(\d{1,2})-(\d{1,2})-(\d{2,4})", r"(\d{4})-(\d{1,2})-(\d{1,2})")
+    iso, slash, dash = (r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{1,2})/(\d{1,2})/(\d{2,4})", r"(\d{1,2})-(\d{1,2})-(\d{2,4})")
 
-    def dated(pattern: str, y: int, m: int, d: int) -> Column:
-        year, month, day = (F.regexp_extract(t, pattern, k).try_cast("int") for k in (y, m, d))
-        full = F.when(year < 100, year + 2000).otherwise(year)
+    def made(year: Column, month: Column, day: Column, below: int = 100) -> Column:
+        full = F.when(year < below, year + 2000).otherwise(year)
         return F.format_string("%04d-%02d-%02d", full, month, day).try_cast("date")
 
-    return F.coalesce(dated(slash, 3, 1, 2), dated(dash, 3, 1, 2), dated(iso, 1, 2, 3))
+    def dated(pattern: str, y: int, m: int, d: int) -> Column:
+        return made(*[F.regexp_extract(t, pattern, k).try_cast("int") for k in (y, m, d)])
+
+    parts = F.regexp_extract_all(F.upper(t), F.lit(r"[A-Z]+|\d+"), F.lit(0))
+    names = F.array(*[F.lit(m) for m in MONTHS]), F.array(*[F.lit(m) for m in MONTH_NAMES])
+    month_of = lambda p: F.greatest(F.array_position(names[0], p), F.array_position(names[1], p)).cast("int")
+    months = F.filter(F.transform(parts, month_of), lambda m: m > 0)
+    numbers = F.filter(F.transform(parts, lambda p: p.try_cast("int")), lambda n: n.isNotNull())
+    last = F.element_at(numbers, -1)
+    year = F.when(last > 31, last).otherwise(F.get(numbers, 1))
+    named = F.when((F.size(months) > 0) & (F.size(numbers) >= 2), made(year, F.get(months, 0), F.get(numbers, 0), 101))
+    return F.coalesce(dated(iso, 1, 2, 3), dated(slash, 3, 1, 2), dated(dash, 3, 1, 2), named)
+
+
+def starts_as_continuation(t: Column) -> Column:
+    """Text that begins with a small letter, after spaces."""
+    return F.trim(t).rlike("^[a-z]")
 
 
 def extra_symbols(found: Column, known: Column, allowed: str) -> Column:
@@ -84,4 +108,4 @@ def detail_references(t: Column) -> Column:
 
 def page_quality(density: Column, regions: Column, errors: Column) -> Column:
     one = F.lit(1.0)
-    return (0.4 * F.least(one, density / 2) + 0.4 * F.least(one, regions / 3)) * (1 - F.least(one, errors * 10)) + 0.2
+    return F.round(F.greatest(F.lit(0.0), (0.4 * F.least(one, density / 2) + 0.4 * F.least(one, regions / 3)) * (1 - F.least(one, errors * 10)) + 0.2), 3)

@@ -3,81 +3,126 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINE_SCHEMA = "page bigint, token_ix bigint, line_ix int"
-
-
-def build_lines(tokens: DataFrame, tolerance: float = 4.0, overlap: float = 0.3) -> DataFrame:
-    """page, token_ix, line_ix: tokens by centre and x0 join the first line whose running mean centre is within the tolerance and whose
-    height they overlap by more than `overlap`. First fit is sequential, so a page is a group."""
+#: What a page is known by.
+KEYS = ("doc_id", "page")
+
+
+def first_fit(p: pd.DataFrame, factor: float, overlap: float) -> pd.Series:
+    """line_ix of a page's tokens: by centre and x0 each joins the first line whose mean centre is within factor times the page's median
+    height and whose extent it overlaps by more than `overlap` of the lower height. Lines are then numbered by median centre and least x0."""
+    p = p.assign(_c=(p.y0 + p.y1) / 2).sort_values(["_c", "x0", "token_ix"], kind="stable")
+    tolerance = float((p.y1 - p.y0).median()) * factor
+    lines: list[list[float]] = []  # sum of centres, tokens, top, bottom
+    place = []
+    for c, y0, y1 in zip(p._c.tolist(), p.y0.tolist(), p.y1.tolist(), strict=True):
+        for i, (total, n, top, bottom) in enumerate(lines):
+            if abs(c - total / n) <= tolerance and (min(y1, bottom) - max(y0, top)) / (min(y1 - y0, bottom - top) + 1e-6) > overlap:
+                lines[i] = [total + c, n + 1, min(top, y0), max(bottom, y1)]
+                place.append(i)
+                break
+        else:
+            lines.append([c, 1, y0, y1])
+            place.append(len(lines) - 1)
+    p = p.assign(_line=place)
+    order = p.groupby("_line").agg(base=("_c", "median"), left=("x0", "min")).sort_values(["base", "left"], kind="stable").index
+    return p._line.map({line: k for k, line in enumerate(order)}).astype("int32")
+
+
+def build_lines(tokens: DataFrame, factor: float = 0.45, overlap: float = 0.3, keys=KEYS) -> DataFrame:
+    """The keys, token_ix and line_ix (first_fit). First fit is sequential, so a page, which a sheet bounds, is a group."""
+    kinds = dict(tokens.dtypes)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(_c=(p.y0 + p.y1) / 2).sort_values(["_c", "x0", "token_ix"], kind="stable")
-        lines: list[list[float]] = []  # mean centre, tokens, top, bottom
-        place = []
-        for c, y0, y1 in zip(p._c, p.y0, p.y1, strict=True):
-            for i, line in enumerate(lines):
-                shorter = min(y1 - y0, line[3] - line[2])
-                if abs(c - line[0]) <= tolerance and shorter > 0 and (min(y1, line[3]) - max(y0, line[2])) / shorter > overlap:
-                    line[0] += (c - line[0]) / (line[1] + 1)
-                    line[1:] = line[1] + 1, min(line[2], y0), max(line[3], y1)
-                    place.append(i)
-                    break
-            else:
-                lines.append([c, 1, y0, y1])
-                place.append(len(lines) - 1)
-        return pd.DataFrame({"page": p.page, "token_ix": p.token_ix, "line_ix": pd.Series(place, index=p.index, dtype="int32")})
+        return p[[*keys, "token_ix"]].assign(line_ix=first_fit(p, factor, overlap))
 
-    return tokens.groupBy("page").applyInPandas(run, LINE_SCHEMA)
+    slim = tokens.select(*keys, "token_ix", "x0", "y0", "y1")
+    return slim.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"token_ix {kinds['token_ix']}", "line_ix int"]))
 
 
-def rows_of(tokens: DataFrame, height: float = 18.0) -> DataFrame:
-    """Tokens with row_ix: the horizontal band of the given height that their centre falls into."""
-    return tokens.withColumn("row_ix", F.floor((F.col("y0") + F.col("y1")) / 2 / height).cast("int"))
+def lined(tokens: DataFrame, keys=KEYS, **options) -> DataFrame:
+    """Tokens with line_ix, as the functions below take them."""
+    return tokens.join(build_lines(tokens, keys=keys, **options), [*keys, "token_ix"])
 
 
-def _line(*more) -> Window:
-    return Window.partitionBy("page", "row_ix").orderBy("x0", "token_ix")
+def _line(keys=KEYS) -> Window:
+    return Window.partitionBy(*keys, "line_ix").orderBy("x0", "token_ix")
 
 
-def gaps(rows: DataFrame) -> DataFrame:
-    """Rows with gap: the room to the next token of the row, null at its end."""
-    return rows.withColumn("gap", F.lead("x0").over(_line()) - F.col("x1"))
+def gaps(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """Rows with gap: the room to the next token of the line, null at its end."""
+    return rows.withColumn("gap", F.lead("x0").over(_line(keys)) - F.col("x1"))
 
 
-def median_space(rows: DataFrame, fallback: float = 5.0) -> DataFrame:
-    """page and median_gap: the median of the positive gaps without their largest tenth; the fallback if there is none."""
-    positive = gaps(rows).where("gap > 0").withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("gap", "token_ix"))).withColumn("n", F.count("*").over(Window.partitionBy("page")))
-    kept = positive.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.9))).groupBy("page").agg(F.expr("percentile(gap, 0.5)").alias("m"))
-    return rows.select("page").distinct().join(kept, "page", "left").select("page", F.coalesce("m", F.lit(fallback)).alias("median_gap"))
+def median_space(rows: DataFrame, fallback: float = 5.0, keys=KEYS) -> DataFrame:
+    """The keys and median_gap: the median of the positive gaps without their largest tenth; the fallback if there is none."""
+    positive = gaps(rows, keys).where("gap > 0").withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("gap", "token_ix"))).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    kept = positive.where(F.col("place") <= F.when(F.floor(F.col("n") * 0.9) > 0, F.floor(F.col("n") * 0.9)).otherwise(F.col("n"))).groupBy(*keys).agg(F.expr("percentile(gap, 0.5)").alias("m"))
+    return rows.select(*keys).distinct().join(kept, list(keys), "left").select(*keys, F.coalesce("m", F.lit(fallback)).alias("median_gap"))
 
 
-def spans(rows: DataFrame, factor: float = 12.0) -> DataFrame:
+def spans(rows: DataFrame, factor: float = 12.0, keys=KEYS) -> DataFrame:
     """Rows with span_ix: a new span begins where the gap to the token before exceeds factor times the page's median gap."""
-    joined = rows.join(median_space(rows), "page").withColumn("far", (F.col("x0") - F.lag("x1").over(_line()) > factor * F.col("median_gap")).cast("int"))
-    return joined.withColumn("span_ix", F.coalesce(F.sum("far").over(_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)).cast("int")).drop("far", "median_gap")
+    joined = rows.join(median_space(rows, keys=keys), list(keys)).withColumn("far", (F.col("x0") - F.lag("x1").over(_line(keys)) > factor * F.col("median_gap")).cast("int"))
+    return joined.withColumn("span_ix", F.coalesce(F.sum("far").over(_line(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)).cast("int")).drop("far", "median_gap")
 
 
-def intraline_gaps(rows: DataFrame, factor: float = 2.0, least: float = 1.0) -> DataFrame:
-    """The gaps over factor times their row's median positive gap, and over `least`."""
-    wide = gaps(rows)
-    median = wide.where("gap > 0").groupBy("page", "row_ix").agg(F.expr("percentile(gap, 0.5)").alias("m"))
-    return wide.join(median, ["page", "row_ix"]).where((F.col("gap") > factor * F.col("m")) & (F.col("gap") > least)).select("page", "row_ix", "token_ix", "gap")
+def intraline_gaps(rows: DataFrame, factor: float = 2.0, least: float = 1.0, keys=KEYS) -> DataFrame:
+    """The gaps over factor times their line's median positive gap, and over `least`."""
+    wide = gaps(rows, keys)
+    median = wide.where("gap > 0").groupBy(*keys, "line_ix").agg(F.expr("percentile(gap, 0.5)").alias("m"))
+    return wide.join(median, [*keys, "line_ix"]).where((F.col("gap") > factor * F.col("m")) & (F.col("gap") > least)).select(*keys, "line_ix", "token_ix", "gap")
 
 
-def line_slopes(rows: DataFrame, least: int = 3) -> DataFrame:
-    """page, row_ix, slope and weight (tokens) of the rows with at least `least` tokens: least squares of the top over the centre."""
+def line_slopes(rows: DataFrame, least: int = 3, keys=KEYS) -> DataFrame:
+    """The keys, line_ix, slope and weight (tokens) of the lines with at least `least` tokens: least squares of the top over the centre."""
     x = (F.col("x0") + F.col("x1")) / 2
-    return rows.groupBy("page", "row_ix").agg(F.count("*").alias("weight"), F.regr_slope("y0", x).alias("slope")).where((F.col("weight") >= least) & F.col("slope").isNotNull())
+    return rows.groupBy(*keys, "line_ix").agg(F.count("*").alias("weight"), F.regr_slope("y0", x).alias("slope")).where((F.col("weight") >= least) & F.col("slope").isNotNull())
+
+
+def clamp_degrees(slope, most: float) -> Column:
+    degrees = F.degrees(F.atan(slope))
+    return F.greatest(F.lit(-most), F.least(F.lit(most), degrees))
+
+
+def skew(slopes: DataFrame, most: float = 5.0, keys=KEYS) -> DataFrame:
+    """The keys and degrees: of the weighted median slope, the first whose running weight reaches half, within `most` degrees."""
+    order = Window.partitionBy(*keys).orderBy("slope", "line_ix")
+    running = slopes.withColumn("run", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("weight").over(Window.partitionBy(*keys)))
+    return running.where(F.col("run") * 2 >= F.col("all")).groupBy(*keys).agg(F.min("slope").alias("slope")).select(*keys, clamp_degrees(F.col("slope"), most).alias("degrees"))
+
+
+def skew_by_regression(tokens: DataFrame, most: float = 5.0, keys=KEYS) -> DataFrame:
+    """The keys and degrees: least squares of the top over the centre of all a page's tokens; 0 if their centres don't differ."""
+    slope = F.regr_slope("y0", (F.col("x0") + F.col("x1")) / 2)
+    return tokens.groupBy(*keys).agg(F.coalesce(slope, F.lit(0.0)).alias("slope")).select(*keys, clamp_degrees(F.col("slope"), most).alias("degrees"))
+
+
+def median_size(tokens: DataFrame, keys=KEYS) -> DataFrame:
+    """The keys, median width and height of the boxes."""
+    return tokens.groupBy(*keys).agg(F.median(F.col("x1") - F.col("x0")).alias("width"), F.median(F.col("y1") - F.col("y0")).alias("height"))
+
+
+def encoding_failures(tokens: DataFrame, least: int = 3, rate: float = 0.05, keys=KEYS) -> DataFrame:
+    """The keys, fontname, n and failed of fonts with that many tokens that hold replacement or private-use characters, and over that rate."""
+    bad = F.col("text").rlike("[\\uFFFD\\uE000-\\uF8FF]|\\(cid:\\d+\\)")
+    return tokens.groupBy(*keys, "fontname").agg(F.count("*").alias("n"), F.count_if(bad).alias("failed")).where((F.col("failed") >= least) & (F.col("failed") > rate * F.col("n")))
+
+
+def adjacent_numbers(rows: DataFrame, low: float = 0.2, high: float = 20.0, keys=KEYS) -> DataFrame:
+    """The keys, line_ix, token_ix and gap of digit tokens followed by another within these bounds: a symbol between them may be lost."""
+    digits = r"^\d[\d.,]*$"
+    beside = rows.withColumn("next", F.lead("text").over(_line(keys))).withColumn("gap", F.lead("x0").over(_line(keys)) - F.col("x1"))
+    return beside.where(F.col("text").rlike(digits) & F.col("next").rlike(digits) & F.col("gap").between(low, high)).select(*keys, "line_ix", "token_ix", "gap")
 
 
-def skew(slopes: DataFrame) -> DataFrame:
-    """page and degrees: of the weighted median slope, the first whose running weight reaches half."""
-    order = Window.partitionBy("page").orderBy("slope", "row_ix")
-    running = slopes.withColumn("run", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("weight").over(Window.partitionBy("page")))
-    return running.where(F.col("run") * 2 >= F.col("all")).groupBy("page").agg(F.min("slope").alias("slope")).select("page", F.degrees(F.atan("slope")).alias("degrees"))
+def width_anomalies(tokens: DataFrame, part: float = 0.7, unit: float = 0.55, keys=KEYS) -> DataFrame:
+    """The keys, token_ix and ratio of tokens narrower than `part` of what their characters and font size make likely."""
+    likely = F.length("text") * F.col("font_size") * unit
+    ratio = F.when(likely > 0, (F.col("x1") - F.col("x0")) / likely)
+    return tokens.select(*keys, "token_ix", ratio.alias("ratio")).where(F.col("ratio") < part)
 
 
 def symbol_fingerprints(lines: DataFrame) -> DataFrame:

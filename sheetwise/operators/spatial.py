@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Box, box, center, intersection, iou, overlaps
 
 CELL = 50.0
+#: What a page is known by.
+KEYS = ("doc_id", "page")
 
 
 def cells(df: DataFrame, size: float = CELL, margin: float = 0.0) -> DataFrame:
@@ -22,68 +24,69 @@ def _suffixed(df: DataFrame, suffix: str, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keys else c + suffix) for c in df.columns])
 
 
-def candidates(left: DataFrame, right: DataFrame, condition, page: str = "page", margin: float = 0.0) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, condition, keys=KEYS, margin: float = 0.0) -> DataFrame:
     """Pairs of one page whose boxes share a cell and meet the condition, each once. Columns of right end in _r.
 
     A pair is made only in the first cell that the two have in common, so no distinct is needed.
     """
     a = cells(left, margin=margin)
-    b = cells(_suffixed(right, "_r", [page]).withColumnsRenamed({f"{k}_r": k for k in ("x0", "y0", "x1", "y1")}), margin=0.0).withColumnsRenamed({k: f"{k}_r" for k in ("x0", "y0", "x1", "y1")})
-    joined = a.join(b, [page, "cx", "cy"])
+    b = cells(_suffixed(right, "_r", list(keys)).withColumnsRenamed({f"{k}_r": k for k in ("x0", "y0", "x1", "y1")}), margin=0.0).withColumnsRenamed({k: f"{k}_r" for k in ("x0", "y0", "x1", "y1")})
+    joined = a.join(b, [*keys, "cx", "cy"])
     first_x = F.greatest(F.floor((F.col("x0") - margin) / CELL), F.floor(F.col("x0_r") / CELL))
     first_y = F.greatest(F.floor((F.col("y0") - margin) / CELL), F.floor(F.col("y0_r") / CELL))
     return joined.where((F.col("cx") == first_x) & (F.col("cy") == first_y)).where(condition(box(), box(suffix="_r"))).drop("cx", "cy")
 
 
-def best_match(ocr: DataFrame, pdf: DataFrame, threshold: float = 0.3, tolerance: float = 12.0) -> DataFrame:
+def best_match(ocr: DataFrame, pdf: DataFrame, threshold: float = 0.3, tolerance: float = 12.0, keys=KEYS) -> DataFrame:
     """For each box of ocr its match in pdf: the best overlap from the threshold on, else the nearest centre within the tolerance.
 
-    Columns page, token_ix, match_ix and match_type (iou, center, unmatched); ties to the smaller token_ix. Only boxes that share a grid
+    Columns: the keys, token_ix, match_ix and match_type (iou, center, unmatched); ties to the smaller token_ix. Only boxes that share a grid
     cell are compared.
     """
-    near = candidates(ocr, pdf, lambda a, b: F.lit(True))
     (ax, ay), (bx, by) = center(box()), center(box(suffix="_r"))
     dx, dy = F.abs(ax - bx), F.abs(ay - by)
-    scored = near.select("page", "token_ix", "token_ix_r", iou(box(), box(suffix="_r"), clamp=True).alias("iou"), F.when((dx <= tolerance) & (dy <= tolerance), dx + dy).alias("far"))
-    best = scored.groupBy("page", "token_ix").agg(
+    # only pairs that may count leave the join
+    near = candidates(ocr, pdf, lambda a, b: (iou(a, b, clamp=True) >= threshold) | ((dx <= tolerance) & (dy <= tolerance)), keys)
+    scored = near.select(*keys, "token_ix", "token_ix_r", iou(box(), box(suffix="_r"), clamp=True).alias("iou"), F.when((dx <= tolerance) & (dy <= tolerance), dx + dy).alias("far"))
+    best = scored.groupBy(*keys, "token_ix").agg(
         F.min(F.when(F.col("iou") >= threshold, F.struct((-F.col("iou")).alias("s"), F.col("token_ix_r").alias("ix")))).alias("by_iou"),
         F.min(F.when(F.col("far").isNotNull(), F.struct(F.col("far").alias("s"), F.col("token_ix_r").alias("ix")))).alias("by_center"),
     )
     kind = F.when(F.col("by_iou").isNotNull(), "iou").when(F.col("by_center").isNotNull(), "center").otherwise("unmatched")
-    return ocr.select("page", "token_ix").join(best, ["page", "token_ix"], "left").select("page", "token_ix", F.coalesce("by_iou.ix", "by_center.ix").alias("match_ix"), kind.alias("match_type"))
+    return ocr.select(*keys, "token_ix").join(best, [*keys, "token_ix"], "left").select(*keys, "token_ix", F.coalesce("by_iou.ix", "by_center.ix").alias("match_ix"), kind.alias("match_type"))
 
 
-def covered(left: DataFrame, right: DataFrame, condition=overlaps, anti: bool = False) -> DataFrame:
-    """Rows of left that some box of right meets (or none, if anti), by page and token_ix."""
-    hits = candidates(left, right, condition).select("page", "token_ix").distinct()
-    return left.join(hits, ["page", "token_ix"], "left_anti" if anti else "left_semi")
+def covered(left: DataFrame, right: DataFrame, condition=overlaps, anti: bool = False, keys=KEYS) -> DataFrame:
+    """Rows of left that some box of right meets (or none, if anti), by the keys and token_ix."""
+    hits = candidates(left, right, condition, keys).select(*keys, "token_ix").distinct()
+    return left.join(hits, [*keys, "token_ix"], "left_anti" if anti else "left_semi")
 
 
-def best_zone(boxes: DataFrame, zones: DataFrame, least: float = 0.3) -> DataFrame:
-    """page, token_ix and the zone that covers most of the box, if over `least`; ties to the smaller zone_ix."""
+def best_zone(boxes: DataFrame, zones: DataFrame, least: float = 0.3, keys=KEYS) -> DataFrame:
+    """The keys, token_ix and the zone that covers most of the box, if over `least`; ties to the smaller zone_ix."""
     share = F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), intersection(box(), box(suffix="_r")) / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).otherwise(0.0)
-    met = candidates(boxes, zones, lambda a, b: overlaps(a, b)).withColumn("share", share).where(F.col("share") > least)
-    return met.groupBy("page", "token_ix").agg(F.min(F.struct((-F.col("share")).alias("s"), F.col("zone_ix_r").alias("zone_ix"))).alias("m")).select("page", "token_ix", "m.zone_ix")
+    met = candidates(boxes, zones, lambda a, b: overlaps(a, b), keys).withColumn("share", share).where(F.col("share") > least)
+    return met.groupBy(*keys, "token_ix").agg(F.min(F.struct((-F.col("share")).alias("s"), F.col("zone_ix_r").alias("zone_ix"))).alias("m")).select(*keys, "token_ix", "m.zone_ix")
 
 
-def nearest_digits(boxes: DataFrame, tokens: DataFrame, gap: float = 40.0) -> DataFrame:
-    """page, token_ix, left_ix and right_ix: the nearest digit tokens on either side, overlapping in height, within the gap."""
+def nearest_digits(boxes: DataFrame, tokens: DataFrame, gap: float = 40.0, keys=KEYS) -> DataFrame:
+    """The keys, token_ix, left_ix and right_ix: the nearest digit tokens on either side, overlapping in height, within the gap."""
     digits = tokens.where(F.col("text").rlike(r"^\d"))
     a, b = box(), box(suffix="_r")
     band = (F.least(a.y1, b.y1) > F.greatest(a.y0, b.y0)) & (F.col("token_ix") != F.col("token_ix_r"))
     # the box is widened by the gap for its cells, so that both sides' digits share one with it
-    met = candidates(boxes, digits, lambda *_: band, margin=gap)
+    met = candidates(boxes, digits, lambda *_: band, keys, margin=gap)
     left, right = a.x0 - b.x1, b.x0 - a.x1
     pick = lambda d: F.min(F.when((d >= 0) & (d <= gap), F.struct(d.alias("d"), F.col("token_ix_r").alias("ix"))))
-    best = met.groupBy("page", "token_ix").agg(pick(left).alias("l"), pick(right).alias("r"))
-    return boxes.select("page", "token_ix").join(best, ["page", "token_ix"], "left").select("page", "token_ix", F.col("l.ix").alias("left_ix"), F.col("r.ix").alias("right_ix"))
+    best = met.groupBy(*keys, "token_ix").agg(pick(left).alias("l"), pick(right).alias("r"))
+    return boxes.select(*keys, "token_ix").join(best, [*keys, "token_ix"], "left").select(*keys, "token_ix", F.col("l.ix").alias("left_ix"), F.col("r.ix").alias("right_ix"))
 
 
 def greedy_nms(threshold: float):
     """For applyInPandas by page: the largest box first (ties to the smaller token_ix), those that overlap a kept one by the threshold go."""
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        p = page.assign(_area=(page.x1 - page.x0) * (page.y1 - page.y0)).sort_values(["_area", "token_ix"], ascending=[False, True], kind="stable")
+        p = page.assign(_area=np.maximum(page.x1 - page.x0, 0) * np.maximum(page.y1 - page.y0, 0)).sort_values(["_area", "token_ix"], ascending=[False, True], kind="stable")
         x0, y0, x1, y1 = (p[k].to_numpy() for k in ("x0", "y0", "x1", "y1"))
         size = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
         alive = np.ones(len(p), bool)
@@ -99,28 +102,40 @@ def greedy_nms(threshold: float):
     return run
 
 
-def nms(tokens: DataFrame, threshold: float = 0.5, page: str = "page") -> DataFrame:
-    """Greedy suppression is sequential within a page, so a page is a group; pages are independent and bounded by a sheet's tokens."""
-    return tokens.groupBy(page).applyInPandas(greedy_nms(threshold), tokens.schema)
+def nms(tokens: DataFrame, threshold: float = 0.5, keys=KEYS) -> DataFrame:
+    """Greedy suppression is sequential within a page, so a page is a group; pages are independent and bounded by a sheet's tokens.
 
+    Only the boxes that overlap another one are grouped; the others stay where they are.
+    """
+    a, b = box(), box(suffix="_r")
+    met = candidates(tokens, tokens, lambda *_: overlaps(a, b) & (F.col("token_ix") != F.col("token_ix_r")), keys).select(*keys, "token_ix").distinct()
+    kept = tokens.join(met, [*keys, "token_ix"], "left_semi").groupBy(*keys).applyInPandas(greedy_nms(threshold), tokens.schema)
+    return kept.unionByName(tokens.join(met, [*keys, "token_ix"], "left_anti"))
 
-def overlap_clusters(tokens: DataFrame, page: str = "page") -> DataFrame:
-    """page, token_ix and cluster: the smallest token_ix that chains of overlapping boxes of the page reach."""
+
+def overlap_clusters(tokens: DataFrame, keys=KEYS) -> DataFrame:
+    """The keys, token_ix and cluster: the smallest token_ix that chains of overlapping boxes of the page reach.
+
+    Pairs come from the cell join; a page's pairs, not its boxes, are walked.
+    """
+    a, b = box(), box(suffix="_r")
+    pairs = candidates(tokens, tokens, lambda *_: overlaps(a, b) & (F.col("token_ix") < F.col("token_ix_r")), keys).select(*keys, "token_ix", F.col("token_ix_r").alias("other"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("token_ix")
-        x0, y0, x1, y1 = (p[k].to_numpy() for k in ("x0", "y0", "x1", "y1"))
-        own = np.arange(len(p))
-        for start in range(len(p)):
-            if own[start] != start:
-                continue
-            front = [start]
-            while front:
-                i = front.pop()
-                met = (x0 < x1[i]) & (x0[i] < x1) & (y0 < y1[i]) & (y0[i] < y1) & (own > start)
-                own[met] = start
-                front.extend(np.flatnonzero(met).tolist())
-        return pd.DataFrame({page: p[page], "token_ix": p.token_ix, "cluster": p.token_ix.to_numpy()[own]})
-
-    kind = dict(tokens.dtypes)[page]
-    return tokens.groupBy(page).applyInPandas(run, f"{page} {kind}, token_ix bigint, cluster bigint")
+        own: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := own.setdefault(x, x)) != x:
+                own[x] = own[up]
+                x = up
+            return x
+
+        for x, y in zip(p.token_ix.tolist(), p.other.tolist(), strict=True):
+            low, high = sorted((root(x), root(y)))
+            own[high] = low
+        out = pd.DataFrame({"token_ix": list(own), "cluster": [root(x) for x in own]})
+        return out.assign(**{k: p[k].iloc[0] for k in keys})[[*keys, "token_ix", "cluster"]]
+
+    kinds = dict(tokens.dtypes)
+    found = pairs.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "token_ix bigint", "cluster bigint"]))
+    return tokens.select(*keys, "token_ix").join(found, [*keys, "token_ix"], "left").select(*keys, "token_ix", F.coalesce("cluster", "token_ix").alias("cluster"))

@@ -11,18 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 INPUTS = {
     "tokens": """
-SELECT CAST(floor(k / 32.0) AS BIGINT) AS page, k * 8 + n AS token_ix, CAST(p * 37 % 560 AS DOUBLE) AS x0, CAST(s * 13 % 40 * 18 + n AS DOUBLE) AS y0,
+SELECT CAST(floor(k / 32.0) AS BIGINT) % 5 AS doc_id, CAST(floor(k / 160.0) AS BIGINT) AS page, k * 8 + n AS token_ix, CAST(p * 37 % 560 AS DOUBLE) AS x0, CAST(s * 13 % 40 * 18 + n AS DOUBLE) AS y0,
   CAST(p * 37 % 560 AS DOUBLE) + q + 10 AS x1, CAST(s * 13 % 40 * 18 + n AS DOUBLE) + 10 AS y1,
   CASE WHEN p % 3 = 0 THEN CAST(s % 100 AS VARCHAR(9)) WHEN p % 3 = 1 THEN concat(f, 'B', f) ELSE concat('NOTE ', CAST(p % 12 AS VARCHAR(9)), CASE WHEN p % 2 = 0 THEN '%' ELSE '' END) END AS text,
-  CASE WHEN n % 2 = 0 THEN 'text' ELSE 'ocr' END AS origin, CAST(8 + p % 5 AS DOUBLE) AS font_size, CAST(p % 8 AS DOUBLE) / 8 AS confidence
+  CASE WHEN n % 2 = 0 THEN 'text' ELSE 'ocr' END AS origin, CAST(8 + p % 5 AS DOUBLE) AS font_size, CAST(p % 8 AS DOUBLE) / 8 AS confidence, CASE WHEN p % 2 = 0 THEN 'Arial' ELSE 'Mono' END AS fontname
 FROM (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity) AS q, min(l_returnflag) AS f FROM {lineitem} GROUP BY l_orderkey, l_linenumber) t""",
-    "zones": "SELECT page, CAST(0 AS BIGINT) AS zone_ix, 0.0E0 AS x0, 0.0E0 AS y0, 300.0E0 AS x1, 400.0E0 AS y1 FROM {tokens} GROUP BY page UNION ALL SELECT page, CAST(1 AS BIGINT), 300.0E0, 0.0E0, 620.0E0, 400.0E0 FROM {tokens} GROUP BY page",
-    "notes": "SELECT CAST(floor(o_orderkey / 16.0) AS BIGINT) AS page, CAST(o_custkey % 2 AS INT) AS column_ix, o_orderkey AS ord, CAST(o_orderkey % 16 + o_custkey % 3 AS INT) AS number FROM {orders}",
-    "entries": "SELECT CAST(floor(p_partkey / 8.0) AS BIGINT) AS page, CAST(p_partkey % 3 AS BIGINT) AS region_ix, concat('A', CASE WHEN p_partkey % 5 = 0 THEN 'B' ELSE CAST(p_partkey % 97 AS VARCHAR(9)) END) AS code, p_name AS meaning FROM {part}",
-    "regions": "SELECT CAST(floor(p_partkey / 8.0) AS BIGINT) AS page, CAST(p_partkey % 5 AS BIGINT) AS region_ix, CASE WHEN p_partkey % 5 = 0 THEN 'legend' WHEN p_partkey % 5 < 3 THEN 'abbreviation' ELSE 'revision' END AS region_type FROM {part} GROUP BY 1, 2, 3",
-    "revisions": "SELECT c_nationkey AS doc_id, CAST(floor(c_custkey / 6.0) AS BIGINT) AS page, c_custkey AS ord, CAST(c_custkey % 11 + 1 AS INT) AS number, CAST(o.d AS DATE) AS date FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS d FROM {orders} GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey",
-    "fields": "SELECT CAST(floor(s_suppkey / 3.0) AS BIGINT) AS page, CASE WHEN s_suppkey % 3 = 0 THEN 'sheet_number' WHEN s_suppkey % 3 = 1 THEN 'date' ELSE 'scale' END AS label, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_name END AS value FROM {supplier} WHERE s_suppkey % 5 <> 2",
-    "pages_q": "SELECT page, CASE WHEN page % 10 = 0 THEN NULL ELSE concat('S-', CAST(page % 400 AS VARCHAR(9))) END AS sheet, CAST(count(*) % 5 AS DOUBLE) / 4 AS quality FROM {tokens} GROUP BY page",
+    "lined": "SELECT *, CAST(floor((y0 + y1) / 2 / 18) AS INT) AS line_ix FROM {tokens}",
+    "zones": "SELECT doc_id, page, CAST(0 AS BIGINT) AS zone_ix, 0.0E0 AS x0, 0.0E0 AS y0, 300.0E0 AS x1, 400.0E0 AS y1 FROM {tokens} GROUP BY doc_id, page UNION ALL SELECT doc_id, page, CAST(1 AS BIGINT), 300.0E0, 0.0E0, 620.0E0, 400.0E0 FROM {tokens} GROUP BY doc_id, page",
+    "notes": "SELECT CAST(floor(o_orderkey / 16.0) AS BIGINT) % 5 AS doc_id, CAST(floor(o_orderkey / 80.0) AS BIGINT) AS page, CAST(o_custkey % 2 AS INT) AS column_ix, o_orderkey AS ord, CAST(o_orderkey % 16 + o_custkey % 3 AS INT) AS number, concat(CASE WHEN o_custkey % 3 = 0 THEN 'See note ' WHEN o_custkey % 3 = 1 THEN 'REFER  TO NOTE #' ELSE 'NOTE ' END, CAST(o_custkey % 19 AS VARCHAR(9)), CASE o_orderkey % 4 WHEN 0 THEN ' FOR AB' WHEN 1 THEN ' CDE AND CDE' WHEN 2 THEN ' ROAD' ELSE ' Xy' END) AS text FROM {orders}",
+    "columns": "SELECT doc_id, page, column_ix, CASE WHEN sum(ord) % 3 = 0 THEN ' ' WHEN sum(ord) % 3 = 1 THEN 'NOTES:' END AS header, count(*) AS n_notes FROM {notes} GROUP BY doc_id, page, column_ix",
+    "entries": "SELECT CAST(floor(p_partkey / 8.0) AS BIGINT) % 5 AS doc_id, CAST(floor(p_partkey / 40.0) AS BIGINT) AS page, CAST(p_partkey % 3 AS BIGINT) AS region_ix, concat(CASE WHEN p_partkey % 7 = 0 THEN ' a' ELSE 'A' END, CASE WHEN p_partkey % 5 = 0 THEN 'B ' ELSE CAST(p_partkey % 97 AS VARCHAR(9)) END) AS code, p_name AS meaning FROM {part}",
+    "regions": "SELECT CAST(floor(p_partkey / 8.0) AS BIGINT) % 5 AS doc_id, CAST(floor(p_partkey / 40.0) AS BIGINT) AS page, CAST(p_partkey % 5 AS BIGINT) AS region_ix, CASE WHEN p_partkey % 5 = 0 THEN 'legend' WHEN p_partkey % 5 < 3 THEN 'abbreviation' ELSE 'revision' END AS region_type, min(CASE WHEN p_partkey % 3 = 0 THEN p_name END) AS header FROM {part} GROUP BY 1, 2, 3, 4",
+    "details": "SELECT CAST(floor(p_partkey / 8.0) AS BIGINT) % 5 AS doc_id, CAST(floor(p_partkey / 40.0) AS BIGINT) AS page, CASE p_partkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN 's-2 ' ELSE concat('S-', CAST(p_partkey % 9 AS VARCHAR(9))) END AS sheet, CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE p_name END AS description FROM {part}",
+    "symbols": "SELECT CAST(floor(p_partkey / 8.0) AS BIGINT) % 5 AS doc_id, CAST(floor(p_partkey / 40.0) AS BIGINT) AS page, concat('box_', CAST(p_size AS VARCHAR(9))) AS symbol, CASE WHEN p_size % 2 = 0 THEN ' one ' WHEN p_size % 5 = 0 THEN '' ELSE p_type END AS description FROM {part}",
+    "revisions": "SELECT c_nationkey AS doc_id, CAST(floor(c_custkey / 60.0) AS BIGINT) AS page, CAST(c_custkey % 2 AS BIGINT) AS region_ix, c_custkey AS ord, CASE WHEN c_custkey % 13 = 0 THEN ' ' WHEN c_custkey % 17 = 0 THEN 'A' ELSE CAST(c_custkey % 11 * (c_nationkey % 3) + 1 AS VARCHAR(9)) END AS number, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS description, CAST(o.d AS DATE) AS date FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS d FROM {orders} GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey",
+    "fields": "SELECT s_suppkey % 5 AS doc_id, CAST(floor(s_suppkey / 15.0) AS BIGINT) AS page, CASE WHEN s_suppkey % 3 = 0 THEN 'sheet_number' WHEN s_suppkey % 3 = 1 THEN 'date' ELSE 'scale' END AS label, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_name END AS value FROM {supplier}",
+    "pages_q": "SELECT doc_id, page, CASE WHEN page % 10 = 0 THEN NULL WHEN page % 3 = 0 THEN concat(' s-', CAST(page % 40 AS VARCHAR(9))) ELSE concat('S-', CAST(page % 40 AS VARCHAR(9))) END AS sheet, CAST(count(*) % 5 AS DOUBLE) / 4 AS quality, CAST(count(*) % 8 AS DOUBLE) / 8 AS confidence FROM {tokens} GROUP BY doc_id, page",
     "detections": "SELECT o_orderkey AS detection_id, o_custkey % 50 AS doc_id, CAST(o_orderkey % 20 AS INT) AS page, CASE WHEN o_orderkey % 17 = 0 THEN 'manual' ELSE concat('run', CAST(o_orderkey % 4 AS VARCHAR(9))) END AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'notes' WHEN o_orderkey % 3 = 1 THEN 'legend' ELSE 'header' END AS element_type, CAST(o_custkey % 64 AS DOUBLE) / 64 AS confidence, CAST(o_orderdate AS DATE) AS created_at FROM {orders}",
     "corrections": "SELECT event_id AS seq, CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_id * 7 % 9000 END AS detection_id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_id % 2 = 0 THEN 'accept' ELSE 'relabel' END AS correction_type, CASE WHEN user_id % 2 = 0 THEN 'legend' ELSE 'title' END AS corrected_element_type, ts AS corrected_at FROM {events}",
     "outcomes": "SELECT event_id, event_type AS m1, CASE WHEN event_id % 3 = 0 THEN 'gap' ELSE 'grid' END AS m2, CASE WHEN event_id % 5 = 0 THEN 'pending' WHEN event_id % 2 = 0 THEN 'hit' ELSE 'miss' END AS outcome FROM {events}",

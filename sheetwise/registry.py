@@ -32,18 +32,18 @@ def _pairs(tokens):
     return tokens.where("origin = 'ocr'"), tokens.where("origin = 'text'")
 
 
-PAIR = "FROM {tokens} a JOIN {tokens} b ON a.page = b.page AND a.origin = 'ocr' AND b.origin = 'text'"
+PAIR = "FROM {tokens} a JOIN {tokens} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.origin = 'ocr' AND b.origin = 'text'"
 INTER = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
 AREAS = "greatest(0, (a.x1 - a.x0) * (a.y1 - a.y0)) + greatest(0, (b.x1 - b.x0) * (b.y1 - b.y0))"
 #: Pairs that share a cell of 50 points.
 SHARED = "floor(a.x0 / 50) <= floor(b.x1 / 50) AND floor(b.x0 / 50) <= floor(a.x1 / 50) AND floor(a.y0 / 50) <= floor(b.y1 / 50) AND floor(b.y0 / 50) <= floor(a.y1 / 50)"
 
 
-@query("geometry_overlap", "tokens", sql=f"SELECT a.page, a.token_ix, b.token_ix AS other_ix, round({INTER}, 6) AS shared, round({INTER} / ({AREAS} - {INTER}), 6) AS iou {PAIR} AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+@query("geometry_overlap", "tokens", sql=f"SELECT a.doc_id, a.page, a.token_ix, b.token_ix AS other_ix, round({INTER}, 6) AS shared, round({INTER} / ({AREAS} - {INTER}), 6) AS iou {PAIR} AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def _(tokens):
     met = spatial.candidates(*_pairs(tokens), G.overlaps)
     a, b = G.box(), G.box(suffix="_r")
-    return met.select("page", "token_ix", F.col("token_ix_r").alias("other_ix"), F.round(G.intersection(a, b), 6).alias("shared"), F.round(G.iou(a, b), 6).alias("iou"))
+    return met.select("doc_id", "page", "token_ix", F.col("token_ix_r").alias("other_ix"), F.round(G.intersection(a, b), 6).alias("shared"), F.round(G.iou(a, b), 6).alias("iou"))
 
 
 @query("geometry_expressions", "tokens", sql="SELECT token_ix, round(greatest(0, x0 - 4), 6) AS px0, round(least(612, x1 + 4), 6) AS px1, round(degrees(atan2(y1 - y0, x1 - x0)), 6) AS angle, CASE WHEN (x0 / 612 < .15 OR x0 / 612 > .85) AND (y0 / 792 < .15 OR y0 / 792 > .85) THEN 'corner' WHEN x0 / 612 < .15 OR x0 / 612 > .85 OR y0 / 792 < .15 OR y0 / 792 > .85 THEN 'margin' WHEN x0 / 612 BETWEEN .35 AND .65 AND y0 / 792 BETWEEN .35 AND .65 THEN 'center' ELSE 'field' END AS zone FROM {tokens}")
@@ -69,7 +69,7 @@ def _(tokens):
 WITH s AS (SELECT a.page, a.token_ix, b.token_ix AS ix, {INTER} / ({AREAS} - {INTER}) AS iou, abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) AS dx, abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) AS dy {PAIR} AND {SHARED}),
 i AS (SELECT page, token_ix, ix FROM s WHERE iou >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, token_ix ORDER BY iou DESC, ix) = 1),
 c AS (SELECT page, token_ix, ix FROM s WHERE dx <= 12 AND dy <= 12 QUALIFY row_number() OVER (PARTITION BY page, token_ix ORDER BY dx + dy, ix) = 1)
-SELECT t.page, t.token_ix, coalesce(i.ix, c.ix, -1) AS match_ix, CASE WHEN i.ix IS NOT NULL THEN 'iou' WHEN c.ix IS NOT NULL THEN 'center' ELSE 'unmatched' END AS match_type
+SELECT t.doc_id, t.page, t.token_ix, coalesce(i.ix, c.ix, -1) AS match_ix, CASE WHEN i.ix IS NOT NULL THEN 'iou' WHEN c.ix IS NOT NULL THEN 'center' ELSE 'unmatched' END AS match_type
 FROM {{tokens}} t LEFT JOIN i ON t.token_ix = i.token_ix LEFT JOIN c ON t.token_ix = c.token_ix WHERE t.origin = 'ocr'""")
 def _(tokens):
     return spatial.best_match(*_pairs(tokens)).fillna(-1, "match_ix")
@@ -77,41 +77,41 @@ def _(tokens):
 
 for _anti in (False, True):
 
-    @query(f"spatial_{'uncovered' if _anti else 'covered'}", "tokens", sql=f"SELECT a.token_ix FROM {{tokens}} a WHERE a.origin = 'ocr' AND {'NOT' if _anti else ''} EXISTS (SELECT 1 FROM {{tokens}} b WHERE a.page = b.page AND b.origin = 'text' AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
+    @query(f"spatial_{'uncovered' if _anti else 'covered'}", "tokens", sql=f"SELECT a.token_ix FROM {{tokens}} a WHERE a.origin = 'ocr' AND {'NOT' if _anti else ''} EXISTS (SELECT 1 FROM {{tokens}} b WHERE a.doc_id = b.doc_id AND a.page = b.page AND b.origin = 'text' AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
     def _(tokens, anti=_anti):
         return spatial.covered(*_pairs(tokens), anti=anti).select("token_ix")
 
 
-@query("spatial_best_zone", "tokens", "zones", sql=f"SELECT a.page, a.token_ix, b.zone_ix FROM {{tokens}} a JOIN {{zones}} b ON a.page = b.page WHERE {INTER} / ((a.x1 - a.x0) * (a.y1 - a.y0)) > 0.3 QUALIFY row_number() OVER (PARTITION BY a.token_ix ORDER BY {INTER} DESC, b.zone_ix) = 1")
+@query("spatial_best_zone", "tokens", "zones", sql=f"SELECT a.doc_id, a.page, a.token_ix, b.zone_ix FROM {{tokens}} a JOIN {{zones}} b ON a.doc_id = b.doc_id AND a.page = b.page WHERE {INTER} / ((a.x1 - a.x0) * (a.y1 - a.y0)) > 0.3 QUALIFY row_number() OVER (PARTITION BY a.token_ix ORDER BY {INTER} DESC, b.zone_ix) = 1")
 def _(tokens, zones):
     return spatial.best_zone(tokens, zones)
 
 
 @query("spatial_nearest_digits", "tokens", sql="""
-WITH d AS (SELECT a.token_ix, b.token_ix AS ix, a.x0 - b.x1 AS l, b.x0 - a.x1 AS r FROM {tokens} a JOIN {tokens} b ON a.page = b.page AND regexp_matches(b.text, '^[0-9]') AND a.token_ix <> b.token_ix AND least(a.y1, b.y1) > greatest(a.y0, b.y0)),
+WITH d AS (SELECT a.token_ix, b.token_ix AS ix, a.x0 - b.x1 AS l, b.x0 - a.x1 AS r FROM {tokens} a JOIN {tokens} b ON a.doc_id = b.doc_id AND a.page = b.page AND regexp_matches(b.text, '^[0-9]') AND a.token_ix <> b.token_ix AND least(a.y1, b.y1) > greatest(a.y0, b.y0)),
 l AS (SELECT token_ix, ix FROM d WHERE l BETWEEN 0 AND 40 QUALIFY row_number() OVER (PARTITION BY token_ix ORDER BY l, ix) = 1),
 r AS (SELECT token_ix, ix FROM d WHERE r BETWEEN 0 AND 40 QUALIFY row_number() OVER (PARTITION BY token_ix ORDER BY r, ix) = 1)
-SELECT t.page, t.token_ix, coalesce(l.ix, -1) AS left_ix, coalesce(r.ix, -1) AS right_ix FROM {tokens} t LEFT JOIN l USING (token_ix) LEFT JOIN r USING (token_ix)""")
+SELECT t.doc_id, t.page, t.token_ix, coalesce(l.ix, -1) AS left_ix, coalesce(r.ix, -1) AS right_ix FROM {tokens} t LEFT JOIN l USING (token_ix) LEFT JOIN r USING (token_ix)""")
 def _(tokens):
     return spatial.nearest_digits(tokens, tokens).fillna(-1)
 
 
 @query("spatial_nms", "tokens")
 def _(tokens):
-    return spatial.nms(tokens, 0.3).select("page", "token_ix")
+    return spatial.nms(tokens, 0.3).select("doc_id", "page", "token_ix")
 
 
 @query("spatial_clusters", "tokens", sql="""
-WITH RECURSIVE e AS (SELECT a.token_ix AS a, b.token_ix AS b FROM {tokens} a JOIN {tokens} b ON a.page = b.page AND a.token_ix <> b.token_ix AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+WITH RECURSIVE e AS (SELECT a.token_ix AS a, b.token_ix AS b FROM {tokens} a JOIN {tokens} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.token_ix <> b.token_ix AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
 r(a, b) AS (SELECT token_ix, token_ix FROM {tokens} UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT t.page, t.token_ix, min(r.b) AS cluster FROM {tokens} t JOIN r ON t.token_ix = r.a GROUP BY t.page, t.token_ix""")
+SELECT t.doc_id, t.page, t.token_ix, min(r.b) AS cluster FROM {tokens} t JOIN r ON t.token_ix = r.a GROUP BY t.doc_id, t.page, t.token_ix""")
 def _(tokens):
     return spatial.overlap_clusters(tokens)
 
 
-ROWS = "(SELECT *, CAST(floor((y0 + y1) / 2 / 18) AS INT) AS row_ix FROM {tokens})"
-NEXT = f"(SELECT *, lead(x0) OVER (PARTITION BY page, row_ix ORDER BY x0, token_ix) - x1 AS gap, x0 - lag(x1) OVER (PARTITION BY page, row_ix ORDER BY x0, token_ix) AS back FROM {ROWS})"
-MEDIAN = f"(SELECT page, quantile_cont(gap, 0.5) AS m FROM (SELECT page, gap FROM {NEXT} WHERE gap > 0 QUALIFY row_number() OVER (PARTITION BY page ORDER BY gap, token_ix) <= greatest(1, floor(count(*) OVER (PARTITION BY page) * 0.9))) GROUP BY page)"
+LINE = "PARTITION BY doc_id, page, line_ix ORDER BY x0, token_ix"
+NEXT = f"(SELECT *, lead(x0) OVER ({LINE}) - x1 AS gap, x0 - lag(x1) OVER ({LINE}) AS back FROM {{lined}})"
+MEDIAN = f"(SELECT doc_id, page, quantile_cont(gap, 0.5) AS m FROM (SELECT doc_id, page, gap FROM {NEXT} WHERE gap > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY gap, token_ix) <= CASE WHEN floor(count(*) OVER (PARTITION BY doc_id, page) * 0.9) > 0 THEN floor(count(*) OVER (PARTITION BY doc_id, page) * 0.9) ELSE count(*) OVER (PARTITION BY doc_id, page) END) GROUP BY doc_id, page)"
 
 
 @query("lines_build", "tokens")
@@ -119,24 +119,49 @@ def _(tokens):
     return lines.build_lines(tokens)
 
 
-@query("lines_spans", "tokens", sql=f"SELECT token_ix, row_ix, CAST(coalesce(sum(CASE WHEN back > 2 * coalesce(m, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY n.page, row_ix ORDER BY x0, token_ix ROWS UNBOUNDED PRECEDING), 0) AS INT) AS span_ix FROM {NEXT} n LEFT JOIN {MEDIAN} m ON n.page = m.page")
+@query("lines_of_built", "tokens")
 def _(tokens):
-    return lines.spans(lines.rows_of(tokens), 2.0).select("token_ix", "row_ix", "span_ix")
+    return lines.spans(lines.lined(tokens), 2.0).select("doc_id", "page", "token_ix", "line_ix", "span_ix")
 
 
-@query("lines_median_space", "tokens", sql=f"SELECT t.page, coalesce(m, 5) AS median_gap FROM (SELECT DISTINCT page FROM {{tokens}}) t LEFT JOIN {MEDIAN} m ON t.page = m.page")
+@query("lines_spans", "lined", sql=f"SELECT token_ix, line_ix, CAST(coalesce(sum(CASE WHEN back > 2 * coalesce(m, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY n.doc_id, n.page, line_ix ORDER BY x0, token_ix ROWS UNBOUNDED PRECEDING), 0) AS INT) AS span_ix FROM {NEXT} n LEFT JOIN {MEDIAN} m ON n.doc_id = m.doc_id AND n.page = m.page")
+def _(rows):
+    return lines.spans(rows, 2.0).select("token_ix", "line_ix", "span_ix")
+
+
+@query("lines_median_space", "lined", sql=f"SELECT t.doc_id, t.page, coalesce(m, 5) AS median_gap FROM (SELECT DISTINCT doc_id, page FROM {{lined}}) t LEFT JOIN {MEDIAN} m ON t.doc_id = m.doc_id AND t.page = m.page")
+def _(rows):
+    return lines.median_space(rows)
+
+
+@query("lines_intraline_gaps", "lined", sql=f"SELECT doc_id, page, line_ix, token_ix, gap FROM {NEXT} n JOIN (SELECT doc_id, page, line_ix, quantile_cont(gap, 0.5) AS m FROM {NEXT} WHERE gap > 0 GROUP BY doc_id, page, line_ix) g USING (doc_id, page, line_ix) WHERE gap > 1.5 * m AND gap > 1")
+def _(rows):
+    return lines.intraline_gaps(rows, 1.5)
+
+
+@query("lines_skew", "lined", sql="WITH s AS (SELECT doc_id, page, line_ix, count(*) AS weight, regr_slope(y0, (x0 + x1) / 2) AS slope FROM {lined} GROUP BY doc_id, page, line_ix HAVING count(*) >= 2), r AS (SELECT *, sum(weight) OVER (PARTITION BY doc_id, page ORDER BY slope, line_ix ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY doc_id, page) AS every FROM s WHERE slope IS NOT NULL) SELECT doc_id, page, round(greatest(-5, least(5, degrees(atan(min(slope))))), 6) AS degrees FROM r WHERE run * 2 >= every GROUP BY doc_id, page")
+def _(rows):
+    return lines.skew(lines.line_slopes(rows, 2)).select("doc_id", "page", F.round("degrees", 6).alias("degrees"))
+
+
+@query("lines_skew_regression", "tokens", sql="SELECT doc_id, page, round(greatest(-5, least(5, degrees(atan(coalesce(regr_slope(y0, (x0 + x1) / 2), 0))))), 6) AS degrees FROM {tokens} GROUP BY doc_id, page")
 def _(tokens):
-    return lines.median_space(lines.rows_of(tokens))
+    return lines.skew_by_regression(tokens).select("doc_id", "page", F.round("degrees", 6).alias("degrees"))
 
 
-@query("lines_intraline_gaps", "tokens", sql=f"SELECT n.page, n.row_ix, token_ix, gap FROM {NEXT} n JOIN (SELECT page, row_ix, quantile_cont(gap, 0.5) AS m FROM {NEXT} WHERE gap > 0 GROUP BY page, row_ix) g ON n.page = g.page AND n.row_ix = g.row_ix WHERE gap > 1.5 * m AND gap > 1")
+@query("lines_median_size", "tokens", sql="SELECT doc_id, page, quantile_cont(x1 - x0, 0.5) AS width, quantile_cont(y1 - y0, 0.5) AS height FROM {tokens} GROUP BY doc_id, page")
 def _(tokens):
-    return lines.intraline_gaps(lines.rows_of(tokens), 1.5)
+    return lines.median_size(tokens)
 
 
-@query("lines_skew", "tokens", sql=f"WITH s AS (SELECT page, row_ix, count(*) AS weight, regr_slope(y0, (x0 + x1) / 2) AS slope FROM {ROWS} GROUP BY page, row_ix HAVING count(*) >= 2), r AS (SELECT *, sum(weight) OVER (PARTITION BY page ORDER BY slope, row_ix ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY page) AS every FROM s WHERE slope IS NOT NULL) SELECT page, round(degrees(atan(min(slope))), 6) AS degrees FROM r WHERE run * 2 >= every GROUP BY page")
+@query("lines_adjacent_numbers", "lined", sql=f"SELECT doc_id, page, line_ix, token_ix, gap FROM (SELECT *, lead(text) OVER ({LINE}) AS following FROM {NEXT}) WHERE regexp_matches(text, '^[0-9][0-9.,]*$') AND regexp_matches(following, '^[0-9][0-9.,]*$') AND gap BETWEEN 0.2 AND 20")
+def _(rows):
+    return lines.adjacent_numbers(rows)
+
+
+@query("lines_width_anomalies", "tokens", sql="SELECT doc_id, page, token_ix, round((x1 - x0) / (length(text) * font_size * 0.55), 6) AS ratio FROM {tokens} WHERE (x1 - x0) / (length(text) * font_size * 0.55) < 0.7")
 def _(tokens):
-    return lines.skew(lines.line_slopes(lines.rows_of(tokens), 2)).select("page", F.round("degrees", 6).alias("degrees"))
+    return lines.width_anomalies(tokens).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("lines_symbol_fingerprints", "tokens", sql="SELECT regexp_replace(regexp_replace(text, '[0-9]+\\.?[0-9]*', 'N', 'g'), '[%°]', '', 'g') AS fingerprint, count(*) AS n, count(*) FILTER (regexp_matches(text, '[%°]')) AS with_symbol FROM {tokens} GROUP BY 1 HAVING with_symbol > 0 AND with_symbol < n")
@@ -144,65 +169,118 @@ def _(tokens):
     return lines.symbol_fingerprints(tokens)
 
 
-def finding(check: str, severity: str, page: str, subject: str) -> str:
-    return f"SELECT '{check}' AS check_id, '{severity}' AS severity, CAST({page} AS BIGINT) AS page, coalesce(CAST({subject} AS VARCHAR), '') AS subject"
+def finding(check: str, severity: str, subject: str, *keys: str) -> str:
+    named = ", ".join(f"CAST({k} AS BIGINT) AS {k}" for k in keys or ("doc_id", "page"))
+    return f"SELECT '{check}' AS check_id, '{severity}' AS severity, {named}, coalesce(CAST({subject} AS VARCHAR), '') AS subject"
+
+
+def missing(table: str, keys: str) -> str:
+    """Ranges of whole numbers from 1 to the highest that a group lacks, as missing: islands of the numbers that aren't there."""
+    return (
+        f"(WITH w AS (SELECT {keys}, unnest(range(1, max(number) + 1)) AS number FROM {table} GROUP BY {keys}), l AS (SELECT * FROM w ANTI JOIN {table} t USING ({keys}, number)), "
+        f"i AS (SELECT {keys}, min(number) AS low, max(number) AS high FROM (SELECT *, number - row_number() OVER (PARTITION BY {keys} ORDER BY number) AS island FROM l) GROUP BY {keys}, island) "
+        f"SELECT {keys}, string_agg(CASE WHEN low = high THEN CAST(low AS VARCHAR) ELSE concat(low, '-', high) END, ',' ORDER BY low) AS missing FROM i GROUP BY {keys})"
+    )
+
+
+COLUMN = "doc_id, page, column_ix"
 
 
 @query("check_numbering", "notes", sql=f"""
-WITH ends AS (SELECT page, column_ix, min(number) AS low, max(number) AS high FROM {{notes}} GROUP BY 1, 2),
-w AS (SELECT page, column_ix, unnest(range(low, high + 1)) AS number FROM ends),
-f AS (SELECT *, lag(number) OVER (PARTITION BY page, column_ix ORDER BY ord) AS before FROM {{notes}})
-{finding('NOTES_DUP', 'warning', 'page', 'number')} FROM {{notes}} GROUP BY page, column_ix, number HAVING count(*) > 1
-UNION ALL {finding('NOTES_GAP', 'warning', 'page', 'number')} FROM w ANTI JOIN {{notes}} n USING (page, column_ix, number)
-UNION ALL {finding('NOTES_ORDER', 'info', 'page', 'arg_min(number, ord)')} FROM f WHERE number < before GROUP BY page, column_ix""")
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY {COLUMN}, number ORDER BY ord) AS nth, lag(number) OVER (PARTITION BY {COLUMN} ORDER BY ord) AS before FROM {{notes}})
+{finding('NOTES_DUP', 'error', 'number')} FROM d WHERE nth > 1
+UNION ALL {finding('NOTES_GAP', 'warning', 'missing')} FROM {missing('{notes}', COLUMN)}
+UNION ALL {finding('NOTES_ORDER', 'warning', 'number')} FROM (SELECT * FROM d WHERE number < before QUALIFY row_number() OVER (PARTITION BY {COLUMN} ORDER BY ord) = 1)""")
 def _(notes):
     return checks.numbering(notes)
 
 
-@query("check_note_references", "tokens", "notes", sql=f"WITH r AS (SELECT DISTINCT page, CAST(unnest(regexp_extract_all(text, 'NOTE\\s*([0-9]+)', 1)) AS INT) AS number FROM {{tokens}}) {finding('NOTES_XREF', 'warning', 'page', 'number')} FROM r WHERE number NOT IN (SELECT number FROM {{notes}} WHERE number > 3)")
-def _(tokens, notes):
-    return checks.undefined_references(tokens, notes.where("number > 3"))
+@query("check_note_headers", "columns", sql=f"{finding('NOTES_NO_HEADER', 'warning', 'column_ix')} FROM {{columns}} WHERE trim(coalesce(header, '')) = '' AND n_notes > 0")
+def _(columns):
+    return checks.columns_without_header(columns)
+
+
+@query("check_note_references", "notes", sql=f"WITH r AS (SELECT doc_id, page, CAST(unnest(regexp_extract_all(text, '(?i)(?:SEE|REFER\\s+TO)\\s+NOTE\\s+#?([0-9]+)', 1)) AS BIGINT) AS number FROM {{notes}}) {finding('NOTES_XREF', 'warning', 'number')} FROM r WHERE NOT EXISTS (SELECT 1 FROM {{notes}} n WHERE n.doc_id = r.doc_id AND n.page = r.page AND n.number = r.number)")
+def _(notes):
+    return checks.undefined_references(notes, notes)
+
+
+NAMED = "(SELECT doc_id, page, upper(trim(code)) AS code, upper(trim(meaning)) AS meaning FROM {entries})"
 
 
-@query("check_abbreviations", "entries", sql=f"{finding('ABBREV_DUP', 'warning', 'page', 'code')} FROM {{entries}} GROUP BY page, code HAVING count(DISTINCT upper(meaning)) > 1")
+@query("check_abbreviations", "entries", sql=f"{finding('ABBREV_DUP', 'error', 'code')} FROM {NAMED} WHERE code <> '' GROUP BY doc_id, page, code HAVING count(DISTINCT meaning) > 1")
 def _(entries):
     return checks.abbreviations(entries)
 
 
-@query("check_undefined_abbreviations", "tokens", "entries", sql=f"{finding('ABBREV_UNDEF', 'info', 'min(page)', 'text')} FROM {{tokens}} WHERE regexp_matches(text, '^[A-Z]{{{{2,6}}}}$') AND text NOT IN (SELECT code FROM {{entries}}) GROUP BY text".replace("{{2,6}}", "{2,6}"))
-def _(tokens, entries):
-    return checks.undefined_abbreviations(tokens, entries)
+@query("check_undefined_abbreviations", "notes", "entries", sql=f"""
+WITH u AS (SELECT DISTINCT doc_id, page, unnest(regexp_extract_all(text, '\\b([A-Z]{{{{2,}}}})\\b', 1)) AS code FROM {{notes}})
+{finding('ABBREV_UNDEF', 'info', 'code')} FROM u WHERE code NOT IN ({', '.join(f"'{w}'" for w in checks.COMMON_WORDS)})
+AND EXISTS (SELECT 1 FROM {NAMED} e WHERE e.doc_id = u.doc_id AND e.page = u.page) AND NOT EXISTS (SELECT 1 FROM {NAMED} e WHERE e.doc_id = u.doc_id AND e.page = u.page AND e.code = u.code)""".replace("{{2,}}", "{2,}"))
+def _(notes, entries):
+    return checks.undefined_abbreviations(notes, entries)
 
 
-@query("check_empty_regions", "regions", "entries", sql="SELECT CASE region_type WHEN 'legend' THEN 'LEGEND_EMPTY' WHEN 'abbreviation' THEN 'ABBREV_EMPTY' ELSE 'REV_EMPTY' END AS check_id, 'info' AS severity, page, CAST(region_ix AS VARCHAR) AS subject FROM {regions} r ANTI JOIN {entries} e USING (page, region_ix)")
+BARE = "FROM {regions} r WHERE NOT EXISTS (SELECT 1 FROM {entries} e WHERE e.doc_id = r.doc_id AND e.page = r.page AND e.region_ix = r.region_ix)"
+
+
+@query("check_empty_regions", "regions", "entries", sql=f"{finding('LEGEND_EMPTY', 'warning', 'region_ix')} {BARE} AND region_type = 'legend' UNION ALL {finding('ABBREV_EMPTY', 'info', 'region_ix')} {BARE} AND region_type = 'abbreviation' UNION ALL {finding('REV_EMPTY', 'info', 'region_ix')} {BARE} AND region_type = 'revision'")
 def _(regions, entries):
     return checks.empty_regions(regions, entries)
 
 
-@query("check_revision_dates", "revisions", sql=f"WITH s AS (SELECT page, ord, date, sign(date_diff('day', lag(date) OVER (PARTITION BY page ORDER BY ord), date)) AS step FROM {{revisions}} WHERE date IS NOT NULL), f AS (SELECT *, first_value(step) OVER (PARTITION BY page ORDER BY ord) AS first FROM s WHERE step <> 0) {finding('REV_DATE_ORDER', 'warning', 'page', 'arg_min(date, ord)')} FROM f WHERE step <> first GROUP BY page")
+@query("check_legend_headers", "regions", "entries", sql=f"{finding('LEGEND_NO_HEADER', 'info', 'region_ix')} {BARE.replace('NOT EXISTS', 'EXISTS')} AND region_type = 'legend' AND trim(coalesce(header, '')) = ''")
+def _(regions, entries):
+    return checks.legends_without_header(regions, entries)
+
+
+@query("check_revision_dates", "revisions", sql=f"""
+WITH s AS (SELECT *, lag(date) OVER g AS before, row_number() OVER g AS nth FROM {{revisions}} WHERE date IS NOT NULL WINDOW g AS (PARTITION BY doc_id, page, region_ix ORDER BY ord)),
+f AS (SELECT doc_id, page, region_ix, bool_or(before <= date) AS rising FROM s WHERE nth = 2 GROUP BY doc_id, page, region_ix),
+b AS (SELECT s.* FROM s JOIN f USING (doc_id, page, region_ix) WHERE CASE WHEN rising THEN date < before ELSE date > before END QUALIFY row_number() OVER (PARTITION BY doc_id, page, region_ix ORDER BY ord) = 1)
+{finding('REV_DATE_ORDER', 'warning', 'date')} FROM b""")
 def _(revisions):
     return checks.revision_dates(revisions)
 
 
-@query("check_revision_gaps", "revisions", sql=f"WITH w AS (SELECT doc_id, unnest(range(1, max(number) + 1)) AS number FROM {{revisions}} WHERE page % 9 = 0 GROUP BY doc_id) {finding('DOC_REVISION_GAP', 'warning', 'doc_id', 'number')} FROM w ANTI JOIN (SELECT doc_id, number FROM {{revisions}} WHERE page % 9 = 0) r USING (doc_id, number)")
+@query("check_revision_numbers", "revisions", sql=f"{finding('REV_NO_NUMBER', 'warning', 'ord')} FROM {{revisions}} WHERE (trim(description) <> '' OR date IS NOT NULL) AND trim(number) = ''")
 def _(revisions):
-    return checks.revision_gaps(revisions.where("page % 9 = 0"))
+    return checks.revisions_without_number(revisions)
+
+
+@query("check_details", "details", sql=f"{finding('STDDET_DUP', 'warning', 'code')} FROM (SELECT doc_id, page, upper(trim(sheet)) AS code FROM {{details}}) WHERE code <> '' GROUP BY doc_id, page, code HAVING count(*) > 1 UNION ALL {finding('STDDET_NO_DESC', 'warning', 'sheet')} FROM {{details}} WHERE trim(sheet) <> '' AND trim(description) = ''")
+def _(details):
+    return checks.union([checks.detail_duplicates(details), checks.details_without_description(details)])
 
 
 @query("check_title_fields", "pages_q", "fields", sql=f"""
-WITH t AS (SELECT DISTINCT page, unnest(['sheet_number', 'date']) AS label FROM {{fields}})
-{finding('TITLE_MISSING', 'error', 'page', "''")} FROM {{pages_q}} p WHERE page NOT IN (SELECT page FROM {{fields}})
-UNION ALL SELECT concat('TITLE_NO_', upper(label)), 'warning', page, label FROM t ANTI JOIN (SELECT * FROM {{fields}} WHERE value <> '') f USING (page, label)""")
+WITH t AS (SELECT DISTINCT doc_id, page, unnest(['sheet_number', 'date']) AS label FROM {{fields}})
+{finding('TITLE_MISSING', 'warning', "''")} FROM {{pages_q}} p WHERE NOT EXISTS (SELECT 1 FROM {{fields}} f WHERE f.doc_id = p.doc_id AND f.page = p.page)
+UNION ALL SELECT concat('TITLE_NO_', upper(label)), 'warning', doc_id, page, label FROM t ANTI JOIN (SELECT * FROM {{fields}} WHERE value <> '') f USING (doc_id, page, label)""")
 def _(pages, fields):
     return checks.title_fields(pages, fields)
 
 
-@query("check_documents", "pages_q", "entries", sql=f"""
-{finding('DOC_DUP_SHEET', 'error', 'min(page)', 'sheet')} FROM {{pages_q}} WHERE sheet IS NOT NULL GROUP BY sheet HAVING count(*) > 1
-UNION ALL {finding('DOC_ABBREV_CONFLICT', 'warning', 'min(page)', 'code')} FROM {{entries}} GROUP BY code HAVING count(DISTINCT upper(meaning)) > 1
-UNION ALL {finding('DOC_LOW_QUALITY', 'info', 'page', "''")} FROM {{pages_q}} p, (SELECT avg(quality) AS mean, count(*) AS n FROM {{pages_q}} WHERE quality > 0) m WHERE n >= 3 AND quality > 0 AND quality < 0.6 * mean""")
-def _(pages, entries):
-    return checks.document_checks(pages, entries)
+WHOLE = "(SELECT doc_id, TRY_CAST(number AS BIGINT) AS number FROM {revisions} WHERE TRY_CAST(number AS BIGINT) >= 0)"
+
+
+@query("check_documents", "pages_q", "entries", "symbols", "revisions", sql=f"""
+{finding('DOC_DUP_SHEET', 'error', 'code', 'doc_id')} FROM (SELECT doc_id, upper(trim(sheet)) AS code FROM {{pages_q}}) WHERE code <> '' GROUP BY doc_id, code HAVING count(*) > 1
+UNION ALL {finding('DOC_ABBREV_CONFLICT', 'error', 'code', 'doc_id')} FROM {NAMED} WHERE code <> '' GROUP BY doc_id, code HAVING count(DISTINCT meaning) > 1
+UNION ALL {finding('DOC_TITLE_INCONSISTENT', 'info', 'count(*) FILTER (sheet IS NULL)', 'doc_id')} FROM {{pages_q}} GROUP BY doc_id HAVING count(*) FILTER (sheet IS NULL) BETWEEN 1 AND count(*) - 1
+UNION ALL {finding('DOC_LEGEND_CONFLICT', 'warning', 'symbol', 'doc_id')} FROM {{symbols}} WHERE trim(description) <> '' GROUP BY doc_id, symbol HAVING count(DISTINCT upper(trim(description))) > 1
+UNION ALL {finding('DOC_REVISION_GAP', 'warning', 'missing', 'doc_id')} FROM {missing(WHOLE, 'doc_id')}
+UNION ALL {finding('DOC_LOW_QUALITY', 'info', 'count(*)', 'doc_id')} FROM (SELECT *, avg(quality) OVER (PARTITION BY doc_id) AS mean, count(*) OVER (PARTITION BY doc_id) AS n FROM {{pages_q}} WHERE quality > 0) WHERE n >= 3 AND quality < 0.6 * mean GROUP BY doc_id""")
+def _(pages, entries, symbols, revisions):
+    return checks.document_checks(pages, entries, symbols, revisions)
+
+
+@query("check_all", "notes", "pages_q", "details", sql=f"""
+WITH f AS ({finding('STDDET_NO_DESC', 'warning', 'sheet')} FROM {{details}} WHERE trim(sheet) <> '' AND trim(description) = ''
+UNION ALL {finding('NOTES_DUP', 'error', 'number')} FROM (SELECT * FROM {{notes}} QUALIFY row_number() OVER (PARTITION BY {COLUMN}, number ORDER BY ord) > 1))
+SELECT check_id, CASE WHEN confidence < 0.6 AND severity = 'error' THEN 'warning' WHEN confidence < 0.6 AND severity = 'warning' THEN 'info' ELSE severity END AS severity, f.doc_id, f.page, subject FROM f LEFT JOIN {{pages_q}} p ON f.doc_id = p.doc_id AND f.page = p.page""")
+def _(notes, pages, details):
+    return checks.run_checks([checks.details_without_description(details), checks.numbering(notes).where("check_id = 'NOTES_DUP'")], pages)
 
 
 LAST = "(SELECT * FROM {corrections} WHERE detection_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY detection_id ORDER BY corrected_at DESC, seq DESC) = 1)"

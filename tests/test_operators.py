@@ -1,27 +1,53 @@
+import random
+import statistics
+
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geometry as G
 from sheetwise.functions import text as T
-from sheetwise.operators import lines, spatial, store
+from sheetwise.operators import checks, lines, spatial, store
 from sheetwise.sources import io
 
-TOKENS = "page bigint, token_ix bigint, x0 double, y0 double, x1 double, y1 double, text string"
+TOKENS = "doc_id bigint, page bigint, token_ix bigint, x0 double, y0 double, x1 double, y1 double, text string"
 
 
 def tokens(spark, *rows):
-    return spark.createDataFrame([(0, i, *map(float, r[:4]), r[4]) for i, r in enumerate(rows)], TOKENS)
-
-
-def test_nms_keeps_the_first_of_two_and_a_distant_one(spark):
-    kept = spatial.nms(tokens(spark, (10, 10, 50, 30, "A"), (12, 11, 48, 29, "B"), (100, 100, 150, 120, "C")), 0.5)
-    assert {r["text"] for r in kept.collect()} == {"A", "C"}
-
-
-def test_lines(spark):
-    one = lines.build_lines(tokens(spark, (10, 100, 60, 112, "HELLO"), (80, 100, 130, 112, "WORLD"), (150, 100, 200, 112, "TEST")))
-    assert {r["line_ix"] for r in one.collect()} == {0}
-    two = lines.build_lines(tokens(spark, (50, 100, 120, 112, "GENERAL"), (130, 100, 190, 112, "NOTES:"), (50, 120, 65, 132, "1."), (70, 120, 100, 132, "ALL")))
-    assert [r["line_ix"] for r in two.orderBy("token_ix").collect()] == [0, 0, 1, 1]
+    return spark.createDataFrame([(0, 0, i, *map(float, r[:4]), r[4]) for i, r in enumerate(rows)], TOKENS)
+
+
+def test_nms_keeps_larger_boxes_of_each_document(spark):
+    """A chain where the middle box goes and the ends, which overlap nothing kept, stay; equal boxes of another document are its own."""
+    one = [(0, 0, 40, 10, "wide"), (20, 0, 55, 10, "middle"), (45, 0, 70, 10, "end"), (70, 0, 80, 10, "touching"), (0, 0, 40, 10, "again")]
+    frame = tokens(spark, *one)
+    both = frame.unionByName(frame.withColumn("doc_id", F.lit(1).cast("bigint")))
+    kept = sorted((r["doc_id"], r["text"]) for r in spatial.nms(both, 0.3).collect())
+    assert kept == [(d, t) for d in (0, 1) for t in ("end", "touching", "wide")]
+    clusters = {(r["doc_id"], r["token_ix"]): r["cluster"] for r in spatial.overlap_clusters(both).collect()}
+    assert clusters == {(d, i): 3 if i == 3 else 0 for d in (0, 1) for i in range(5)}
+
+
+def test_lines_by_first_fit(spark):
+    """Lines by median height, numbered from the top and left; tokens that overlap too little or lie too far start a line of their own."""
+    r = random.Random(5)
+    made = [(x, y + r.choice([0, 1, 2, 3]), x + 20, y + r.choice([9, 10, 11]), "t") for y in range(0, 200, 25) for x in range(0, 300, 40)] + [(400, 4, 410, 30, "tall")]
+    got = {x["token_ix"]: x["line_ix"] for x in lines.build_lines(tokens(spark, *made)).collect()}
+    heights = sorted(m[3] - m[1] for m in made)
+    tolerance = heights[len(heights) // 2] * 0.45
+    groups = []
+    for i, m in sorted(enumerate(made), key=lambda z: ((z[1][1] + z[1][3]) / 2, z[1][0])):
+        c = (m[1] + m[3]) / 2
+        for g in groups:
+            top, bottom = min(made[k][1] for k in g), max(made[k][3] for k in g)
+            mean = sum((made[k][1] + made[k][3]) / 2 for k in g) / len(g)
+            if abs(c - mean) <= tolerance and (min(m[3], bottom) - max(m[1], top)) / (min(m[3] - m[1], bottom - top) + 1e-6) > 0.3:
+                g.append(i)
+                break
+        else:
+            groups.append([i])
+    groups.sort(key=lambda g: (statistics.median((made[k][1] + made[k][3]) / 2 for k in g), min(made[k][0] for k in g)))
+    assert got == {i: k for k, g in enumerate(groups) for i in g}
+    spans = lines.spans(lines.lined(tokens(spark, (0, 0, 10, 10, "a"), (14, 0, 24, 10, "b"), (28, 1, 38, 11, "c"), (400, 0, 410, 10, "far"), (0, 50, 10, 60, "low"))))
+    assert [(x["line_ix"], x["span_ix"]) for x in spans.orderBy("token_ix").collect()] == [(0, 0), (0, 0), (0, 0), (0, 1), (1, 0)]
 
 
 def test_touching_boxes_overlap_only_if_asked(spark):
@@ -40,8 +66,25 @@ def test_invalid_dates_are_null(spark):
     assert spark.createDataFrame([("13/45/2020",), (None,), ("none",)], "d string").where(T.parse_date(F.col("d")).isNotNull()).isEmpty()
 
 
-def test_dashed_dates_come_before_iso_dates(spark):
-    assert spark.range(1).select(T.parse_date(F.lit("2001-04-02")).cast("string")).first()[0] == "2002-01-04"
+def test_dates(spark):
+    """Year first, then month first, then names of months; what is no date is null."""
+    want = {"2001-04-02": "2001-04-02", "2001-31-12": "2012-01-31", "12 Jan 2024": "2024-01-12", "March 3, 99": "2099-03-03", "sept 4 2020": None, "Sep 31 2020": None, "5/6/21 or 2020-01-02": "2020-01-02", "REV 07-08-19": "2019-07-08", "May 2021": None}
+    got = spark.createDataFrame([(k,) for k in want], "d string").select("d", T.parse_date(F.col("d")).cast("string")).collect()
+    assert {r[0]: r[1] for r in got} == want
+
+
+def test_headers(spark):
+    rows = {"NOTES (CONT\u2019D):": ("NOTES", True), "Notes Continued": ("NOTES", False), "NOTES CONTINUED: ": ("NOTES", True), "CONTROL NOTES::": ("CONTROL NOTES", False), "CONT'D FROM LEFT": ("CONT'D FROM LEFT", False)}
+    got = spark.createDataFrame([(k,) for k in rows], "h string").select("h", T.base_header(F.col("h")), T.is_continuation(F.col("h"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == rows
+
+
+def test_checks_keep_to_their_page(spark):
+    """A note of page 2 doesn't define a reference of page 1, nor one of another document; a misread number costs one finding."""
+    notes = spark.createDataFrame([(1, 1, 0, 0, 1, "SEE NOTE 7"), (1, 2, 0, 1, 7, "x"), (2, 1, 0, 2, 7, "x"), (1, 1, 0, 3, 2_000_000, "x")], "doc_id int, page int, column_ix int, ord int, number int, text string")
+    assert [(r["doc_id"], r["page"], r["subject"]) for r in checks.undefined_references(notes, notes).collect()] == [(1, 1, "7")]
+    gaps = {(r["doc_id"], r["page"]): r["subject"] for r in checks.numbering(notes).where("check_id = 'NOTES_GAP'").collect()}
+    assert gaps == {(1, 1): "2-1999999", (1, 2): "1-6", (2, 1): "1-6"}
 
 
 def test_metrics_of_an_empty_table(spark):
