@@ -97,8 +97,8 @@ def cosine_search(chunks: DataFrame, vector: list[float], k: int, where: Column
 
 
 def latest_run(detections: DataFrame) -> DataFrame:
-    """Each document's rows of its latest run, and its hand-drawn ones (run_id beginning with manual)."""
-    manual = F.col("run_id").startswith("manual")
+    """Each document's rows of its latest run, and its hand-drawn ones (run_id beginning with manual, in any case)."""
+    manual = F.col("run_id").ilike("manual%")
     runs = detections.where(~manual).groupBy("doc_id").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("last_run"))
     return detections.join(runs, "doc_id", "left").where(manual | (F.col("run_id") == F.col("last_run"))).drop("last_run")
 

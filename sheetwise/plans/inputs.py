@@ -27,8 +27,13 @@ FROM (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_supp
     "revisions": "SELECT c_nationkey AS doc_id, CAST(floor(c_custkey / 60.0) AS BIGINT) AS page, CAST(c_custkey % 2 AS BIGINT) AS region_ix, c_custkey AS ord, CASE WHEN c_custkey % 13 = 0 THEN ' ' WHEN c_custkey % 17 = 0 THEN 'A' ELSE CAST(c_custkey % 11 * (c_nationkey % 3) + 1 AS VARCHAR(9)) END AS number, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS description, CAST(o.d AS DATE) AS date FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS d FROM {orders} GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey",
     "fields": "SELECT s_suppkey % 5 AS doc_id, CAST(floor(s_suppkey / 15.0) AS BIGINT) AS page, CASE WHEN s_suppkey % 3 = 0 THEN 'sheet_number' WHEN s_suppkey % 3 = 1 THEN 'date' ELSE 'scale' END AS label, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_name END AS value FROM {supplier}",
     "pages_q": "SELECT doc_id, page, CASE WHEN page % 10 = 0 THEN NULL WHEN page % 3 = 0 THEN concat(' s-', CAST(page % 40 AS VARCHAR(9))) ELSE concat('S-', CAST(page % 40 AS VARCHAR(9))) END AS sheet, CAST(count(*) % 5 AS DOUBLE) / 4 AS quality, CAST(count(*) % 8 AS DOUBLE) / 8 AS confidence FROM {tokens} GROUP BY doc_id, page",
-    "detections": "SELECT o_orderkey AS detection_id, o_custkey % 50 AS doc_id, CAST(o_orderkey % 20 AS INT) AS page, CASE WHEN o_orderkey % 17 = 0 THEN 'manual' ELSE concat('run', CAST(o_orderkey % 4 AS VARCHAR(9))) END AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'notes' WHEN o_orderkey % 3 = 1 THEN 'legend' ELSE 'header' END AS element_type, CAST(o_custkey % 64 AS DOUBLE) / 64 AS confidence, CAST(o_orderdate AS DATE) AS created_at FROM {orders}",
+    "detections": "SELECT o_orderkey AS detection_id, o_custkey % 50 AS doc_id, CAST(o_orderkey % 20 AS INT) AS page, CASE WHEN o_orderkey % 17 = 0 THEN 'manual' ELSE concat('run', CAST(o_orderkey % 4 AS VARCHAR(9))) END AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'notes' WHEN o_orderkey % 3 = 1 THEN 'legend' ELSE 'header' END AS element_type, CAST(o_custkey % 64 AS DOUBLE) / 64 AS confidence, CAST(o_orderdate AS DATE) AS created_at, CAST(o_custkey % 500 AS DOUBLE) AS x0, CAST(o_custkey % 700 AS DOUBLE) AS y0, CAST(o_custkey % 500 + o_orderkey % 90 AS DOUBLE) AS x1, CAST(o_custkey % 700 + 10 AS DOUBLE) AS y1 FROM {orders}",
     "corrections": "SELECT event_id AS seq, CASE WHEN event_id % 29 = 0 THEN NULL ELSE event_id * 7 % 9000 END AS detection_id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_id % 2 = 0 THEN 'accept' ELSE 'relabel' END AS correction_type, CASE WHEN user_id % 2 = 0 THEN 'legend' ELSE 'title' END AS corrected_element_type, ts AS corrected_at FROM {events}",
+    "members": "SELECT CAST(floor(o_orderkey / 12.0) AS BIGINT) AS group_id, o_orderkey AS detection_id FROM {orders}",
+    "groups": "SELECT group_id, CASE WHEN group_id % 4 = 0 THEN max(detection_id) ELSE min(detection_id) END AS root_detection_id FROM {members} GROUP BY group_id",
+    "images": "SELECT doc_id, page, run_id, concat(run_id, '-', CAST(detection_id AS VARCHAR(20)), '.png') AS path, created_at, detection_id FROM {detections}",
+    "training": "SELECT s_suppkey AS run_id, s_suppkey % 9 AS trained_at, CAST(s_suppkey % 17 AS DOUBLE) / 16 AS f1_macro, CAST(s_suppkey % 23 AS DOUBLE) / 32 AS f1_weighted FROM {supplier}",
+    "entities": "SELECT event_id, CAST(user_id % 40 AS BIGINT) AS page, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN concat('V', CAST(event_id % 12 AS VARCHAR(9))) ELSE concat('v', CAST(event_id % 12 AS VARCHAR(9))) END AS value FROM {events}",
     "outcomes": "SELECT event_id, event_type AS m1, CASE WHEN event_id % 3 = 0 THEN 'gap' ELSE 'grid' END AS m2, CASE WHEN event_id % 5 = 0 THEN 'pending' WHEN event_id % 2 = 0 THEN 'hit' ELSE 'miss' END AS outcome FROM {events}",
     "calls": "SELECT event_id, event_type AS model, CAST(user_id * 10 AS BIGINT) AS input_tokens, CAST(event_id % 500 AS BIGINT) AS output_tokens FROM {events}",
 }

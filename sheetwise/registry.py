@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import text as T
-from .operators import checks, lines, spatial, store
+from .operators import checks, ledger, lines, spatial, store
 from .plans.inputs import load, with_inputs
 from .streaming import live
 
@@ -403,3 +403,196 @@ def _(orders):
 @query("stream_windowed_counts", "events", sql="SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY 1, 2")
 def _(events):
     return live.windowed_counts(events).withColumn("total", F.round("total", 4))
+
+
+GONE = "(SELECT d.* FROM {detections} d JOIN (SELECT doc_id, run_id FROM {detections} WHERE run_id NOT ILIKE 'manual%' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY created_at DESC, run_id DESC) = 1) k ON d.doc_id = k.doc_id WHERE d.run_id <> k.run_id AND d.run_id NOT ILIKE 'manual%')"
+
+
+@query("ledger_stale", "detections", sql=f"SELECT detection_id, run_id FROM {GONE}")
+def _(detections):
+    return ledger.stale(detections).select("detection_id", "run_id")
+
+
+def _purged(name):
+    def run(detections, corrections, groups, members):
+        return ledger.purge({"detections": detections, "corrections": corrections, "box_groups": groups, "box_group_members": members}, ledger.stale(detections))[name]
+
+    return run
+
+
+PURGED = ("detections", "corrections", "groups", "members")
+query("ledger_purge_detections", *PURGED, sql=f"SELECT detection_id FROM {{detections}} WHERE detection_id NOT IN (SELECT detection_id FROM {GONE})")(lambda *t: _purged("detections")(*t).select("detection_id"))
+query("ledger_purge_corrections", *PURGED, sql=f"SELECT seq, CASE WHEN detection_id IN (SELECT detection_id FROM {GONE}) THEN NULL ELSE detection_id END AS detection_id, correction_type FROM {{corrections}}")(lambda *t: _purged("corrections")(*t).select("seq", "detection_id", "correction_type"))
+query("ledger_purge_members", *PURGED, sql=f"SELECT group_id, detection_id FROM {{members}} WHERE detection_id NOT IN (SELECT detection_id FROM {GONE})")(lambda *t: _purged("box_group_members")(*t).select("group_id", "detection_id"))
+query("ledger_purge_groups", *PURGED, sql=f"SELECT group_id, root_detection_id FROM {{groups}} WHERE root_detection_id NOT IN (SELECT detection_id FROM {GONE}) AND group_id IN (SELECT group_id FROM {{members}} WHERE detection_id NOT IN (SELECT detection_id FROM {GONE}))")(lambda *t: _purged("box_groups")(*t).select("group_id", "root_detection_id"))
+
+
+@query("ledger_accept", "detections", "members", sql="SELECT detection_id, doc_id, page, 'accept' AS correction_type, element_type AS original_element_type, element_type AS corrected_element_type, x0 AS corr_x0, y0 AS corr_y0, x1 AS corr_x1, y1 AS corr_y1 FROM {detections}")
+def _(detections, members):
+    return ledger.accept(detections, members)
+
+
+@query("ledger_update", "detections", "corrections", sql=f"SELECT d.detection_id, coalesce(c.corrected_element_type, d.element_type) AS element_type, CASE WHEN c.detection_id IS NOT NULL THEN 1.0 ELSE d.confidence END AS confidence FROM {{detections}} d LEFT JOIN {LAST} c USING (detection_id)")
+def _(detections, corrections):
+    changes = store.latest(corrections, keep_deleted=True).select("detection_id", F.col("corrected_element_type").alias("element_type"), F.lit(1.0).alias("confidence"))
+    return ledger.update(detections, changes, "detection_id").select("detection_id", "element_type", "confidence")
+
+
+@query("ledger_upsert_images", "images", sql="SELECT doc_id, page, run_id, path FROM {images} QUALIFY row_number() OVER (PARTITION BY doc_id, page, run_id ORDER BY created_at DESC, detection_id DESC) = 1")
+def _(images):
+    rows = images.select("doc_id", "page", "run_id", "created_at", "detection_id", "path")
+    return ledger.upsert(rows.where("1 = 0"), rows, "doc_id", "page", "run_id").select("doc_id", "page", "run_id", "path")
+
+
+@query("ledger_page_images", "images", sql="SELECT doc_id, page, path FROM {images} QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY created_at DESC, detection_id DESC) = 1")
+def _(images):
+    return ledger.newest_by(images.select("doc_id", "page", "created_at", "detection_id", "path"), "created_at", "doc_id", "page").select("doc_id", "page", "path")
+
+
+@query("ledger_dismiss", "corrections", sql="SELECT detection_id, max(seq) AS seq FROM {corrections} WHERE detection_id IS NOT NULL GROUP BY detection_id")
+def _(corrections):
+    rows = corrections.where("detection_id is not null").select("detection_id", "seq")
+    return ledger.dismiss(rows.where("1 = 0"), rows)
+
+
+@query("ledger_undismiss", "members", "corrections", sql="SELECT group_id, detection_id FROM {members} WHERE detection_id NOT IN (SELECT detection_id FROM {corrections} WHERE detection_id IS NOT NULL)")
+def _(members, corrections):
+    return ledger.undismiss(members, corrections.where("detection_id is not null")).select("group_id", "detection_id")
+
+
+@query("ledger_remove_members", "groups", "members", "corrections", sql="WITH r AS (SELECT m.* FROM {members} m WHERE detection_id IN (SELECT detection_id FROM {corrections})), g AS (SELECT * FROM {groups} WHERE (group_id, root_detection_id) NOT IN (SELECT group_id, detection_id FROM r)) SELECT group_id, detection_id FROM {members} WHERE (group_id, detection_id) NOT IN (SELECT group_id, detection_id FROM r) AND group_id IN (SELECT group_id FROM g)")
+def _(groups, members, corrections):
+    rows = members.join(corrections.select("detection_id").distinct(), "detection_id", "left_semi")
+    return ledger.remove_from_groups(groups, members, rows)[1].select("group_id", "detection_id")
+
+
+@query("ledger_create_groups", "groups", "members", sql="SELECT group_id, root_detection_id AS detection_id FROM {groups}")
+def _(groups, members):
+    return ledger.create_group(groups.where("1 = 0"), members.where("1 = 0"), groups)[1].select("group_id", "detection_id")
+
+
+@query("ledger_groups", "groups", "members", sql="SELECT group_id, root_detection_id, string_agg(CAST(detection_id AS VARCHAR), ',' ORDER BY detection_id) AS members FROM {groups} JOIN {members} USING (group_id) GROUP BY group_id, root_detection_id")
+def _(groups, members):
+    return ledger.groups_with_members(groups, members).withColumn("members", F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))))
+
+
+@query("ledger_groups_of", "groups", "members", sql="SELECT group_id, detection_id, root_detection_id FROM {members} JOIN {groups} USING (group_id)")
+def _(groups, members):
+    return ledger.groups_of(groups, members)
+
+
+@query("ledger_settled_outcomes", "outcomes", sql="SELECT event_id, outcome FROM {outcomes} WHERE outcome IN ('hit', 'miss')")
+def _(outcomes):
+    return ledger.settled_outcomes(outcomes).select("event_id", "outcome")
+
+
+@query("ledger_reset", "detections", "corrections", "images", sql="SELECT 'images' AS name, count(*) AS n FROM {images} UNION ALL SELECT 'detections', 0 UNION ALL SELECT 'corrections', 0")
+def _(detections, corrections, images):
+    return ledger.counts(ledger.reset({"images": images, "detections": detections, "corrections": corrections}))
+
+
+@query("report_overview", "detections", "corrections", sql="SELECT (SELECT count(DISTINCT doc_id) FROM {detections}) AS documents, (SELECT count(*) FROM {detections}) AS detections, (SELECT CAST(max(created_at) AS VARCHAR) FROM {detections}) AS last_detection_at, (SELECT count(*) FROM {corrections}) AS corrections, (SELECT max(corrected_at) FROM {corrections}) AS last_correction_at")
+def _(detections, corrections):
+    return ledger.overview(detections, corrections).withColumn("last_detection_at", F.col("last_detection_at").cast("string"))
+
+
+@query("report_type_breakdown", "detections", sql="SELECT element_type, count(*) AS n FROM {detections} GROUP BY element_type")
+def _(detections):
+    return ledger.breakdown(detections, "element_type")
+
+
+@query("report_correction_breakdown", "corrections", sql="SELECT correction_type, count(*) AS n FROM {corrections} GROUP BY correction_type")
+def _(corrections):
+    return ledger.breakdown(corrections, "correction_type")
+
+
+@query("report_page_types", "detections", sql="SELECT doc_id, run_id, page, element_type, count(*) AS n FROM {detections} GROUP BY ALL")
+def _(detections):
+    return ledger.breakdown(detections, "doc_id", "run_id", "page", "element_type")
+
+
+@query("report_documents", "detections", "corrections", sql="SELECT d.doc_id, d.n AS detections, coalesce(c.n, 0) AS corrections, d.runs, greatest(d.at, coalesce(c.at, d.at)) AS last_activity FROM (SELECT doc_id, count(*) AS n, count(DISTINCT run_id) FILTER (run_id NOT ILIKE 'manual%') AS runs, CAST(max(created_at) AS TIMESTAMP) AS at FROM {detections} GROUP BY doc_id) d LEFT JOIN (SELECT doc_id, count(*) AS n, max(corrected_at) AS at FROM {corrections} JOIN {detections} USING (detection_id) GROUP BY doc_id) c USING (doc_id)")
+def _(detections, corrections):
+    return ledger.document_summary(detections, corrections)
+
+
+@query("report_run_ids", "detections", sql="SELECT doc_id, run_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY max(created_at) DESC, run_id DESC) AS INT) AS place FROM {detections} WHERE run_id NOT ILIKE 'manual%' GROUP BY doc_id, run_id")
+def _(detections):
+    return ledger.run_ids(detections)
+
+
+@query("report_recent_corrections", "corrections", sql="SELECT seq, correction_type FROM {corrections} ORDER BY corrected_at DESC, seq DESC LIMIT 25")
+def _(corrections):
+    return ledger.recent(corrections, "corrected_at", "seq", 25).select("seq", "correction_type")
+
+
+@query("report_corrections_since", "events", "corrections", sql="SELECT count(*) AS n FROM {corrections} WHERE corrected_at > TIMESTAMP '2024-01-10 00:00:00'")
+def _(events, corrections):
+    return ledger.since(corrections, "corrected_at", "2024-01-10 00:00:00")
+
+
+@query("report_page_extent", "detections", sql="SELECT doc_id, page, CASE WHEN max(x1) > 0 THEN max(x1) ELSE 2448 END::DOUBLE AS width, CASE WHEN max(y1) > 0 THEN max(y1) ELSE 1584 END::DOUBLE AS height FROM {detections} GROUP BY doc_id, page")
+def _(detections):
+    return ledger.page_extent(detections)
+
+
+@query("report_outcome_counts", "outcomes", sql="SELECT count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome = 'miss') AS misses, count(*) AS total FROM {outcomes}")
+def _(outcomes):
+    return ledger.outcome_counts(outcomes)
+
+
+@query("report_training_history", "training", sql="SELECT run_id, trained_at FROM {training} ORDER BY trained_at DESC, run_id DESC LIMIT 20")
+def _(training):
+    return ledger.recent(training, "trained_at", "run_id", 20).select("run_id", "trained_at")
+
+
+@query("report_experiments", "training", sql="SELECT run_id, f1_weighted FROM {training} ORDER BY f1_weighted DESC, run_id DESC LIMIT 10")
+def _(training):
+    return ledger.recent(training, "f1_weighted", "run_id", 10).select("run_id", "f1_weighted")
+
+
+@query("report_table_counts", "detections", "corrections", "groups", "members", sql="SELECT 'detections' AS name, count(*) AS n FROM {detections} UNION ALL SELECT 'corrections', count(*) FROM {corrections} UNION ALL SELECT 'groups', count(*) FROM {groups} UNION ALL SELECT 'members', count(*) FROM {members}")
+def _(detections, corrections, groups, members):
+    return ledger.counts({"detections": detections, "corrections": corrections, "groups": groups, "members": members})
+
+
+@query("metrics_summary", "detections", sql=f"SELECT round(avg(f1), 4) AS macro_f1, round(sum(f1 * support) / sum(support), 4) AS weighted_f1, CAST(sum(support) AS BIGINT) AS support FROM {METRICS}")
+def _(detections):
+    return ledger.summary_metrics(store.class_metrics(_predicted(detections)))
+
+
+@query("metrics_confusion", "detections", sql=f"WITH p AS {PREDICTED}, l AS (SELECT actual AS label FROM p UNION SELECT predicted FROM p) SELECT a.label AS actual, b.label AS predicted, (SELECT count(*) FROM p WHERE p.actual = a.label AND p.predicted = b.label) AS n FROM l a, l b")
+def _(detections):
+    return ledger.confusion(_predicted(detections))
+
+
+@query("metrics_symbols", "outcomes", sql="WITH f AS (SELECT m1 AS symbol, count(*) AS n FROM {outcomes} GROUP BY 1), t AS (SELECT m2 AS symbol, count(*) AS n FROM {outcomes} GROUP BY 1 UNION ALL SELECT m1, count(*) FILTER (outcome = 'hit') FROM {outcomes} GROUP BY 1) SELECT symbol, least(coalesce(f.n, 0), coalesce(t.n, 0)) AS hits, coalesce(f.n, 0) AS found, coalesce(t.n, 0) AS wanted FROM f FULL JOIN t USING (symbol)")
+def _(outcomes):
+    truth = outcomes.select(F.col("m2").alias("symbol")).unionAll(outcomes.where("outcome = 'hit'").select(F.col("m1").alias("symbol")))
+    return ledger.symbol_scores(outcomes.select(F.col("m1").alias("symbol")), truth)
+
+
+@query("stats_producers", "outcomes", sql="WITH s AS (SELECT m2 AS producer, m1 AS method, count(*) AS flagged, count(*) FILTER (outcome = 'hit') AS hits FROM {outcomes} GROUP BY 1, 2) SELECT producer, method, CASE WHEN flagged < 3 THEN 0.5 ELSE greatest(0.1, least(0.95, round((hits + 1) / (flagged + 2), 4))) END::DOUBLE AS confidence FROM s")
+def _(outcomes):
+    return ledger.producer_confidence(outcomes.selectExpr("m2 producer", "m1 method", "outcome"))
+
+
+@query("drift_pages", "embeddings", sql="SELECT label AS page, round(avg(CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 9) AS share, avg(CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE 0.0 END) >= 0.5 AS drifted FROM {embeddings} GROUP BY label")
+def _(embeddings):
+    return ledger.page_drift(embeddings.selectExpr("label page", "vec_id % 3 = 0 drifted")).withColumn("share", F.round("share", 9))
+
+
+@query("report_evaluation", "outcomes", sql="SELECT m1 AS difficulty, count(*) AS n, round(avg(event_id % 7), 9) AS score, round(avg(CASE WHEN outcome = 'hit' THEN 1.0 ELSE 0.0 END), 9) AS passed FROM {outcomes} GROUP BY m1")
+def _(outcomes):
+    out = ledger.evaluation_summary(outcomes.selectExpr("m1 difficulty", "event_id % 7 score", "outcome = 'hit' passed"))
+    return out.select("difficulty", "n", F.round("score", 9).alias("score"), F.round("passed", 9).alias("passed"))
+
+
+@query("entities_distinct", "entities", sql="SELECT event_id, page, kind, value FROM {entities} QUALIFY row_number() OVER (PARTITION BY kind, lower(value), page ORDER BY event_id) = 1")
+def _(entities):
+    return ledger.first_of(entities, "event_id", "kind", F.lower("value"), "page")
+
+
+@query("entities_counts", "entities", sql="SELECT kind, count(*) AS n FROM {entities} GROUP BY kind")
+def _(entities):
+    return ledger.breakdown(entities, "kind")
