@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, read_table, ship
+from .common import lean, read_table, release_memory, ship
 
 #: Bytes of a filter, step between its places, filters, bytes of a chunk and by how many the next one overlaps it.
 WIDTH, STRIDE, FILTERS, CHUNK, OVERLAP = 6, 2, 24, 512, 64
@@ -20,7 +20,7 @@ SAMPLE, SAMPLE_BYTES = 4000, 24_000_000
 STEPS, PASSES, TOGETHER = 1200, (18, 40), 64
 THRESHOLD = 0.7
 #: Bytes that a worker scores at a time, and chunks that training holds at a time.
-SLAB, STEP = 1 << 20, 1024
+SLAB, STEP = 1 << 20, 256
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -161,9 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SA
     first = joined.select("_order", "doc_id", "quality", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("hash"), "text").where(F.col("size") <= most).orderBy("_order", "doc_id", "quality", "size", "hash").limit(sample)
     before = F.sum("size").over(Window.orderBy("_order", "doc_id", "quality", "size", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = first.withColumn("sum", before).where(F.col("sum") <= most).orderBy("_order", "doc_id", "quality", "size", "hash").collect()
-    net = train([r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["quality"] for r in rows])
-    if not rows:
+    texts, marks = [r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["quality"] for r in rows]
+    del rows
+    net = train(texts, marks)
+    if not texts:
         net.top[:] = 0
+    del texts
+    release_memory()
     return net
 
 

@@ -256,8 +256,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     that go, the fewer.
     """
     placed, place = _placed(docs), F.struct(F.col("_id").isNull(), "_id", "_hash")
-    best = placed.groupBy("component").agg(F.min(place).alias("best"))
-    judged = materialize(placed.join(best, "component").select("_id", "_hash", "rows", (place == F.col("best")).alias("stays")).where("not stays or rows > 1"), "copies-gone")
+    best = placed.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("rows"))
+    judged = materialize(join_unique(placed, best, "component", placed.count()).select("_id", "_hash", "rows", (place == F.col("best")).alias("stays")).where("not stays or rows > 1"), "copies-gone")
     kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_kept"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_text"))
     same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
     rows = kept.join(judged.where("not stays"), same, "left_anti")
