@@ -1,3 +1,4 @@
+import numbers
 import os
 import sys
 from pathlib import Path
@@ -42,7 +43,7 @@ def same_rows(spark, duck):
     """Compares a query on the small tables with its SQL, without regard to order."""
 
     def values(frame):
-        return sorted(repr([None if x is None or x is pd.NA or x != x else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in row]) for row in frame[sorted(frame.columns)].itertuples(index=False))
+        return sorted(repr([None if x is None or x is pd.NA or x != x else round(float(x), 6) if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x) for x in row]) for row in frame[sorted(frame.columns)].itertuples(index=False))
 
     def check(query, sql):
         ours, theirs = query(spark, DATA).toPandas(), duck.execute(sql).df()
