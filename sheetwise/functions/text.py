@@ -15,6 +15,12 @@ CONTINUED = r"\s*\((?:CONT['\u2019]?D|CONTINUED)\)\s*:?\s*$|\s*(?:CONT['\u2019]?
 CONTINUES = r"\((?:CONT['\u2019]?D|CONTINUED)\)|(?:CONT['\u2019]?D|CONTINUED)\s*:"
 
 
+def is_digit_group(t: Column, ratio: float = 0.5) -> Column:
+    """Text that begins with a digit, or is digits and points by at least that ratio; an empty one isn't."""
+    marks = F.length(t) - F.length(F.regexp_replace(t, r"[0-9.]", ""))
+    return (F.length(t) > 0) & (t.rlike("^[0-9]") | (marks >= F.length(t) * ratio))
+
+
 def base_header(t: Column) -> Column:
     """A header in capitals without its colon and without a note at its end that it continues another."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.upper(t), CONTINUED, ""), r":+$", ""))

@@ -129,3 +129,9 @@ def symbol_fingerprints(lines: DataFrame) -> DataFrame:
     """fingerprint, n and with_symbol of texts that differ in numbers only, where some hold a degree or percent sign and some don't."""
     fp = F.regexp_replace("text", r"\d+\.?\d*", "N")
     return lines.groupBy(F.regexp_replace(fp, "[%°]", "").alias("fingerprint")).agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike("[%°]")).alias("with_symbol")).where("with_symbol > 0 and with_symbol < n")
+
+
+def char_width(tokens: DataFrame, fallback: float = 5.0, keys=KEYS) -> DataFrame:
+    """The keys and char_width: the median width of a character over the tokens that have text and a width."""
+    each = F.when((F.length("text") > 0) & (F.col("x1") > F.col("x0")), (F.col("x1") - F.col("x0")) / F.length("text"))
+    return tokens.groupBy(*keys).agg(F.coalesce(F.median(each), F.lit(fallback)).alias("char_width"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, box, center, intersection, iou, overlaps
@@ -139,3 +139,66 @@ def overlap_clusters(tokens: DataFrame, keys=KEYS) -> DataFrame:
     kinds = dict(tokens.dtypes)
     found = pairs.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "token_ix bigint", "cluster bigint"]))
     return tokens.select(*keys, "token_ix").join(found, [*keys, "token_ix"], "left").select(*keys, "token_ix", F.coalesce("cluster", "token_ix").alias("cluster"))
+
+
+def enclosing_rect(headers: DataFrame, rects: DataFrame, tolerance: float = 20.0, keys=KEYS) -> DataFrame:
+    """The keys, token_ix and zone_ix of the first rectangle over 100 x 50 that holds the box, but for the tolerance on each side."""
+    a, b = box(), box(suffix="_r")
+    holds = (b.x0 <= a.x0 + tolerance) & (b.y0 <= a.y0 + tolerance) & (b.x1 >= a.x1 - tolerance) & (b.y1 >= a.y1 - tolerance)
+    met = candidates(headers, rects.where("x1 - x0 > 100 and y1 - y0 > 50"), lambda *_: holds, keys, margin=tolerance)
+    return met.groupBy(*keys, "token_ix").agg(F.min("zone_ix_r").alias("zone_ix"))
+
+
+def symbols_in(shapes: DataFrame, regions: DataFrame, most: float = 50.0, keys=KEYS) -> DataFrame:
+    """The keys, zone_ix and token_ix of shapes within a region (its edges included), no wider or higher than `most`."""
+    a, b = box(), box(suffix="_r")
+    inside = (a.x0 >= b.x0) & (a.x1 <= b.x1) & (a.y0 >= b.y0) & (a.y1 <= b.y1)
+    small = shapes.where((F.col("x1") - F.col("x0") <= most) & (F.col("y1") - F.col("y0") <= most))
+    return candidates(small, regions, lambda *_: inside, keys).select(*keys, F.col("zone_ix_r").alias("zone_ix"), "token_ix")
+
+
+def boxes_in(boxes: DataFrame, regions: DataFrame, keys=KEYS) -> DataFrame:
+    """The keys, zone_ix and token_ix of boxes that meet a region, touching included."""
+    return candidates(boxes, regions, lambda a, b: overlaps(a, b, touching=True), keys).select(*keys, F.col("zone_ix_r").alias("zone_ix"), "token_ix")
+
+
+def center_in(boxes: DataFrame, regions: DataFrame, pad: float = 4.0, keys=KEYS) -> DataFrame:
+    """The keys, zone_ix and token_ix of boxes whose centre lies in a region widened by pad."""
+    (x, y), b = center(box()), box(suffix="_r")
+    inside = (x >= b.x0 - pad) & (x <= b.x1 + pad) & (y >= b.y0 - pad) & (y <= b.y1 + pad)
+    return candidates(boxes, regions, lambda *_: inside, keys, margin=pad).select(*keys, F.col("zone_ix_r").alias("zone_ix"), "token_ix")
+
+
+def line_neighbours(boxes: DataFrame, tokens: DataFrame, reach: float, factor: float = 0.6, least: float = 3.0, keys=KEYS) -> DataFrame:
+    """The keys, token_ix, neighbour_ix and place, from the left: text tokens whose centre is within a box's band (factor times its height, at
+    least `least`) and that meet it widened by reach on both sides."""
+    a, b = box(), box(suffix="_r")
+    (_, ay), (_, by) = center(a), center(b)
+    band = F.greatest(F.lit(least), (a.y1 - a.y0) * factor)
+    near = (F.abs(by - ay) <= band) & (b.x1 >= a.x0 - reach) & (b.x0 <= a.x1 + reach)
+    met = candidates(boxes, tokens.where("origin = 'text'"), lambda *_: near, keys, margin=reach)
+    place = F.row_number().over(Window.partitionBy(*keys, "token_ix").orderBy("x0_r", "token_ix_r"))
+    return met.select(*keys, "token_ix", F.col("token_ix_r").alias("neighbour_ix"), place.alias("place"))
+
+
+def pair_symbols(symbols: DataFrame, rows: DataFrame, tolerance: float = 20.0, reach: float = 300.0, keys=KEYS) -> DataFrame:
+    """The keys, symbol_ix and row_ix: symbols in order take the nearest free row of text to their right, by gap plus difference in height;
+    null if there is none. Which rows are free depends on the symbols before, so a page's candidate pairs, not its boxes, are a group."""
+    a, b = box(), box(suffix="_r")
+    (_, ay), (_, by) = center(a), center(b)
+    beside = (b.x0 >= a.x1) & (b.x0 - a.x1 <= reach) & (F.abs(by - ay) <= tolerance)
+    met = candidates(symbols, rows, lambda *_: beside, keys, margin=max(tolerance, reach)).select(*keys, "symbol_ix", F.col("row_ix_r").alias("row_ix"), (b.x0 - a.x1 + F.abs(by - ay)).alias("far"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for symbol, own in p.sort_values(["symbol_ix", "far", "row_ix"]).groupby("symbol_ix", sort=True):
+            free = next((r for r in own.row_ix.tolist() if r not in taken), None)
+            if free is not None:
+                taken.add(free)
+                out.append((symbol, free))
+        found = pd.DataFrame(out, columns=["symbol_ix", "row_ix"])
+        return found.assign(**{k: p[k].iloc[0] for k in keys})[[*keys, "symbol_ix", "row_ix"]]
+
+    kinds = dict(symbols.dtypes)
+    found = met.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "symbol_ix bigint", "row_ix bigint"]))
+    return symbols.select(*keys, "symbol_ix").join(found, [*keys, "symbol_ix"], "left")

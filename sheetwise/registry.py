@@ -596,3 +596,47 @@ def _(entities):
 @query("entities_counts", "entities", sql="SELECT kind, count(*) AS n FROM {entities} GROUP BY kind")
 def _(entities):
     return ledger.breakdown(entities, "kind")
+
+
+IN_ZONE = "FROM {tokens} a JOIN {zones} b ON a.doc_id = b.doc_id AND a.page = b.page"
+
+
+@query("spatial_enclosing_rect", "tokens", "zones", sql=f"SELECT a.doc_id, a.page, a.token_ix, min(b.zone_ix) AS zone_ix {IN_ZONE} WHERE b.x1 - b.x0 > 100 AND b.y1 - b.y0 > 50 AND b.x0 <= a.x0 + 20 AND b.y0 <= a.y0 + 20 AND b.x1 >= a.x1 - 20 AND b.y1 >= a.y1 - 20 GROUP BY a.doc_id, a.page, a.token_ix")
+def _(tokens, zones):
+    return spatial.enclosing_rect(tokens, zones)
+
+
+@query("spatial_symbols_in", "tokens", "zones", sql=f"SELECT a.doc_id, a.page, b.zone_ix, a.token_ix {IN_ZONE} WHERE a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.y0 >= b.y0 AND a.y1 <= b.y1 AND a.x1 - a.x0 <= 50 AND a.y1 - a.y0 <= 50")
+def _(tokens, zones):
+    return spatial.symbols_in(tokens, zones)
+
+
+@query("spatial_boxes_in", "tokens", "zones", sql=f"SELECT a.doc_id, a.page, b.zone_ix, a.token_ix {IN_ZONE} WHERE NOT (a.x1 < b.x0 OR a.x0 > b.x1 OR a.y1 < b.y0 OR a.y0 > b.y1)")
+def _(tokens, zones):
+    return spatial.boxes_in(tokens, zones)
+
+
+@query("spatial_center_in", "tokens", "zones", sql=f"SELECT a.doc_id, a.page, b.zone_ix, a.token_ix {IN_ZONE} WHERE (a.x0 + a.x1) / 2 BETWEEN b.x0 - 4 AND b.x1 + 4 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 - 4 AND b.y1 + 4")
+def _(tokens, zones):
+    return spatial.center_in(tokens, zones)
+
+
+@query("spatial_line_neighbours", "tokens", sql=f"SELECT a.doc_id, a.page, a.token_ix, b.token_ix AS neighbour_ix, CAST(row_number() OVER (PARTITION BY a.token_ix ORDER BY b.x0, b.token_ix) AS INT) AS place {PAIR} WHERE abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) <= greatest(3, (a.y1 - a.y0) * 0.6) AND b.x1 >= a.x0 - 60 AND b.x0 <= a.x1 + 60")
+def _(tokens):
+    return spatial.line_neighbours(tokens.where("origin = 'ocr'"), tokens, 60.0)
+
+
+@query("spatial_pair_symbols", "tokens")
+def _(tokens):
+    symbols = tokens.where("origin = 'ocr'").withColumnRenamed("token_ix", "symbol_ix")
+    return spatial.pair_symbols(symbols, tokens.where("origin = 'text'").withColumnRenamed("token_ix", "row_ix"))
+
+
+@query("lines_char_width", "tokens", sql="SELECT doc_id, page, round(quantile_cont((x1 - x0) / length(text), 0.5), 6) AS char_width FROM {tokens} WHERE length(text) > 0 AND x1 > x0 GROUP BY doc_id, page")
+def _(tokens):
+    return lines.char_width(tokens).withColumn("char_width", F.round("char_width", 6))
+
+
+@query("text_digit_groups", "tokens", sql="SELECT token_ix, length(text) > 0 AND (regexp_matches(text, '^[0-9]') OR length(regexp_replace(text, '[^0-9.]', '', 'g')) >= length(text) * 0.5) AS digits FROM {tokens}")
+def _(tokens):
+    return tokens.select("token_ix", T.is_digit_group(F.col("text")).alias("digits"))

@@ -109,3 +109,19 @@ def test_documents_are_known_by_content(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     found = io.register_documents(spark, str(tmp_path))
     assert found.count() == 2 and found.select("doc_id").distinct().count() == 1
+
+
+def test_symbols_take_free_rows_in_order(spark):
+    """By all pairs: each symbol in order takes the nearest row to its right that no symbol before it took."""
+    r = random.Random(3)
+    symbols = [(d, 1, i, float(x := r.randint(0, 200)), float(y := r.randint(0, 300)), x + 12.0, y + 12.0) for d in (0, 1) for i in range(25)]
+    rows = [(d, 1, i, float(x := r.randint(100, 450)), float(y := r.randint(0, 300)), x + 90.0, y + 10.0) for d in (0, 1) for i in range(20)]
+    schema = "doc_id bigint, page bigint, {} bigint, x0 double, y0 double, x1 double, y1 double"
+    got = spatial.pair_symbols(spark.createDataFrame(symbols, schema.format("symbol_ix")), spark.createDataFrame(rows, schema.format("row_ix"))).collect()
+    want, taken = set(), set()
+    for s in symbols:
+        near = [(t[3] - s[5] + abs((t[4] + t[6]) / 2 - (s[4] + s[6]) / 2), t[2]) for t in rows if t[0] == s[0] and 0 <= t[3] - s[5] <= 300 and abs((t[4] + t[6]) / 2 - (s[4] + s[6]) / 2) <= 20 and (s[0], t[2]) not in taken]
+        best = min(near)[1] if near else None
+        taken.add((s[0], best))
+        want.add((s[0], 1, s[2], best))
+    assert {tuple(x) for x in got} == want
