@@ -17,6 +17,11 @@ SELECT CAST(floor(k / 32.0) AS BIGINT) % 5 AS doc_id, CAST(floor(k / 160.0) AS B
   CASE WHEN n % 2 = 0 THEN 'text' ELSE 'ocr' END AS origin, CAST(8 + p % 5 AS DOUBLE) AS font_size, CAST(p % 8 AS DOUBLE) / 8 AS confidence, CASE WHEN p % 2 = 0 THEN 'Arial' ELSE 'Mono' END AS fontname
 FROM (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity) AS q, min(l_returnflag) AS f FROM {lineitem} GROUP BY l_orderkey, l_linenumber) t""",
     "lined": "SELECT *, CAST(floor((y0 + y1) / 2 / 18) AS INT) AS line_ix FROM {tokens}",
+    "marked": """
+SELECT doc_id, page, token_ix, x0, y0, x1, y1, line_ix, font_size, fontname, CASE CAST(x0 AS BIGINT) % 19 WHEN 1 THEN 'TYP' WHEN 2 THEN 'Dia' WHEN 3 THEN 'OC' WHEN 4 THEN 'REBAR' WHEN 5 THEN '3/4' WHEN 6 THEN '2.5' WHEN 7 THEN 'TOL' WHEN 8 THEN '(cid:7)' WHEN 9 THEN '7@' WHEN 10 THEN 'MM' WHEN 11 THEN ' ' WHEN 12 THEN '4' WHEN 13 THEN '4' WHEN 14 THEN '#5' ELSE text END AS text FROM {lined}""",
+    "chars": "SELECT doc_id, page, x0, y0, x0 + CAST(token_ix % 3 AS DOUBLE) / 4 AS x1, y1, fontname, CASE WHEN token_ix % 11 = 0 THEN '' WHEN token_ix % 13 = 0 THEN '(cid:3)' ELSE 'a' END AS text FROM {tokens}",
+    "drawn": "SELECT doc_id, page, x0, y0 + 4 AS y0, x0 + font_size * 5 AS x1, y0 + 4 AS y1 FROM {tokens} WHERE origin = 'ocr'",
+    "curves": "SELECT doc_id, page, token_ix AS curve_ix, x0 - 9 AS x0, y0 AS y0, x0 - 9 + font_size - 6 AS x1, y0 + 4 AS y1, CAST(token_ix % 7 AS BIGINT) AS n_points FROM {tokens}",
     "zones": "SELECT doc_id, page, CAST(0 AS BIGINT) AS zone_ix, 0.0E0 AS x0, 0.0E0 AS y0, 300.0E0 AS x1, 400.0E0 AS y1 FROM {tokens} GROUP BY doc_id, page UNION ALL SELECT doc_id, page, CAST(1 AS BIGINT), 300.0E0, 0.0E0, 620.0E0, 400.0E0 FROM {tokens} GROUP BY doc_id, page",
     "notes": "SELECT CAST(floor(o_orderkey / 16.0) AS BIGINT) % 5 AS doc_id, CAST(floor(o_orderkey / 80.0) AS BIGINT) AS page, CAST(o_custkey % 2 AS INT) AS column_ix, o_orderkey AS ord, CAST(o_orderkey % 16 + o_custkey % 3 AS INT) AS number, concat(CASE WHEN o_custkey % 3 = 0 THEN 'See note ' WHEN o_custkey % 3 = 1 THEN 'REFER  TO NOTE #' ELSE 'NOTE ' END, CAST(o_custkey % 19 AS VARCHAR(9)), CASE o_orderkey % 4 WHEN 0 THEN ' FOR AB' WHEN 1 THEN ' CDE AND CDE' WHEN 2 THEN ' ROAD' ELSE ' Xy' END) AS text FROM {orders}",
     "columns": "SELECT doc_id, page, column_ix, CASE WHEN sum(ord) % 3 = 0 THEN ' ' WHEN sum(ord) % 3 = 1 THEN 'NOTES:' END AS header, count(*) AS n_notes FROM {notes} GROUP BY doc_id, page, column_ix",

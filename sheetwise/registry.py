@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import text as T
-from .operators import checks, ledger, lines, spatial, store
+from .operators import candidates, checks, ledger, lines, spatial, store
 from .plans.inputs import load, with_inputs
 from .streaming import live
 
@@ -640,3 +640,131 @@ def _(tokens):
 @query("text_digit_groups", "tokens", sql="SELECT token_ix, length(text) > 0 AND (regexp_matches(text, '^[0-9]') OR length(regexp_replace(text, '[^0-9.]', '', 'g')) >= length(text) * 0.5) AS digits FROM {tokens}")
 def _(tokens):
     return tokens.select("token_ix", T.is_digit_group(F.col("text")).alias("digits"))
+
+
+ALONG = "PARTITION BY doc_id, page, line_ix"
+SIDE = f"""(SELECT *, nx0 - x1 AS gap, x0 - px1 AS back, quantile_cont(CASE WHEN nx0 - x1 > 0 THEN nx0 - x1 END, 0.5) OVER ({ALONG}) AS space
+FROM (SELECT doc_id, page, line_ix, token_ix, x0, y0, x1, y1, trim(text) AS t, fontname, font_size, lead(x0) OVER w AS nx0, lead(y0) OVER w AS ny0, lead(y1) OVER w AS ny1, lead(trim(text)) OVER w AS nt, lead(fontname) OVER w AS nf, lead(font_size) OVER w AS ns, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1, lag(trim(text)) OVER w AS pt,
+bool_or(contains(text, '@')) OVER ({ALONG}) AS with_at, bool_or(contains(text, '#')) OVER ({ALONG}) AS with_hash, bool_or(upper(trim(text)) IN ('"', '\'\'', 'MM', 'CM', 'M', 'IN', 'FT', 'INCH', 'INCHES', 'FEET') OR (regexp_matches(text, '["\'\']') AND regexp_matches(text, '[0-9]'))) OVER ({ALONG}) AS united,
+count(*) FILTER (regexp_matches(trim(text), '^[0-9][0-9.,]*$')) OVER ({ALONG}) AS numbers FROM {{marked}} WINDOW w AS ({ALONG} ORDER BY x0, y0, token_ix)))""".replace("\\'\\'", "''")
+
+
+def place(method: str, symbol: str, confidence: float, x0: str, y0: str, x1: str, y1: str, rest: str) -> str:
+    return f"SELECT doc_id, page, '{method}' AS method, {symbol} AS symbol, CAST({confidence} AS DOUBLE) AS confidence, greatest(0, {x0} - 4) AS x0, greatest(0, {y0} - 4) AS y0, least(612, {x1} + 4) AS x1, least(792, {y1} + 4) AS y1 {rest}"
+
+
+def pair(method: str, symbol: str, confidence: float, where: str, least: float = 0, side: str = "n") -> str:
+    left, right = ("x1", "nx0") if side == "n" else ("px1", "x0")
+    x0, x1 = (f"(CASE WHEN {right} - {left} < {least} THEN ({left} + {right}) / 2 {sign} 3 ELSE {end} END)" for sign, end in (("-", left), ("+", right)))
+    return place(method, symbol, confidence, x0, f"least(y0, {side}y0)", x1, f"greatest(y1, {side}y1)", f"FROM {SIDE} WHERE {where}")
+
+
+DIGIT, DIGITS = "regexp_matches({}, '[0-9]')", "regexp_matches({}, '^[0-9][0-9.,]*$')"
+WIDE = "gap > 2 * space AND gap > 1"
+ASKED = "(CASE WHEN upper(t) IN ('ANGLE', 'BEND', 'DEG', 'SLOPE', 'TYP', 'TYPICAL') THEN '°' WHEN upper(t) IN ('ELEV', 'EL', 'TOL', 'TOLERANCE') THEN '±' WHEN upper(t) IN ('DIA', 'DIAM', 'DIAMETER') THEN 'Ø' END)"
+BEFORE = "(CASE WHEN upper(nt) IN ('TYP', 'TYP.', 'TYP)') THEN '°' WHEN upper(nt) IN ('DIA', 'DIAM', 'DIAM.', 'DIAMETER') THEN 'Ø' WHEN upper(nt) IN ('TOL', 'TOLERANCE') THEN '±' END)"
+WITH = "(CASE WHEN upper(t) IN ('OC', 'O.C.', 'O.C') AND NOT with_at THEN '@' WHEN upper(t) IN ('BAR', 'REBAR') AND NOT with_hash THEN '#' END)"
+ALONG_SQL = {
+    "intraline_gap": pair("intraline_gap", "''", 0.6, WIDE),
+    "baseline_style_gap": pair("baseline_style_gap", "''", 0.7, f"{WIDE} AND fontname = nf AND fontname <> '' AND least(font_size, ns) / greatest(font_size, ns) >= 0.85"),
+    "template_adjacency": pair("template_adjacency", BEFORE, 0.85, f"{DIGIT.format('t')} AND {BEFORE} IS NOT NULL AND gap >= 0.5") + " UNION ALL " + pair("template_adjacency", "'Ø'", 0.8, f"upper(t) IN ('DIA', 'DIAM', 'DIAMETER') AND {DIGIT.format('nt')} AND gap >= 0.5"),
+    "regex_digit_pattern": pair("regex_digit_pattern", "CASE WHEN contains(t, '.') AND contains(nt, '.') THEN '±' ELSE '×' END", 0.55, f"{DIGITS.format('t')} AND {DIGITS.format('nt')} AND gap >= 1") + " UNION ALL " + pair("regex_digit_pattern", "'\"'", 0.5, f"{DIGIT.format('t')} AND regexp_matches(nt, '[0-9]+/[0-9]+') AND gap > 1"),
+    "impossible_sequence": pair("impossible_sequence", "''", 0.5, f"{DIGITS.format('t')} AND {DIGITS.format('nt')} AND gap BETWEEN 0.2 AND 20", 2),
+    "vocab_trigger": pair("vocab_trigger", ASKED, 0.65, f"{ASKED} IS NOT NULL AND {DIGIT.format('pt')} AND back >= 0.5", 1, "p") + " UNION ALL " + pair("vocab_trigger", ASKED, 0.65, f"{ASKED} IS NOT NULL AND {DIGIT.format('nt')} AND gap >= 0.5 AND NOT coalesce({DIGIT.format('pt')} AND back >= 0.5, false)", 1),
+    "keyword_cooccurrence": pair("keyword_cooccurrence", WITH, 0.6, f"{WITH} IS NOT NULL AND {DIGIT.format('pt')}", 1, "p") + " UNION ALL " + pair("keyword_cooccurrence", WITH, 0.6, f"{WITH} IS NOT NULL AND {DIGIT.format('nt')} AND NOT coalesce({DIGIT.format('pt')}, false)", 1),
+    "semantic_no_units": place("semantic_no_units", "'\"'", 0.4, "x1", "y0", "x1 + 6", "y1", f"FROM {SIDE} WHERE {DIGITS.format('t')} AND numbers >= 2 AND NOT united"),
+}
+
+
+def along(method: str):
+    @query(f"candidates_{method}", "marked", sql=ALONG_SQL[method])
+    def _(rows):
+        return candidates.along_lines(rows, (method,))
+
+
+for _method in candidates.LINE_METHODS:
+    along(_method)
+
+
+@query("candidates_along_lines", "marked", sql=" UNION ALL ".join(ALONG_SQL.values()))
+def _(rows):
+    return candidates.along_lines(rows)
+
+
+NO_TEXT = "(trim(text) = '' OR contains(text, '\ufffd') OR starts_with(trim(text), '(cid:'))"
+
+
+@query("candidates_unread_tokens", "marked", sql=place("placeholder_token", "''", 0.85, "x0", "y0", "x1", "y1", f"FROM {{marked}} WHERE {NO_TEXT} AND x1 - x0 >= 0.5 AND y1 - y0 >= 0.5"))
+def _(rows):
+    return candidates.unread_tokens(rows)
+
+
+FAILED = "(text = '' OR starts_with(text, '(cid:'))"
+
+
+@query("candidates_unread_chars", "chars", sql=place("x", "''", 0.9, "x0", "y0", "x1", "y1", f"FROM {{chars}} WHERE {FAILED} AND x1 - x0 >= 0.5 AND y1 - y0 >= 0.5").replace("'x' AS method", "CASE WHEN text = '' THEN 'char_encoding_failure' ELSE 'unmapped_glyph' END AS method"))
+def _(chars):
+    return candidates.unread_chars(chars)
+
+
+@query("candidates_narrow_tokens", "marked", sql=place("token_width_anomaly", "''", 0.45, "x0", "y0", "x1", "y1", "FROM {marked} WHERE trim(text) <> '' AND font_size > 0 AND (x1 - x0) / (length(text) * font_size * 0.55) < 0.7"))
+def _(rows):
+    return candidates.narrow_tokens(rows)
+
+
+@query("candidates_bad_fonts", "marked", "chars", sql=place("font_subset_correlation", "''", 0.5, "x0", "y0", "x1", "y1", f"FROM {SIDE} s WHERE ({DIGIT.format('pt')} OR {DIGIT.format('nt')}) AND EXISTS (SELECT 1 FROM (SELECT doc_id, page, fontname FROM {{chars}} GROUP BY doc_id, page, fontname HAVING count(*) FILTER ({FAILED}) >= 3 AND count(*) FILTER ({FAILED}) > 0.05 * count(*)) f WHERE f.doc_id = s.doc_id AND f.page = s.page AND f.fontname = s.fontname)"))
+def _(rows, chars):
+    return candidates.bad_fonts(rows, chars)
+
+
+MARKS = "regexp_matches(text, '[%/°±Ø×''\"#@⌀]')"
+
+
+@query("candidates_repeated_phrases", "marked", sql=f"""
+WITH m AS (SELECT *, regexp_matches(text, '[0-9]') AS number, sum(CASE WHEN regexp_matches(text, '[0-9]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page, line_ix ORDER BY x0, y0, token_ix ROWS UNBOUNDED PRECEDING) AS run, bool_or({MARKS}) OVER ({ALONG}) AS marks FROM {{marked}}),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_ix, run ORDER BY x0, y0, token_ix) AS nth FROM m WHERE number),
+r AS (SELECT doc_id, page, line_ix, run, any_value(marks) AS marks, string_agg(trim(text), ' ' ORDER BY nth) AS phrase, max(CASE WHEN nth = 1 THEN x1 END) AS ax, max(CASE WHEN nth = 2 THEN x0 END) AS bx, min(CASE WHEN nth <= 2 THEN y0 END) AS top, max(CASE WHEN nth <= 2 THEN y1 END) AS low FROM n GROUP BY doc_id, page, line_ix, run HAVING count(*) >= 2),
+c AS (SELECT *, count(*) OVER g AS n, count(*) FILTER (marks) OVER g AS n_with FROM r WINDOW g AS (PARTITION BY doc_id, page, phrase))
+{place("cross_ref_phrase", "''", 0.75, "(CASE WHEN bx - ax < 1 THEN (ax + bx) / 2 - 3 ELSE ax END)", "top", "(CASE WHEN bx - ax < 1 THEN (ax + bx) / 2 + 3 ELSE bx END)", "low", "FROM c WHERE n_with > 0 AND n_with < n AND NOT marks")}""")
+def _(rows):
+    return candidates.repeated_phrases(rows)
+
+
+@query("candidates_near_duplicate_lines", "marked", sql=f"""
+WITH s AS (SELECT *, regexp_replace(regexp_replace(t, '[0-9]+\\.?[0-9]*', 'N', 'g'), '[%/°±Ø×''\"#@⌀]', '', 'g') AS norm, {MARKS.replace('text', 't')} AS mark, regexp_matches(t, '[0-9]') AND gap > 1 AS open FROM {SIDE}),
+l AS (SELECT doc_id, page, line_ix, string_agg(norm, '|' ORDER BY x0, y0, token_ix) AS print, bool_or(mark) AS marks FROM s GROUP BY doc_id, page, line_ix),
+c AS (SELECT *, count(*) OVER g AS n, count(*) FILTER (marks) OVER g AS n_with FROM l WINDOW g AS (PARTITION BY doc_id, page, print)),
+f AS (SELECT s.* FROM s JOIN c USING (doc_id, page, line_ix) WHERE n_with > 0 AND n_with < n AND NOT marks AND open QUALIFY row_number() OVER (PARTITION BY doc_id, page, line_ix ORDER BY x0, y0, token_ix) = 1)
+{place("near_duplicate_line", "''", 0.7, "x1", "least(y0, ny0)", "nx0", "greatest(y1, ny1)", "FROM f")}""")
+def _(rows):
+    return candidates.near_duplicate_lines(rows, bare=True)
+
+
+@query("candidates_holes", "tokens", sql=f"""
+WITH f AS (SELECT DISTINCT doc_id, page, c, r FROM (SELECT doc_id, page, c, unnest(range(CAST(trunc(y0 / 20) AS BIGINT), CAST(least(39, trunc(y1 / 20)) AS BIGINT) + 1)) AS r FROM (SELECT doc_id, page, y0, y1, unnest(range(CAST(trunc(x0 / 20) AS BIGINT), CAST(least(30, trunc(x1 / 20)) AS BIGINT) + 1)) AS c FROM {{tokens}}))),
+a AS (SELECT doc_id, page, c + i AS c, r + j AS r FROM f, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j) WHERE i <> 0 OR j <> 0),
+e AS (SELECT doc_id, page, c, r FROM a GROUP BY doc_id, page, c, r HAVING count(*) >= 5 AND c BETWEEN 1 AND 29 AND r BETWEEN 1 AND 38)
+{place("dense_cluster_hole", "''", 0.45, "CAST(c * 20 AS DOUBLE)", "CAST(r * 20 AS DOUBLE)", "CAST(c * 20 + 20 AS DOUBLE)", "CAST(r * 20 + 20 AS DOUBLE)", "FROM e ANTI JOIN f USING (doc_id, page, c, r)")}""")
+def _(tokens):
+    return candidates.holes(tokens)
+
+
+@query("candidates_small_circles", "curves", "marked", sql=place("vector_circle_near_number", "'°'", 0.55, "x0", "y0", "x1", "y1", "FROM {curves} c WHERE n_points >= 3 AND x1 - x0 BETWEEN 1 AND 8 AND y1 - y0 BETWEEN 1 AND 8 AND least(x1 - x0, y1 - y0) / greatest(x1 - x0, y1 - y0) >= 0.6 AND EXISTS (SELECT 1 FROM {marked} t WHERE t.doc_id = c.doc_id AND t.page = c.page AND regexp_matches(t.text, '[0-9]') AND abs(c.x0 + c.x1 - t.x0 - t.x1) < 48 AND abs(c.y0 + c.y1 - t.y0 - t.y1) < 48)"))
+def _(curves, rows):
+    return candidates.small_circles(curves, rows)
+
+
+@query("candidates_gaps_at_lines", "drawn", "marked", sql=place("dimension_geometry_proximity", "''", 0.5, "gx0", "gy0", "gx1", "gy1", f"FROM (SELECT s.doc_id, s.page, s.x1 AS gx0, s.nx0 AS gx1, least(s.y0, s.ny0) AS gy0, greatest(s.y1, s.ny1) AS gy1 FROM {SIDE} s WHERE gap > 2) JOIN (SELECT doc_id, page, x0 AS lx0, y0 AS ly0, x1 AS lx1, y1 AS ly1 FROM {{drawn}}) USING (doc_id, page) WHERE lx0 < gx1 + 10 AND lx1 > gx0 - 10 AND ly0 < gy1 + 10 AND ly1 > gy0 - 10"))
+def _(drawn, rows):
+    return candidates.gaps_at_lines(drawn, rows)
+
+
+@query("candidates_statistics", "marked", sql=f"SELECT method, count(*) AS n, count(*) FILTER (symbol <> '') AS n_with_symbol, round(avg(confidence), 6) AS mean_confidence FROM ({' UNION ALL '.join(ALONG_SQL.values())}) GROUP BY method")
+def _(rows):
+    return candidates.statistics(candidates.along_lines(rows)).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+@query("candidates_surest", "marked")
+def _(rows):
+    found = candidates.along_lines(rows).unionByName(candidates.unread_tokens(rows)).unionByName(candidates.repeated_phrases(rows)).unionByName(candidates.narrow_tokens(rows)).unionByName(candidates.holes(rows))
+    return candidates.surest(candidates.merge(found))
