@@ -69,6 +69,12 @@ def spans(rows: DataFrame, factor: float = 12.0, keys=KEYS) -> DataFrame:
     return joined.withColumn("span_ix", F.coalesce(F.sum("far").over(_line(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)).cast("int")).drop("far", "median_gap")
 
 
+def split_by_spans(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """Rows whose spans have become lines of their own, numbered as they stand; each is then its line's only span."""
+    line = F.dense_rank().over(Window.partitionBy(*keys).orderBy("line_ix", "span_ix")) - 1
+    return rows.withColumn("line_ix", line.cast("int")).withColumn("span_ix", F.lit(0))
+
+
 def intraline_gaps(rows: DataFrame, factor: float = 2.0, least: float = 1.0, keys=KEYS) -> DataFrame:
     """The gaps over factor times their line's median positive gap, and over `least`."""
     wide = gaps(rows, keys)

@@ -22,6 +22,12 @@ SELECT doc_id, page, token_ix, x0, y0, x1, y1, line_ix, font_size, fontname, CAS
     "chars": "SELECT doc_id, page, x0, y0, x0 + CAST(token_ix % 3 AS DOUBLE) / 4 AS x1, y1, fontname, CASE WHEN token_ix % 11 = 0 THEN '' WHEN token_ix % 13 = 0 THEN '(cid:3)' ELSE 'a' END AS text FROM {tokens}",
     "drawn": "SELECT doc_id, page, x0, y0 + 4 AS y0, x0 + font_size * 5 AS x1, y0 + 4 AS y1 FROM {tokens} WHERE origin = 'ocr'",
     "curves": "SELECT doc_id, page, token_ix AS curve_ix, x0 - 9 AS x0, y0 AS y0, x0 - 9 + font_size - 6 AS x1, y0 + 4 AS y1, CAST(token_ix % 7 AS BIGINT) AS n_points FROM {tokens}",
+    "table_rows": "SELECT CAST(floor(p_partkey / 8.0) AS BIGINT) % 5 AS doc_id, CAST(floor(p_partkey / 40.0) AS BIGINT) AS page, p_partkey AS row_ix, CAST(p_partkey % 40 * 18 AS DOUBLE) AS y0, CASE p_partkey % 6 WHEN 0 THEN concat('A', CAST(p_partkey % 97 AS VARCHAR(9)), ' = ', p_name, ' = x') WHEN 1 THEN concat(' C', CAST(p_partkey % 97 AS VARCHAR(9)), '  ', p_name) WHEN 2 THEN concat('AB-', CAST(p_partkey % 9 AS VARCHAR(9)), '-1 - ', p_name) WHEN 3 THEN concat('= ', p_name) WHEN 4 THEN concat('SCALE: ', CAST(p_partkey % 9 AS VARCHAR(9))) ELSE p_name END AS text, concat(CAST(p_partkey % 7 AS VARCHAR(9)), '| |', p_name, CASE p_partkey % 3 WHEN 0 THEN '|3/4/21' WHEN 1 THEN '|late' ELSE '' END) AS line FROM {part}",
+    "title_boxes": "SELECT doc_id, page, min(region_ix) * 7 + 400.0E0 AS x0, 600.0E0 + count(*) AS y0, 610.0E0 AS x1, 790.0E0 AS y1 FROM {regions} GROUP BY doc_id, page",
+    "notes_boxes": "SELECT doc_id, page, 350.0E0 + count(*) AS x0, 20.0E0 AS y0, 600.0E0 AS x1, 500.0E0 AS y1 FROM {notes} GROUP BY doc_id, page",
+    "sheet_boxes": "SELECT CAST(floor(p_partkey / 8.0) AS BIGINT) % 5 AS doc_id, CAST(floor(p_partkey / 40.0) AS BIGINT) AS page, p_partkey AS box_ix, CAST(p_partkey * 7 % 500 AS DOUBLE) AS x0, CAST(p_partkey * 11 % 300 AS DOUBLE) AS y0, CASE WHEN p_partkey % 5 = 0 THEN 600.0E0 ELSE CAST(p_partkey * 7 % 500 + p_size AS DOUBLE) END AS x1, CAST(p_partkey * 11 % 300 + p_size * (1 + p_partkey % 8) AS DOUBLE) AS y1 FROM {part}",
+    "worded": "SELECT doc_id, page, token_ix AS block_ix, x0, y0, x1, y1, CASE CAST(x0 AS BIGINT) % 29 WHEN 1 THEN 'UTILITY LEGEND' WHEN 2 THEN 'Sheet No. 4' WHEN 3 THEN 'QTY' WHEN 4 THEN 'STATE OF' WHEN 5 THEN 'Drainage Notes' WHEN 6 THEN 'lower' ELSE 'DETAIL A' END AS text FROM {tokens}",
+    "sheet_tokens": "SELECT doc_id, page, token_ix, x0, y0, x1, y1, origin, font_size, confidence, fontname, CASE CAST(x0 AS BIGINT) % 7 WHEN 1 THEN '1.' WHEN 2 THEN 'SITE NOTES:' WHEN 3 THEN '(b)' ELSE text END AS text FROM {tokens}",
     "zones": "SELECT doc_id, page, CAST(0 AS BIGINT) AS zone_ix, 0.0E0 AS x0, 0.0E0 AS y0, 300.0E0 AS x1, 400.0E0 AS y1 FROM {tokens} GROUP BY doc_id, page UNION ALL SELECT doc_id, page, CAST(1 AS BIGINT), 300.0E0, 0.0E0, 620.0E0, 400.0E0 FROM {tokens} GROUP BY doc_id, page",
     "notes": "SELECT CAST(floor(o_orderkey / 16.0) AS BIGINT) % 5 AS doc_id, CAST(floor(o_orderkey / 80.0) AS BIGINT) AS page, CAST(o_custkey % 2 AS INT) AS column_ix, o_orderkey AS ord, CAST(o_orderkey % 16 + o_custkey % 3 AS INT) AS number, concat(CASE WHEN o_custkey % 3 = 0 THEN 'See note ' WHEN o_custkey % 3 = 1 THEN 'REFER  TO NOTE #' ELSE 'NOTE ' END, CAST(o_custkey % 19 AS VARCHAR(9)), CASE o_orderkey % 4 WHEN 0 THEN ' FOR AB' WHEN 1 THEN ' CDE AND CDE' WHEN 2 THEN ' ROAD' ELSE ' Xy' END) AS text FROM {orders}",
     "columns": "SELECT doc_id, page, column_ix, CASE WHEN sum(ord) % 3 = 0 THEN ' ' WHEN sum(ord) % 3 = 1 THEN 'NOTES:' END AS header, count(*) AS n_notes FROM {notes} GROUP BY doc_id, page, column_ix",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import text as T
-from .operators import candidates, checks, ledger, lines, spatial, store
+from .operators import blocks, candidates, checks, ledger, lines, regions, spatial, store
 from .plans.inputs import load, with_inputs
 from .streaming import live
 
@@ -124,6 +124,11 @@ def _(tokens):
     return lines.spans(lines.lined(tokens), 2.0).select("doc_id", "page", "token_ix", "line_ix", "span_ix")
 
 
+@query("lines_split_by_spans", "lined", sql=f"SELECT token_ix, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY line_ix, span_ix) - 1 AS INT) AS line_ix FROM (SELECT n.doc_id, n.page, token_ix, line_ix, sum(CASE WHEN back > 2 * coalesce(m, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY n.doc_id, n.page, line_ix ORDER BY x0, token_ix ROWS UNBOUNDED PRECEDING) AS span_ix FROM {NEXT} n LEFT JOIN {MEDIAN} m ON n.doc_id = m.doc_id AND n.page = m.page)")
+def _(rows):
+    return lines.split_by_spans(lines.spans(rows, 2.0)).select("token_ix", "line_ix")
+
+
 @query("lines_spans", "lined", sql=f"SELECT token_ix, line_ix, CAST(coalesce(sum(CASE WHEN back > 2 * coalesce(m, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY n.doc_id, n.page, line_ix ORDER BY x0, token_ix ROWS UNBOUNDED PRECEDING), 0) AS INT) AS span_ix FROM {NEXT} n LEFT JOIN {MEDIAN} m ON n.doc_id = m.doc_id AND n.page = m.page")
 def _(rows):
     return lines.spans(rows, 2.0).select("token_ix", "line_ix", "span_ix")
@@ -768,3 +773,74 @@ def _(rows):
 def _(rows):
     found = candidates.along_lines(rows).unionByName(candidates.unread_tokens(rows)).unionByName(candidates.repeated_phrases(rows)).unionByName(candidates.narrow_tokens(rows)).unionByName(candidates.holes(rows))
     return candidates.surest(candidates.merge(found))
+
+
+@query("blocks_lines", "sheet_tokens")
+def _(tokens):
+    return blocks.line_table(lines.split_by_spans(lines.spans(lines.lined(tokens))))
+
+
+@query("blocks_of_tokens", "sheet_tokens")
+def _(tokens):
+    return blocks.blocks_of(tokens)
+
+
+@query("blocks_notes_columns", "sheet_tokens")
+def _(tokens):
+    return blocks.notes_columns(blocks.blocks_of(tokens))
+
+
+@query("blocks_notes", "table_rows", sql="SELECT row_ix, regexp_matches(trim(text), '^(?:[0-9]+\\.|[A-Z]\\.|[a-z]\\.|\\([0-9]+\\)|\\([A-Za-z]\\))') OR list_bool_or(list_transform(regexp_split_to_array(trim(text), '\\s+'), lambda w: regexp_matches(w, '^(?:[0-9]+\\.|[A-Z]\\.|[a-z]\\.|\\([0-9]+\\)|\\([A-Za-z]\\))'))) AS notes FROM (SELECT row_ix, concat(CASE row_ix % 4 WHEN 0 THEN '1. ' WHEN 1 THEN 'SEE (b) ' WHEN 2 THEN 'A.' ELSE '' END, text) AS text FROM {table_rows})")
+def _(rows):
+    lead = F.when(F.col("row_ix") % 4 == 0, "1. ").when(F.col("row_ix") % 4 == 1, "SEE (b) ").when(F.col("row_ix") % 4 == 2, "A.").otherwise("")
+    return rows.select("row_ix", blocks.is_note(F.trim(F.concat(lead, "text"))).alias("notes"))
+
+
+@query("regions_abbreviation_rows", "table_rows", sql="SELECT row_ix, code, meaning FROM (SELECT row_ix, CASE WHEN contains(t, '=') THEN trim(split_part(t, '=', 1)) ELSE regexp_extract(t, '^([A-Z0-9]{1,5})\\s+(.+)$', 1) END AS code, CASE WHEN contains(t, '=') THEN trim(substr(t, strpos(t, '=') + 1)) ELSE regexp_extract(t, '^([A-Z0-9]{1,5})\\s+(.+)$', 2) END AS meaning FROM (SELECT row_ix, trim(text) AS t FROM {table_rows})) WHERE code <> '' AND meaning <> ''")
+def _(rows):
+    code, meaning = regions.abbreviation(F.col("text"))
+    return rows.select("row_ix", code.alias("code"), meaning.alias("meaning")).where("code IS NOT NULL")
+
+
+@query("regions_revision_rows", "table_rows", sql="SELECT row_ix, m[1] AS number, array_to_string(CASE WHEN dated THEN m[2:len(m) - 1] ELSE m[2:] END, ' ') AS description, CASE WHEN dated THEN m[len(m)] ELSE '' END AS date FROM (SELECT *, len(m) > 1 AND regexp_matches(m[len(m)], '[0-9][/.-][0-9]') AS dated FROM (SELECT row_ix, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS m FROM {table_rows}))")
+def _(rows):
+    number, description, date = regions.revision_row(F.split("line", r"\|"))
+    return rows.select("row_ix", number.alias("number"), description.alias("description"), date.alias("date"))
+
+
+@query("regions_detail_rows", "table_rows", sql="SELECT row_ix, sheet, trim(regexp_replace(trim(substr(t, length(sheet) + 1)), '^-', '')) AS description FROM (SELECT row_ix, trim(text) AS t, regexp_extract(trim(text), '^([A-Z0-9]+-?[0-9]*-?[0-9]*)', 1) AS sheet FROM {table_rows}) WHERE sheet <> ''")
+def _(rows):
+    sheet, description = regions.detail_row(F.col("text"))
+    return rows.select("row_ix", sheet.alias("sheet"), description.alias("description")).where("sheet IS NOT NULL")
+
+
+@query("regions_title_fields", "table_rows")
+def _(rows):
+    return regions.title_fields(rows)
+
+
+@query("regions_match_rows", "tokens", sql="SELECT doc_id, page, a.token_ix AS row_ix, b.token_ix AS match_ix FROM {tokens} a JOIN {tokens} b USING (doc_id, page) WHERE a.origin = 'ocr' AND b.origin = 'text' AND abs(a.y0 - b.y0) < 5 QUALIFY row_number() OVER (PARTITION BY doc_id, page, a.token_ix ORDER BY abs(a.y0 - b.y0), b.token_ix) = 1")
+def _(tokens):
+    left, right = (d.select("doc_id", "page", F.col("token_ix").alias("row_ix"), F.col("y0").alias("y")) for d in _pairs(tokens))
+    return regions.match_rows(left, right)
+
+
+BORDER = "SELECT doc_id, page, greatest(0, min(x0) - 5) AS x0, greatest(0, min(y0) - 5) AS y0, least(612, max(x1) + 5) AS x1, least(792, max(y1) + 5) AS y1 FROM {tokens} GROUP BY doc_id, page"
+
+
+@query("regions_border", "tokens", sql=BORDER)
+def _(tokens):
+    return regions.border(tokens)
+
+
+@query("regions_drawing_zone", "tokens", "title_boxes", "notes_boxes", "entries", sql=f"SELECT doc_id, page, coalesce(c.x0, 36) AS x0, coalesce(c.y0, 36) AS y0, coalesce(n.x0, 612) AS x1, coalesce(t.y0, 792 * 0.85::DOUBLE) AS y1, 0.6::DOUBLE AS confidence FROM (SELECT doc_id, page FROM {{title_boxes}} UNION SELECT doc_id, page FROM {{notes_boxes}} UNION SELECT doc_id, page FROM {{entries}}) o LEFT JOIN ({BORDER}) c USING (doc_id, page) LEFT JOIN {{notes_boxes}} n USING (doc_id, page) LEFT JOIN {{title_boxes}} t USING (doc_id, page)")
+def _(tokens, title, notes, entries):
+    return regions.drawing_zone(regions.border(tokens), title, notes, entries)
+
+
+@query("regions_box_kinds", "sheet_boxes", "worded", sql="""
+WITH w AS (SELECT b.doc_id, b.page, b.box_ix, b.x0, b.y0, b.x1, b.y1, coalesce(string_agg(k.text, ' ' ORDER BY (k.y0 + k.y1) / 2, k.block_ix), '') AS said FROM {sheet_boxes} b LEFT JOIN {worded} k ON k.doc_id = b.doc_id AND k.page = b.page AND (k.x0 + k.x1) / 2 BETWEEN b.x0 - 4 AND b.x1 + 4 AND (k.y0 + k.y1) / 2 BETWEEN b.y0 - 4 AND b.y1 + 4 GROUP BY ALL),
+k AS (SELECT doc_id, page, box_ix, CASE WHEN (x1 - x0) * (y1 - y0) / (612 * 792) >= 0.8 THEN 'page_border' WHEN (y1 - y0) / 792 >= 0.4 AND (x1 - x0) / (y1 - y0) <= 0.6 AND x1 / 612 >= 0.9 THEN 'title_block' WHEN regexp_matches(lower(said), 'sheet name|sheet no|sheet number|project name|project no') AND x1 / 612 >= 0.6 THEN 'sheet_info' WHEN regexp_matches(lower(said), 'legend|abbreviations') THEN 'legend' WHEN contains(lower(said), 'notes') THEN 'notes_box' WHEN regexp_matches(lower(said), 'location map|vicinity map|state of') THEN 'location_map' WHEN regexp_matches(lower(said), 'table|qty|quantity|schedule') THEN 'data_table' WHEN (x1 - x0) * (y1 - y0) / (612 * 792) < 0.01 AND upper(said) = said AND lower(said) <> said AND len(string_split(said, ' ')) < 6 THEN 'callout' ELSE 'unknown' END AS box_type FROM w)
+SELECT *, CAST(CASE box_type WHEN 'page_border' THEN 0.95 WHEN 'title_block' THEN 0.85 WHEN 'sheet_info' THEN 0.75 WHEN 'legend' THEN 0.8 WHEN 'notes_box' THEN 0.8 WHEN 'location_map' THEN 0.7 WHEN 'data_table' THEN 0.65 WHEN 'callout' THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence FROM k""")
+def _(boxes, words):
+    return regions.classify_boxes(boxes, words)
