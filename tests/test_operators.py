@@ -131,8 +131,8 @@ def test_symbols_take_free_rows_in_order(spark):
 def test_slope_of_tokens_above_each_other(spark):
     """Such a line has no slope, but it weighs, behind all others, as in the query's SQL; tokens without a place make no line."""
     line = lambda ix, *at: [(0, 0, ix, float(x), float(y), x + 2.0, y + 9.0) for x, y in at]
-    rows = line(0, (0, 0), (10, 1)) + line(1, (0, 20), (10, 22)) + line(2, (5, 40), (5, 46), (5, 47)) + [(0, 0, 3, None, None, None, None)] * 9
+    rows = line(0, (0, 0), (100, 1)) + line(1, (0, 20), (100, 22)) + line(2, (5, 40), (5, 46), (5, 47)) + [(0, 0, 3, None, None, None, None)] * 9
     frame = spark.createDataFrame(rows, "doc_id bigint, page bigint, line_ix int, x0 double, y0 double, x1 double, y1 double")
-    slopes = {r["line_ix"]: (r["weight"], r["slope"]) for r in lines.line_slopes(frame, 2).collect()}
-    assert slopes[0] == (2, 0.1) and slopes[1] == (2, 0.2) and slopes[2][0] == 3 and slopes[2][1] != slopes[2][1] and len(slopes) == 3
-    assert round(lines.skew(lines.line_slopes(frame, 2)).first()["degrees"], 6) == round(math.degrees(math.atan(0.2)), 6)
+    slopes = {r["line_ix"]: (r["weight"], round(r["slope"], 9)) for r in lines.line_slopes(frame, 2).collect()}
+    assert slopes[0] == (2, 0.01) and slopes[1] == (2, 0.02) and slopes[2][0] == 3 and slopes[2][1] != slopes[2][1] and len(slopes) == 3
+    assert round(lines.skew(lines.line_slopes(frame, 2)).first()["degrees"], 6) == round(math.degrees(math.atan(0.02)), 6)
