@@ -25,8 +25,10 @@ SEEN = 200_000
 SMALL = {"parquet.block.size": 8 << 20, "parquet.enable.dictionary": "false"}
 #: Bits of a shingle's hash: of two texts' shingles no two different ones have one hash but by a chance of some 1e-8.
 HASH_BITS = 48
-#: Least bits of a sketch, and pairs whose sets meet in one task.
-SKETCH, TOGETHER = 1024, 64
+#: Least bits of a sketch, those of the short one that goes with each row of a group, and pairs whose sets meet in one task.
+SKETCH, SHORT, TOGETHER = 1024, 128, 64
+#: Columns of a group's rows: the key, the set, its size, the key's place in it, and the two halves of the short sketch.
+ROW = ("key", "node", "n", "place", "s0", "s1")
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -59,6 +61,11 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def short_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The sketch folded to SHORT bits, as two longs."""
+    return np.packbits(np.bincount((shingles & np.uint64(SHORT - 1)).astype(np.int64), minlength=SHORT) & 1).view(np.int64)
+
+
 def sketches_differ(a: bytes, b: bytes) -> int:
     """Bits in which two sketches differ; the longer one is folded to the other's length, which keeps parities."""
     x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
@@ -152,23 +159,25 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of groups with two sets or more, one row for each set."""
-    for columns in _groups(batches, ("key", "node", "n", "place")):
+    for columns in _groups(batches, ROW):
         order = np.lexsort((columns[1], columns[0]))
-        key, node, n, place = [c[order] for c in columns]
-        first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        key, node, n, place = key[first], node[first], n[first], place[first]
+        key, node = columns[0][order], columns[1][order]
+        order = order[np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]]
+        key = columns[0][order]
         same = key[1:] == key[:-1]
-        kept = np.r_[False, same] | np.r_[same, False]
-        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (key, node, n, place)], ["key", "node", "n", "place"])
+        kept = order[np.r_[False, same] | np.r_[same, False]]
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], list(ROW))
 
 
 def _pairs(start: int, stop: int | None):
-    """Pairs of the members start to stop of each group with all later ones, if not in one component and possible by size and place."""
+    """Pairs of the members start to stop of each group with all later ones, if not in one component and possible by size, place and short
+    sketch: copies of one text that differ among themselves share their prefixes, and would otherwise all be paired."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n, place, component in _groups(batches, ("key", "node", "n", "place", "component")):
-            order = np.lexsort((node, key))
-            key, node, n, place, component = key[order], node[order], n[order].astype(np.int64), place[order].astype(np.int64), component[order]
+        for columns in _groups(batches, (*ROW, "component")):
+            order = np.lexsort((columns[1], columns[0]))
+            key, node, n, place, s0, s1, component = [c[order] for c in columns]
+            n, place, s0, s1 = n.astype(np.int64), place.astype(np.int64), s0.view(np.uint64), s1.view(np.uint64)  # only unsigned bits are counted as they stand
             bounds = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
             left, right = [], []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -176,7 +185,9 @@ def _pairs(start: int, stop: int | None):
                     continue
                 for i in range(s + start, e - 1 if stop is None else min(s + stop, e - 1)):
                     rest = slice(i + 1, e)
-                    near = node[rest][(component[rest] != component[i]) & possible(n[rest], place[rest], n[i], place[i])]
+                    differ = np.bitwise_count(s0[rest] ^ s0[i]).astype(np.int64) + np.bitwise_count(s1[rest] ^ s1[i])
+                    few = (WHOLE + PART) * differ <= (WHOLE - PART) * (n[rest] + n[i])
+                    near = node[rest][(component[rest] != component[i]) & few & possible(n[rest], place[rest], n[i], place[i])]
                     left.append(np.full(len(near), node[i]))
                     right.append(near)
                 if sum(map(len, left[-64:])) > 100_000:
@@ -262,10 +273,11 @@ def link_sets(sets: DataFrame, known_links: DataFrame | None = None) -> DataFram
             if not len(first):
                 continue
             place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            columns = [np.concatenate(first).view(np.int64), np.repeat(b.column("node").to_numpy(), size), np.repeat(np.fromiter(map(len, own), np.int64, len(own)), size).astype(np.int32), place.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "place"])
+            short = np.repeat(np.stack([short_sketch(s) for s in own]), size, axis=0)
+            columns = [np.concatenate(first).view(np.int64), np.repeat(b.column("node").to_numpy(), size), np.repeat(np.fromiter(map(len, own), np.int64, len(own)), size).astype(np.int32), place.astype(np.int32), short[:, 0].copy(), short[:, 1].copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(ROW))
 
-    shape = "key long, node long, n int, place int"
+    shape = "key long, node long, n int, place int, s0 long, s1 long"
     rows = given.mapInArrow(lean(keys), shape).repartition("key").sortWithinPartitions("key").mapInArrow(lean(_shared), shape)
     groups = materialize(rows, "copies-groups")
     # the nodes are written first: while they are small, Spark broadcasts them, and the sets aren't shuffled

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sheetwise.llm import lm_score, mixing, piece_codec, quality_cnn, quality_rules, registry, simhash, token_counts, token_files
+from sheetwise.llm import lm_score, mixing, near_copies, piece_codec, quality_cnn, quality_rules, registry, simhash, token_counts, token_files
 
 from ..conftest import DATA
 
@@ -474,3 +475,19 @@ def test_repeated_windows(spark):
     texts = [" ".join(words + words[:10]), " ".join(["a"] * 12), " ".join(words)]
     got = quality_rules.apply_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()
     assert [r["n_repeat_words"] for r in got] == [20, 12, 0]
+
+
+def test_copies_that_differ_among_themselves_are_not_all_paired():
+    """300 texts of 46 shingles with one of 42 edits each: all pass size and place, but only those with the same edit are similar."""
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 48, 46, dtype=np.uint64)
+    sets = []
+    for i in range(300):
+        at = i % 42
+        sets.append(np.unique(np.r_[base[:at], base[at + 5 :], r.integers(0, 1 << 48, 5, dtype=np.uint64)]))
+    short = np.stack([near_copies.short_sketch(s) for s in sets])
+    columns = [np.zeros(300, np.int64), np.arange(300), np.full(300, 46, np.int32), np.zeros(300, np.int32), short[:, 0].copy(), short[:, 1].copy(), np.arange(300)]
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*near_copies.ROW, "component"])
+    found = {(a, b) for x in near_copies._pairs(0, None)(iter([rows])) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)}
+    assert {(a, b) for a in range(300) for b in range(a + 1, 300) if near_copies.similar(sets[a], sets[b])} <= found
+    assert len(found) < 300 * 299 // 2 // 5
