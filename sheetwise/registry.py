@@ -772,7 +772,7 @@ def _(rows):
 @query("candidates_surest", "marked")
 def _(rows):
     found = candidates.along_lines(rows).unionByName(candidates.unread_tokens(rows)).unionByName(candidates.repeated_phrases(rows)).unionByName(candidates.narrow_tokens(rows)).unionByName(candidates.holes(rows))
-    return candidates.surest(candidates.merge(found))
+    return candidates.merge(found, most=200)
 
 
 @query("blocks_lines", "sheet_tokens")

@@ -102,3 +102,14 @@ def test_blocks_in_one_pass(spark):
     assert sorted(map(repr, slow.collect())) == sorted(map(repr, fast.collect()))
     for made in (fast, blocks.notes_columns(fast)):
         assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_over_whole_pages(spark):
+    """The surest come out ranked as surest ranks them, with no grouped fold; without a symbol, and with a null one."""
+    r = random.Random(9)
+    rows = [(0, p, r.choice("abc"), r.choice(["", "%", None]), r.choice([0.4, 0.6]), float(x := r.randrange(0, 90, 3)), float(y := r.randrange(0, 30, 5)), float(x + 12), float(y + 10)) for p in range(4) for _ in range(60)]
+    found = spark.createDataFrame(rows, "doc_id bigint, page bigint, method string, symbol string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    made = candidates.merge(found, most=5)
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, candidates.surest(candidates.merge(found), 5).collect()))
+    assert made.count() == 20 and "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    assert candidates.merge(found.where("false"), most=5).count() == 0
